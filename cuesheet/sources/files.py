@@ -16,6 +16,7 @@ def find_files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFra
     """Files below a folder in order of their paths; none if it is missing.
 
     Contents are never read: only the listing columns of the scan are used.
+    Spark's scan leaves out files of no bytes; these hold no script.
     """
     try:
         scan = (
