@@ -15,7 +15,8 @@ WHITESPACE_CHARS = (
 )
 # The same set as members of a Java character class.
 WHITESPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE = f"[{WHITESPACE}]"
+# Letters fail the first range and are done, whatever else the class holds.
+SPACE = rf"[\x00-\x20\x7f-\u3000&&[{WHITESPACE}]]"
 NON_SPACE = f"[^{WHITESPACE}]"
 # Decimal digits plus the other digit characters (superscripts,
 # subscripts, circled and the like) that count as digits.
@@ -34,8 +35,11 @@ def strip(text: Column) -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    """Every run of white space becomes one space; the ends are stripped."""
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    """Every run of white space becomes one space; the ends are stripped.
+
+    Single spaces, by far the most of all runs, are not matched.
+    """
+    return F.trim(F.regexp_replace(text, rf"{SPACE}(?:{SPACE}+|(?<! ))", " "))
 
 
 def clean_text(text: Column) -> Column:
@@ -51,7 +55,7 @@ def clean_text(text: Column) -> Column:
         (rf"^[{DIGITS}]+\z", ""),
         (r"\.{2,}", "."),
         (r" *- *", " - "),
-        (r"([.!?]) *([A-Z])", "$1 $2"),
+        (r"([.!?])(?:  +)?(?=[A-Z])", "$1 "),
     ):
         cleaned = F.regexp_replace(cleaned, pattern, replacement)
     return F.trim(cleaned)

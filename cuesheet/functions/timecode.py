@@ -41,10 +41,11 @@ def speech_seconds(words: Column, speed: Column) -> Column:
     return F.when(rate > 0, words * F.lit(60.0) / rate)
 
 
-def cue_seconds(chars: Column, total_chars: Column, total_seconds: Column) -> Column:
-    """Share of the total time by length, kept between the shortest and longest cue."""
-    share = chars / (total_chars / total_seconds)
-    return F.greatest(F.lit(MIN_CUE_SECONDS), F.least(F.lit(MAX_CUE_SECONDS), share))
+def cue_seconds(chars: Column, chars_per_second: Column) -> Column:
+    """Time for a cue by its length, kept between the shortest and longest cue."""
+    return F.greatest(
+        F.lit(MIN_CUE_SECONDS), F.least(F.lit(MAX_CUE_SECONDS), chars / chars_per_second)
+    )
 
 
 def running_starts(seconds: Column) -> Column:

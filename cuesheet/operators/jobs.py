@@ -180,46 +180,39 @@ def match_voices(jobs: DataFrame, voices: DataFrame) -> DataFrame:
     return jobs.withColumn("__asked", F.lower("voice_id")).join(index, "__asked", "left").drop("__asked")
 
 
-def _request_columns(text: Column) -> dict[str, Column]:
-    return {
-        "rate": speech_rate(F.col("speed")),
-        "slow": F.col("speed") < SLOW_SPEED,
-        "n_chars": F.length(text),
-        "n_chunks": F.size(request_chunks(text)),
-    }
+def _requests(rows: DataFrame, key: str, number: Column, filename: Column) -> DataFrame:
+    """Requests of the rows that have text.
+
+    Blank rows give no array element instead of being filtered: Spark would
+    push a filter on the text below the cleaning and do that twice.
+    """
+    text = F.col("text")
+    request = F.struct(
+        number.alias("page_number"),
+        filename.alias("filename"),
+        "routed_engine",
+        speech_rate(F.col("speed")).alias("rate"),
+        (F.col("speed") < SLOW_SPEED).alias("slow"),
+        F.length(text).alias("n_chars"),
+        F.size(request_chunks(text)).alias("n_chunks"),
+    )
+    wanted = F.array(F.when(~is_blank(text), request))
+    return explode_rows(rows, wanted, "request").select(key, "request.*")
 
 
 def page_requests(pages: DataFrame, jobs: DataFrame, key: str, prefix: Column) -> DataFrame:
     """One synthesis request per page that has text, with its job's settings."""
-    wanted = pages.where(~is_blank(F.col("text")))
     settings = jobs.select(key, "routed_engine", "speed")
-    joined = document_facts(wanted, key, "page_number", {}, settings, "inner")
-    return joined.withColumns(_request_columns(F.col("text"))).select(
-        key,
-        "page_number",
-        page_file(prefix, F.col("page_number"), F.lit(".mp3")).alias("filename"),
-        "routed_engine",
-        "rate",
-        "slow",
-        "n_chars",
-        "n_chunks",
-    )
+    joined = document_facts(pages, key, "page_number", {}, settings, "inner")
+    number = F.col("page_number")
+    return _requests(joined, key, number, page_file(prefix, number, F.lit(".mp3")))
 
 
 def document_requests(texts: DataFrame, jobs: DataFrame, key: str, prefix: Column) -> DataFrame:
     """One synthesis request per document, for texts that are one row each."""
-    wanted = texts.where(~is_blank(F.col("text")))
-    joined = wanted.join(jobs.select(key, "routed_engine", "speed", "audio_format"), key)
-    return joined.withColumns(_request_columns(F.col("text"))).select(
-        key,
-        F.lit(None).cast("int").alias("page_number"),
-        complete_file(prefix, dotted(F.col("audio_format"))).alias("filename"),
-        "routed_engine",
-        "rate",
-        "slow",
-        "n_chars",
-        "n_chunks",
-    )
+    joined = texts.join(jobs.select(key, "routed_engine", "speed", "audio_format"), key)
+    name = complete_file(prefix, dotted(F.col("audio_format")))
+    return _requests(joined, key, F.lit(None).cast("int"), name)
 
 
 def synthesis_outcomes(requests: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:

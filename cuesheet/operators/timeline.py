@@ -28,7 +28,11 @@ def cue_array(text: Column, seconds: Column) -> Column:
     """
 
     def timed(parts: Column) -> Column:
-        durations = F.transform(parts, lambda s: cue_seconds(F.length(s), F.length(text), seconds))
+        # Bound, so that the whole text is not measured again for every sentence.
+        durations = let(
+            F.length(text) / seconds,
+            lambda rate: F.transform(parts, lambda s: cue_seconds(F.length(s), rate)),
+        )
         return let(durations, lambda d: let(running_starts(d), lambda run: cues(parts, d, run)))
 
     def cues(parts: Column, durations: Column, run: Column) -> Column:
@@ -158,10 +162,10 @@ def document_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame
         "__no",
         {
             "cue": F.lit(1).cast("bigint"),
-            "time": cue_seconds(F.length("sentence"), F.col("__rate"), F.lit(1.0)),
+            "time": cue_seconds(F.length("sentence"), F.col("__rate")),
         },
     )
-    seconds = cue_seconds(F.length("sentence"), F.col("__rate"), F.lit(1.0))
+    seconds = cue_seconds(F.length("sentence"), F.col("__rate"))
     scale = F.col("__seconds") / F.col("time_total")
     return counted.select(
         key,

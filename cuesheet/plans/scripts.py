@@ -14,6 +14,7 @@ from cuesheet.functions.text import (
     word_count,
 )
 from cuesheet.functions.timecode import speech_seconds
+from cuesheet.operators.blocks import explode_rows
 from cuesheet.operators.pages import NO_TEXT, first_page_preview, text_stats
 from cuesheet.operators.render import srt_text, vtt_text
 from cuesheet.operators.timeline import cue_array
@@ -31,10 +32,14 @@ def with_duration(texts: DataFrame, speed: Column, measured: str | None = None)
 
 
 def subtitle_files(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """SRT and WebVTT file of every text with a duration, within its row."""
-    timed = texts.where(F.col("duration") > 0).select(
-        *keys, cue_array(F.col("text"), F.col("duration")).alias("cues")
-    )
+    """SRT and WebVTT file of every text with a duration, within its row.
+
+    Texts without one have no cues and are dropped after the fact: Spark would
+    push a filter on the duration below everything the duration is made of,
+    and work that out twice.
+    """
+    cues = F.array(cue_array(F.col("text"), F.col("duration")))
+    timed = explode_rows(texts.select(*keys, "text", "duration"), cues, "cues")
     return timed.select(*keys, srt_text(F.col("cues")).alias("srt"), vtt_text(F.col("cues")).alias("vtt"))
 
 
