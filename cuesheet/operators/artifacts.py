@@ -101,12 +101,13 @@ def unique_names(requests: DataFrame, taken: DataFrame, stamp: Column) -> DataFr
     """
     name = F.concat_ws("\0", "base", dotted(F.col("extension"))).alias("__name")
     rank = F.col("n_before")
-    asked = document_facts(requests.select("*", name), "__name", "id", {"n": _one()})
+    asked = document_facts(requests.select("*", name), "__name", "id", {"n": _one()}, sparse=True)
     held = document_facts(
         taken.select(name, F.col("counter").cast("bigint").alias("counter")).distinct(),
         "__name",
         "counter",
         {"n": _one()},
+        sparse=True,
     )
     passed = held.groupBy("__name", (F.col("counter") - rank).alias("at")).agg(
         F.count("*").alias("passed")
@@ -116,9 +117,9 @@ def unique_names(requests: DataFrame, taken: DataFrame, stamp: Column) -> DataFr
     ).unionByName(
         passed.select("__name", (F.col("at") * 2).alias("place"), "passed"), allowMissingColumns=True
     )
-    counted = document_facts(line, "__name", "place", {"skip": F.col("passed")}).where(
-        F.col("id").isNotNull()
-    )
+    counted = document_facts(
+        line, "__name", "place", {"skip": F.col("passed")}, sparse=True
+    ).where(F.col("id").isNotNull())
     counter = F.shiftright(F.col("place"), 1) + F.col("skip_before")
     return counted.select(
         "id", timestamped(F.col("base"), stamp, counter, F.col("extension")).alias("filename")

@@ -12,12 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Bits of the ordinal dropped at each level. 4096 rows to a block; wide
-# ordinals get a second level, so that sparse ones cannot gather either.
-_INT_LEVELS = (12,)
-_LONG_LEVELS = (12, 32)
+# Bits of the ordinal dropped at each level: 4096 ordinals to a block. Ordinals
+# with wide gaps may leave each row a block of its own and get a second level.
+_DENSE = (12,)
+_SPARSE = (12, 32)
 
 
 def document_facts(
@@ -27,17 +26,22 @@ def document_facts(
     sums: dict[str, Column],
     attach: DataFrame | None = None,
     how: str = "left",
+    sparse: bool = False,
 ) -> DataFrame:
     """`rows` with `<name>_before` and `<name>_total` for every entry of `sums`.
 
-    `order` is an integer column, not negative and unique within `key`.
+    `order` is an integer column, not negative and unique within `key`;
+    `sparse` says that its values may lie far apart.
+
+    The rows are read twice, for the blocks and for themselves. Where they come
+    out of a shuffle of the same columns both times, Spark reuses it.
+
     `attach` is a table with at most one row per `key`. Its columns are joined
     on (`how` as in a join) where a document is one row per block, so a
     document that holds much of all rows makes no join task large.
     """
-    wide = not isinstance(rows.schema[order].dataType, T.IntegerType)
     staged = rows.withColumns({_value(name): value for name, value in sums.items()})
-    facts = _facts(staged, key, order, list(sums), attach, how, _LONG_LEVELS if wide else _INT_LEVELS)
+    facts = _facts(staged, key, order, list(sums), attach, how, _SPARSE if sparse else _DENSE)
     return facts.drop(*[_value(name) for name in sums])
 
 

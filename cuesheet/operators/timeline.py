@@ -79,8 +79,8 @@ def page_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame:
     """
     on = [key, "page_number"]
     timed = (
-        pages.select(*on, "text", F.lit(1).alias("__page"))
-        .join(durations.select(*on, "duration", F.lit(1).alias("__timed")), on, "full")
+        pages.select(*on, F.coalesce("text", F.lit("")).alias("text"))
+        .join(durations.select(*on, "duration").where(F.col("duration").isNotNull()), on, "full")
         .withColumn(
             "__chunks",
             F.when(
@@ -88,7 +88,7 @@ def page_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame:
             ),
         )
     )
-    one_sided = F.coalesce("__page", F.lit(0)) - F.coalesce("__timed", F.lit(0))
+    surplus = F.col("text").isNotNull().cast("bigint") - F.col("duration").isNotNull().cast("bigint")
     facts = document_facts(
         timed,
         key,
@@ -96,10 +96,10 @@ def page_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame:
         {
             "time": F.coalesce("duration", F.lit(0.0)),
             "cues": F.coalesce(F.array_size("__chunks"), F.lit(0)).cast("bigint"),
-            "surplus": one_sided.cast("bigint"),
+            "surplus": surplus,
         },
     )
-    complete = facts.where(F.col("surplus_total") == 0).where(F.col("__timed").isNotNull())
+    complete = facts.where(F.col("surplus_total") == 0)
     offset, duration = F.col("time_before"), F.col("duration")
     share = duration / F.array_size("__chunks")
     start = offset + F.col("__at") * share
@@ -148,25 +148,28 @@ def document_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame
         (F.col("breaks_before") + F.col("__at")).alias("__no"),
         "page_number",
         "piece",
-        ((F.col("chars_total") + F.col("page_total") - 1) / F.col("time_total")).alias("__rate"),
-        "time_total",
+        F.struct(
+            ((F.col("chars_total") + F.col("page_total") - 1) / F.col("time_total")).alias("rate"),
+            F.col("time_total").alias("seconds"),
+        ).alias("__pace"),
     )
+    # One column for both numbers: the shuffle of the sentences then has the
+    # same columns wherever it is needed, and is done once.
     whole = pieces.groupBy(key, "__no").agg(
         strip(F.expr("listagg(piece, '') within group (order by page_number)")).alias("sentence"),
-        F.first("__rate").alias("__rate"),
-        F.first("time_total").alias("__seconds"),
+        F.first("__pace").alias("__pace"),
     )
+    seconds = cue_seconds(F.length("sentence"), F.col("__pace.rate"))
     counted = document_facts(
         whole.where(F.col("sentence") != ""),
         key,
         "__no",
         {
             "cue": F.lit(1).cast("bigint"),
-            "time": cue_seconds(F.length("sentence"), F.col("__rate")),
+            "time": seconds,
         },
     )
-    seconds = cue_seconds(F.length("sentence"), F.col("__rate"))
-    scale = F.col("__seconds") / F.col("time_total")
+    scale = F.col("__pace.seconds") / F.col("time_total")
     return counted.select(
         key,
         (F.col("cue_before") + 1).alias("index"),

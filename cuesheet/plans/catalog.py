@@ -56,7 +56,7 @@ def queries() -> dict[str, Query]:
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return read_table(spark, folder, "documents", KEY, *columns)
+    return read_table(spark, folder, "documents", *columns)
 
 
 def scripts(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +66,7 @@ def scripts(spark: SparkSession, folder: str) -> DataFrame:
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as raw paged documents: a turn is a page."""
-    return read_table(spark, folder, "conversations", "conv_id", "turn", "text").select(
+    return read_table(spark, folder, "conversations", "text").select(
         F.col("conv_id").alias(KEY), (F.col("turn") + 1).cast("int").alias("page_number"), "text"
     )
 
@@ -97,7 +97,7 @@ def outcomes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def web_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "pages", "page_id", "url", "html").withColumnRenamed("page_id", KEY)
+    return read_table(spark, folder, "pages", "url", "html").withColumnRenamed("page_id", KEY)
 
 
 def job_overrides(spark: SparkSession, folder: str) -> DataFrame:

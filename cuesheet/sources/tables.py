@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from cuesheet.session import spread
 
 
+# The columns that tell the rows of a table apart.
+ROW_KEYS = {"documents": ("doc_id",), "conversations": ("conv_id", "turn"), "pages": ("page_id",)}
+
+
 def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Only the named columns; the first is the key."""
-    return spread(spark.read.parquet(f"{folder}/{name}.parquet").select(*columns), columns[0])
+    """The key of a table and the named columns."""
+    keys = ROW_KEYS[name]
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet").select(*keys, *columns), *keys)
 
 
 def html_paragraphs(html: Column) -> Column:

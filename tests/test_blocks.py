@@ -51,7 +51,7 @@ def test_running_sums_and_totals(hot):
 def test_sparse_long_ordinals(spark):
     ids = [0, 1, 4095, 4096, 2**32 - 1, 2**32, 2**45, 2**45 + 5, 2**62]
     df = spark.createDataFrame([("a", i) for i in ids] + [("b", 7)], "k string, o bigint")
-    facts = document_facts(df, "k", "o", {"n": F.lit(1)})
+    facts = document_facts(df, "k", "o", {"n": F.lit(1)}, sparse=True)
     assert [(r.o, r.n_before, r.n_total) for r in facts.where("k = 'a'").orderBy("o").collect()] == [
         (o, i, len(ids)) for i, o in enumerate(ids)
     ]
