@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuesheet.functions.arrays import let
 from cuesheet.functions.names import complete_file, dotted, page_file, suffix
 from cuesheet.functions.segments import request_chunks
 from cuesheet.functions.text import is_blank
 from cuesheet.functions.timecode import speech_rate
 from cuesheet.operators.blocks import document_facts, explode_rows
+from cuesheet.operators.lookup import lookup
 
 # Settings of a job that names none, with their types.
 DEFAULTS = {
@@ -60,12 +62,16 @@ def with_defaults(overrides: DataFrame, keys: list[str]) -> DataFrame:
 def resolution(text: Column) -> Column:
     """`struct(width, height)` of WIDTHxHEIGHT; null unless both are positive."""
     number = r"\s*\+?(?:\d+_)*\d+\s*"
-    halves = F.split(F.when(text.rlike(rf"^{number}x{number}\z"), text), "x")
-    width, height = (
-        F.trim(F.regexp_replace(halves[i], r"[_+\s]", "")).try_cast("bigint") for i in (0, 1)
-    )
-    size = F.struct(width.alias("width"), height.alias("height"))
-    return F.when((width > 0) & (height > 0), size)
+    bare = F.regexp_replace(F.when(text.rlike(rf"^{number}x{number}\z"), text), r"[_+\s]", "")
+
+    def size(halves: Column) -> Column:
+        width, height = (F.get(halves, F.lit(i)).try_cast("bigint") for i in (0, 1))
+        return F.struct(width.alias("width"), height.alias("height"))
+
+    def if_positive(size: Column) -> Column:
+        return F.when((size["width"] > 0) & (size["height"] > 0), size)
+
+    return let(let(F.split(bare, "x"), size), if_positive)
 
 
 def voice_config() -> Column:
@@ -99,21 +105,15 @@ def format_gate(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumns({"is_valid": fits, "reject_reason": reason})
 
 
-def validate(jobs: DataFrame, existing: DataFrame) -> DataFrame:
+def validate(jobs: DataFrame, existing: DataFrame, job: str = "job_id") -> DataFrame:
     """The first rule each job breaks as `reject_reason`; null if it may run.
 
-    `existing` is the inventory of paths, each once.
+    `existing` is the inventory of paths, each once; `job` tells jobs apart.
     """
-    known = existing.select("path")
-    found = jobs.join(
-        known.select(F.col("path").alias("input_path"), F.lit(True).alias("__input")),
-        "input_path",
-        "left",
-    ).join(
-        known.select(F.col("path").alias("background"), F.lit(True).alias("__background")),
-        "background",
-        "left",
-    )
+    found = jobs
+    for path, mark in (("input_path", "__input"), ("background", "__background")):
+        known = existing.select(F.col("path").alias(path), F.lit(True).alias(mark))
+        found = lookup(found, known, path, job)
     rules = [
         ("unknown engine", ~F.col("engine").isin(*ENGINES)),
         ("unknown output type", ~F.col("output_type").isin(*OUTPUT_TYPES)),
@@ -154,7 +154,7 @@ def route_engines(jobs: DataFrame, engines: DataFrame) -> DataFrame:
     )
 
 
-def match_voices(jobs: DataFrame, voices: DataFrame) -> DataFrame:
+def match_voices(jobs: DataFrame, voices: DataFrame, job: str = "job_id") -> DataFrame:
     """First voice, in device order, whose id contains the voice asked for.
 
     Containment becomes equality: every voice is listed under all substrings
@@ -177,7 +177,7 @@ def match_voices(jobs: DataFrame, voices: DataFrame) -> DataFrame:
         .groupBy("__asked")
         .agg(F.min_by("id", "ordinal").alias("matched_voice"))
     )
-    return jobs.withColumn("__asked", F.lower("voice_id")).join(index, "__asked", "left").drop("__asked")
+    return lookup(jobs.withColumn("__asked", F.lower("voice_id")), index, "__asked", job).drop("__asked")
 
 
 def _requests(rows: DataFrame, key: str, number: Column, filename: Column) -> DataFrame:

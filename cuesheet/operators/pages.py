@@ -11,7 +11,7 @@ from cuesheet.operators.blocks import document_facts, explode_rows
 PRIMARY_METHOD = "pymupdf"
 SECONDARY_METHOD = "pdfplumber"
 # Pages whose texts are joined into one string; longer documents have parts.
-PART_PAGES_BITS = 12
+PART_PAGES_BITS = 8
 NO_TEXT = "No text could be extracted from this PDF."
 
 
@@ -79,7 +79,7 @@ def corpus_totals(pages: DataFrame) -> DataFrame:
 def assemble(pages: DataFrame, key: str) -> DataFrame:
     """Text of a document: its pages in order, joined by a space.
 
-    A string has to fit into a row, so a document beyond 4,096 page numbers
+    A string has to fit into a row, so a document beyond 256 page numbers
     has several parts; joined by a space in order of `part` they are its text.
     """
     part = F.shiftright(F.col("page_number") - 1, PART_PAGES_BITS)

@@ -128,7 +128,7 @@ def test_document_cues_equal_cues_of_the_joined_text(hot, spark):
 
 def test_assembly_parts_join_to_the_whole(hot):
     parts = by_document(P.assemble(hot, "doc_id"), "part", "text")
-    assert len(parts[1]) == 4
+    assert len(parts[1]) == 51
     for doc, rows in by_document(hot, "page_number", "text").items():
         assert " ".join(p[1] for p in parts[doc]) == " ".join(r[1] for r in rows)
 
