@@ -4,14 +4,17 @@ A window over a document would sort all its pages in one task, however many
 there are. Here its rows are cut into blocks of consecutive ordinals. Rows are
 shuffled by (document, block), so the pages of a huge document spread over the
 cluster; only one small row per block is brought together by document, and the
-sums found there travel back to the rows through the block. Sums are partial
-before that first shuffle.
+sums found there travel back to the rows through the block. Whole numbers are
+summed up before they are shuffled. Fractions are added in the order of the
+rows, as a loop over the document would, so that results do not change in
+their last digits from run to run; a block bounds what one sum has to sort.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Bits of the ordinal dropped at each level: 4096 ordinals to a block. Ordinals
 # with wide gaps may leave each row a block of its own and get a second level.
@@ -60,8 +63,9 @@ def _facts(
 ) -> DataFrame:
     if not levels:
         joined = rows if attach is None else rows.join(attach, key, how)
-        whole = Window.partitionBy(key)
-        earlier = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        ordered = Window.partitionBy(key).orderBy(order)
+        earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return joined.withColumns(
             {f"{name}_before": _sum_over(name, earlier) for name in names}
             | {f"{name}_total": _sum_over(name, whole) for name in names}
@@ -70,7 +74,7 @@ def _facts(
     block = f"__block{len(levels)}"
     shift, rest = levels[0], tuple(bits - levels[0] for bits in levels[1:])
     blocked = rows.withColumn(block, F.shiftright(order, shift))
-    sums = [F.sum(_value(name)).alias(_value(name)) for name in names]
+    sums = [_block_sum(blocked, name, order).alias(_value(name)) for name in names]
     blocks = blocked.groupBy(key, block).agg(*sums) if sums else blocked.select(key, block).distinct()
     blocks = _facts(blocks, key, block, names, attach, how, rest)
     base = blocks.drop(*[_value(name) for name in names]).withColumnsRenamed(
@@ -85,6 +89,14 @@ def _facts(
     return located.drop(block, *[f"__base_{name}" for name in names])
 
 
+def _block_sum(blocked: DataFrame, name: str, order: str) -> Column:
+    value = _value(name)
+    if not isinstance(blocked.schema[value].dataType, T.FractionalType):
+        return F.sum(value)
+    rows = F.array_sort(F.collect_list(F.struct(order, F.coalesce(value, F.lit(0.0)).alias("value"))))
+    return F.aggregate(rows, F.lit(0.0), lambda total, row: total + row["value"])
+
+
 def _sum_over(name: str, window: Window) -> Column:
     return F.coalesce(F.sum(_value(name)).over(window), F.lit(0))
 

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_COPIES = 64
+_SHARES = 64
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, row_id: str) -> DataFrame:
     """Left join of `rows` with `table`, which has at most one row per `key`.
 
-    Rows with the same key, or with none, are spread over 64 copies of its
-    entry. Only entries that some row asks for are copied.
+    Rows with the same key, or with none, are spread over 64 shares by
+    `row_id`. The table is joined to the distinct (key, share) pairs: a key
+    that is everywhere makes 64 of them, a rare one no more than it has rows.
     """
-    asked = rows.select(key).where(F.col(key).isNotNull()).distinct()
-    copies = table.join(asked, key, "left_semi").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(0), F.lit(_COPIES - 1)))
-    )
-    copy = F.pmod(F.xxhash64(row_id), F.lit(_COPIES)).cast("int")
-    return rows.withColumn("__copy", copy).join(copies, [key, "__copy"], "left").drop("__copy")
+    share = F.pmod(F.xxhash64(row_id), F.lit(_SHARES)).cast("int")
+    shared = rows.withColumn("__share", share)
+    pairs = shared.select(key, "__share").where(F.col(key).isNotNull()).distinct()
+    return shared.join(pairs.join(table, key), [key, "__share"], "left").drop("__share")

@@ -207,21 +207,28 @@ def render_cues(cues: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def segment_timeline(pages: DataFrame, durations: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:
+def segment_timeline(pages: DataFrame, audio: DataFrame, key: str) -> DataFrame:
     """Edit list of page videos: segments end to end, each with title and caption.
 
-    Pages without an artifact have no segment and take no time.
+    `audio` lists (key, page_number, duration, exists) for every page that was
+    spoken. A document with unequal counts of pages and audio has no segments.
+    A file that is listed but gone leaves its page out, and takes no time.
     """
     on = [key, "page_number"]
-    segments = (
-        pages.select(*on, "text")
-        .join(durations.select(*on, "duration"), on)
-        .join(artifacts.select(*on), on, "left_semi")
-    )
+    listed = audio.select(*on, "duration", "exists").where(F.col("exists").isNotNull())
+    paired = pages.select(*on, F.coalesce("text", F.lit("")).alias("text")).join(listed, on, "full")
+    present = F.coalesce(F.col("exists") & F.col("text").isNotNull(), F.lit(False))
     placed = document_facts(
-        segments, key, "page_number", {"time": F.col("duration"), "segment": F.lit(1).cast("bigint")}
+        paired,
+        key,
+        "page_number",
+        {
+            "time": F.when(present, F.col("duration")).otherwise(0.0),
+            "segment": present.cast("bigint"),
+            "surplus": F.col("text").isNotNull().cast("bigint") - F.col("exists").isNotNull().cast("bigint"),
+        },
     )
-    return placed.select(
+    return placed.where(F.col("surplus_total") == 0).where(present).select(
         *on,
         (F.col("segment_before") + 1).alias("segment"),
         F.col("time_before").alias("start_time"),

@@ -342,8 +342,15 @@ def render_cues(spark, folder):
 
 @_query("segment_timeline")
 def segment_timeline(spark, folder):
-    made = outcomes(spark, folder).where("ok")
-    return T.segment_timeline(paged(spark, folder), durations(spark, folder), made, KEY)
+    """All pages were spoken; the files of very short ones are gone."""
+    words = word_count(F.col("text"))
+    audio = paged(spark, folder).select(
+        KEY,
+        "page_number",
+        speech_seconds(words, F.lit(1.0)).alias("duration"),
+        (words >= SHORT_PAGE_WORDS).alias("exists"),
+    )
+    return T.segment_timeline(paged(spark, folder), audio, KEY)
 
 
 # Subtitle files ------------------------------------------------------------

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions.text import (
     clean_text,
-    one_decimal,
     processing_minutes,
     survives_cleaning,
     thousands,
@@ -54,5 +53,5 @@ def text_report(pages: DataFrame, key: str, documents: DataFrame) -> DataFrame:
         thousands(F.col("total_words")).alias("words"),
         "average_words_per_page",
         F.coalesce("preview", F.lit(NO_TEXT)).alias("preview"),
-        one_decimal(processing_minutes(F.col("total_characters"))).alias("minutes"),
+        processing_minutes(F.col("total_characters")).alias("minutes"),
     )

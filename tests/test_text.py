@@ -72,7 +72,7 @@ def test_preview_edge(apply, size, want):
 def test_report_numbers(spark):
     from pyspark.sql import functions as F
 
-    row = spark.range(1).select(
-        X.thousands(F.lit(1234567)), X.one_decimal(X.processing_minutes(F.lit(1250)))
-    ).first()
-    assert (row[0], row[1]) in {("1,234,567", "1.3"), ("1,234,567", "1.2")}
+    counts = [*range(0, 30001, 25), *range(10**9 + 50, 10**9 + 10**5, 100), 123456789050]
+    df = spark.createDataFrame([(c,) for c in counts], "c bigint")
+    for row in df.select("c", X.processing_minutes(F.col("c")).alias("m"), X.thousands(F.col("c")).alias("t")).collect():
+        assert (row.m, row.t) == (f"{row.c / 1000:.1f}", f"{row.c:,}")

@@ -114,11 +114,13 @@ def test_render_cues_drop_blank_text(rows):
     assert [tuple(r) for r in got.collect()] == [(1, 1.0, 2.0, "x")]
 
 
-def test_segments_skip_missing_audio(rows):
-    pages = rows([(1, 1, "a"), (1, 3, "b"), (1, 4, "c")], PAGE)
-    times = rows([(1, 1, 2.0), (1, 3, 5.0), (1, 4, 1.5)], TIME)
-    made = rows([(1, 1), (1, 4)], "doc_id int, page_number int")
-    got = T.segment_timeline(pages, times, made, "doc_id").orderBy("page_number").collect()
+def test_segments(rows):
+    pages = rows([(1, 1, "a"), (1, 3, "b"), (1, 4, "c"), (2, 1, "d"), (2, 2, "e")], PAGE)
+    audio = rows(
+        [(1, 1, 2.0, True), (1, 3, 5.0, False), (1, 4, 1.5, True), (2, 1, 1.0, True)], TIME + ", exists boolean"
+    )
+    got = T.segment_timeline(pages, audio, "doc_id").orderBy("page_number").collect()
+    # The missing file of page 3 takes no time; document 2 has too little audio.
     assert [tuple(r) for r in got] == [
         (1, 1, 1, 0.0, 2.0, "Page 1", "a"),
         (1, 4, 2, 2.0, 3.5, "Page 4", "c"),
