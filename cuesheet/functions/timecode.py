@@ -12,13 +12,24 @@ WORDS_PER_MINUTE = 200
 
 
 def _timestamp(seconds: Column, mark: str) -> Column:
-    # Milliseconds are cut, not rounded, and so never carry.
-    return F.format_string(
-        f"%02d:%02d:%02d{mark}%03d",
-        F.floor(seconds / 3600),
-        F.floor((seconds % 3600) / 60),
-        F.floor(seconds % 60),
-        F.floor((seconds % 1) * 1000),
+    """`HH:MM:SS` and milliseconds, which are cut, not rounded, and so never carry."""
+
+    def whole(value: Column, unit: int) -> Column:
+        # Exact, where a plain quotient may round up to the next whole number.
+        return ((value - value % unit) / unit).cast("int")
+
+    def digits(value: Column, width: int) -> Column:
+        return F.lpad(value.cast("string"), width, "0")
+
+    hours = whole(seconds, 3600).cast("string")
+    return F.concat(
+        F.lpad(hours, F.greatest(F.length(hours), F.lit(2)), F.lit("0")),
+        F.lit(":"),
+        digits(whole(seconds % 3600, 60), 2),
+        F.lit(":"),
+        digits((seconds % 60).cast("int"), 2),
+        F.lit(mark),
+        digits(((seconds % 1) * 1000).cast("int"), 3),
     )
 
 

@@ -97,9 +97,9 @@ def request_chunks(text: str) -> str:
 
 def timestamp(seconds: str, mark: str) -> str:
     return (
-        f"printf('%02d:%02d:%02d{mark}%03d', floor({seconds} / 3600)::BIGINT, "
-        f"floor(({seconds} % 3600) / 60)::BIGINT, floor({seconds} % 60)::BIGINT, "
-        f"floor(({seconds} % 1) * 1000)::BIGINT)"
+        f"printf('%02d:%02d:%02d{mark}%03d', (({seconds} - {seconds} % 3600) / 3600)::BIGINT, "
+        f"(({seconds} % 3600 - {seconds} % 60) / 60)::BIGINT, trunc({seconds} % 60)::BIGINT, "
+        f"trunc(({seconds} % 1) * 1000)::BIGINT)"
     )
 
 
