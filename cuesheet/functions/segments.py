@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions.arrays import array_scan, let, slices_from
 from cuesheet.functions.text import SPACE, collapse_space, strip
 
+# Limits of lines, cues, captions and synthesis calls.
 LINE_WIDTH = 60
 CUE_LINES = 2
 CAPTION_LINES = 3
@@ -94,16 +95,16 @@ def _pack(pieces: Column, limit: int, gap: int, first_gap: int) -> Column:
     return let(pieces, lambda parts: slices_from(parts, opens(parts)))
 
 
-def cue_chunks(text: Column, duration: Column) -> Column:
-    """Unwrapped cue texts of one page.
+def packed_sentences(text: Column) -> Column:
+    """Whole sentences packed into two lines' worth of characters."""
+    runs = _pack(sentences(text), LINE_WIDTH * CUE_LINES, 1, 0)
+    return F.transform(runs, lambda run: F.array_join(run, " "))
 
-    A page shorter than the longest cue stays whole; otherwise whole sentences
-    are packed into two lines' worth of characters.
-    """
-    packed = F.transform(
-        _pack(sentences(text), LINE_WIDTH * CUE_LINES, 1, 0), lambda chunk: F.array_join(chunk, " ")
-    )
-    return F.when(duration <= MAX_CUE_SECONDS, F.array(text)).otherwise(packed)
+
+def cue_chunks(text: Column, duration: Column) -> Column:
+    """Unwrapped cue texts of one page, which stays whole if it is short enough
+    for one cue."""
+    return F.when(duration <= MAX_CUE_SECONDS, F.array(text)).otherwise(packed_sentences(text))
 
 
 def request_chunks(text: Column, max_chars: int = REQUEST_CHARS) -> Column:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from cuesheet.functions.text import clean_text, preview, survives_cleaning, word_count
 from cuesheet.operators.blocks import document_facts, explode_rows
 
+# Names of the extraction methods, and the message for no text.
 PRIMARY_METHOD = "pymupdf"
 SECONDARY_METHOD = "pdfplumber"
+NO_TEXT = "No text could be extracted from this PDF."
 # Pages whose texts are joined into one string; longer documents have parts.
 PART_PAGES_BITS = 8
-NO_TEXT = "No text could be extracted from this PDF."
 
 
 def page_rows(rows: DataFrame, text: str, method: str) -> DataFrame:

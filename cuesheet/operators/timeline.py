@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions.arrays import let
 from cuesheet.functions.segments import (
+    MAX_CUE_SECONDS,
     MIN_CUE_SECONDS,
     SENTENCE_END,
-    cue_chunks,
+    packed_sentences,
     sentences,
     wrap_caption,
     wrap_cue,
@@ -78,17 +79,21 @@ def page_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame:
     pages and durations have no cues.
     """
     on = [key, "page_number"]
-    timed = (
-        pages.select(*on, F.coalesce("text", F.lit("")).alias("text"))
-        .join(durations.select(*on, "duration").where(F.col("duration").isNotNull()), on, "full")
-        .withColumn(
-            "__chunks",
-            F.when(
-                strip(F.col("text")) != "", cue_chunks(strip(F.col("text")), F.col("duration"))
-            ),
-        )
+    text = strip(F.coalesce("text", F.lit("")))
+    # Both forms of a page are made before the shuffle, which then carries no
+    # more than the text and serves both readers of `timed`.
+    forms = pages.select(
+        *on,
+        wrap_cue(text).alias("__whole"),
+        F.transform(packed_sentences(text), wrap_cue).alias("__packed"),
+    )
+    known = durations.select(*on, "duration").where(F.col("duration").isNotNull())
+    short = F.col("duration") <= MAX_CUE_SECONDS
+    timed = forms.join(known, on, "full").withColumn(
+        "__chunks",
+        F.when(short & (F.size("__packed") > 0), F.array("__whole")).otherwise(F.col("__packed")),
     )
-    surplus = F.col("text").isNotNull().cast("bigint") - F.col("duration").isNotNull().cast("bigint")
+    surplus = F.col("__packed").isNotNull().cast("bigint") - F.col("duration").isNotNull().cast("bigint")
     facts = document_facts(
         timed,
         key,
@@ -106,7 +111,7 @@ def page_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame:
     end = F.least(start + share, offset + duration)
     return explode_rows(
         complete.select(key, "time_before", "cues_before", "duration", "__chunks"),
-        F.transform("__chunks", wrap_cue),
+        F.col("__chunks"),
         "text",
         "__at",
     ).select(
@@ -128,26 +133,36 @@ def document_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame
     the sentence and meet there.
     """
     on = [key, "page_number"]
+    text = F.col("text")
+    split = pages.select(
+        *on,
+        F.length(text).cast("bigint").alias("__length"),
+        F.split(F.concat(text, F.lit(" ")), SENTENCE_END, -1).alias("__pieces"),
+        F.regexp_extract(text, r"[.!?]*\z", 0).alias("__marks"),
+    )
     paged = document_facts(
-        pages.select(*on, "text").join(durations.select(*on, "duration"), on, "left"),
+        split.join(durations.select(*on, "duration"), on, "left"),
         key,
         "page_number",
         {
             "page": F.lit(1).cast("bigint"),
-            "chars": F.length("text").cast("bigint"),
-            "breaks": (F.size(F.split(F.concat("text", F.lit(" ")), SENTENCE_END, -1)) - 1).cast("bigint"),
+            "chars": F.col("__length"),
+            "breaks": (F.size("__pieces") - 1).cast("bigint"),
             "time": F.coalesce("duration", F.lit(0.0)),
         },
     )
-    is_last = F.col("page_before") + 1 == F.col("page_total")
-    joined = F.when(is_last, F.col("text")).otherwise(F.concat("text", F.lit(" ")))
+    # Nothing follows the last page, so its last sentence keeps its marks.
+    ends = (F.col("page_before") + 1 == F.col("page_total")) & (
+        F.col("__at") == F.size("__pieces") - 2
+    )
+    piece = F.when(ends, F.concat("piece", "__marks")).otherwise(F.col("piece"))
     pieces = explode_rows(
-        paged.where(F.col("time_total") > 0), F.split(joined, SENTENCE_END, -1), "piece", "__at"
+        paged.where(F.col("time_total") > 0), F.col("__pieces"), "piece", "__at"
     ).select(
         key,
         (F.col("breaks_before") + F.col("__at")).alias("__no"),
         "page_number",
-        "piece",
+        piece.alias("piece"),
         F.struct(
             ((F.col("chars_total") + F.col("page_total") - 1) / F.col("time_total")).alias("rate"),
             F.col("time_total").alias("seconds"),
