@@ -91,7 +91,7 @@ def _facts(
 
 def _block_sum(blocked: DataFrame, name: str, order: str) -> Column:
     value = _value(name)
-    if not isinstance(blocked.schema[value].dataType, T.FractionalType):
+    if not isinstance(blocked.schema[value].dataType, (T.DoubleType, T.FloatType)):
         return F.sum(value)
     rows = F.array_sort(F.collect_list(F.struct(order, F.coalesce(value, F.lit(0.0)).alias("value"))))
     return F.aggregate(rows, F.lit(0.0), lambda total, row: total + row["value"])

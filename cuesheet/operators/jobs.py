@@ -11,7 +11,7 @@ from cuesheet.functions.segments import request_chunks
 from cuesheet.functions.text import is_blank
 from cuesheet.functions.timecode import speech_rate
 from cuesheet.operators.blocks import document_facts, explode_rows
-from cuesheet.operators.lookup import lookup
+from cuesheet.operators.lookup import lookup, lookup_few
 
 # Settings of a job that names none, with their types.
 DEFAULTS = {
@@ -133,14 +133,14 @@ def validate(jobs: DataFrame, existing: DataFrame, job: str = "job_id") -> DataF
     return found.select(*jobs.columns, reason.alias("reject_reason"))
 
 
-def route_engines(jobs: DataFrame, engines: DataFrame) -> DataFrame:
+def route_engines(jobs: DataFrame, engines: DataFrame, job: str = "job_id") -> DataFrame:
     """Engine that runs each job: the one asked for, or the first available.
 
     `engines` is the registry (name, ordinal, available). Unknown names fail.
     """
     fallback = engines.where("available").agg(F.min_by("name", "ordinal")).scalar()
     registry = engines.select(F.col("name").alias("engine"), F.col("available").alias("__available"))
-    routed = jobs.join(registry, "engine", "left").withColumn("__first", fallback)
+    routed = lookup_few(jobs, registry, "engine", job).withColumn("__first", fallback)
     unknown = F.col("__available").isNull()
     choice = F.when(F.col("__available"), F.col("engine")).when(~unknown, F.col("__first"))
     reason = (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SHARES = 64
+_FEW_ROWS = 1000
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, row_id: str) -> DataFrame:
@@ -19,3 +20,13 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, row_id: str) -> DataFram
     shared = rows.withColumn("__share", share)
     pairs = shared.select(key, "__share").where(F.col(key).isNotNull()).distinct()
     return shared.join(pairs.join(table, key), [key, "__share"], "left").drop("__share")
+
+
+def lookup_few(rows: DataFrame, table: DataFrame, key: str, row_id: str) -> DataFrame:
+    """`lookup` in a table expected to be tiny.
+
+    It is broadcast if counting a little of it shows that it is.
+    """
+    if table.limit(_FEW_ROWS + 1).count() > _FEW_ROWS:
+        return lookup(rows, table, key, row_id)
+    return rows.join(F.broadcast(table), key, "left")

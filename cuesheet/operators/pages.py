@@ -92,9 +92,10 @@ def document_preview(pages: DataFrame, key: str, documents: DataFrame, max_chars
     """First characters of every document's text, or a message without pages.
 
     Each page adds two characters or more with the space that follows it, so
-    the first `max_chars // 2 + 1` pages decide. Spark ranks and cuts within
-    each input split, before the shuffle.
+    the first `max_chars // 2 + 1` pages decide, and of each no more than could
+    be shown. Spark ranks and cuts within each input split, before the shuffle.
     """
+    pages = pages.select(key, "page_number", F.substring("text", 1, max_chars + 1).alias("text"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy("page_number"))
     first = pages.withColumn("__rank", rank).where(F.col("__rank") <= max_chars // 2 + 1)
     joined = F.expr("listagg(text, ' ') within group (order by page_number)")

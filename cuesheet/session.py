@@ -24,14 +24,14 @@ def local_session(cores: str = "8", app: str = "cuesheet") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor sees: the one the cluster names, or for a
     local session, which has no other machines, a new temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
 
 
 def spread(scan: DataFrame, *row_key: str) -> DataFrame:
