@@ -37,20 +37,20 @@ def artifact_plan(jobs: DataFrame, pages: DataFrame, key: str, prefix: Column) -
         return F.when(wanted, row)
 
     # What a document makes once comes from its first page.
-    first, apart = ordinal == 1, F.col("separate_pages")
-    none = F.lit(None)
+    first, apart, subtitled = ordinal == 1, F.col("separate_pages"), F.col("subtitles")
+    number, none = F.col("page_number"), F.lit(None)
+    page_audio = page_file(prefix, number, F.lit(".mp3"))
+    page_srt = page_file(F.concat(prefix, F.lit("_page")), ordinal, F.lit(".srt"))
+    audio = complete_file(prefix, dotted(F.col("audio_format")))
+    video = complete_file(prefix, dotted(F.col("video_format")))
+    srt = complete_file(prefix, F.lit(".srt"))
     plan = F.array_compact(
         F.array(
-            artifact(apart, "audio", F.col("page_number"), page_file(prefix, F.col("page_number"), F.lit(".mp3"))),
-            artifact(first & ~apart, "audio", none, complete_file(prefix, dotted(F.col("audio_format")))),
-            artifact(
-                first & (F.col("output_type") == "both"),
-                "video",
-                none,
-                complete_file(prefix, dotted(F.col("video_format"))),
-            ),
-            artifact(apart & F.col("subtitles"), "srt", F.col("page_number"), page_file(F.concat(prefix, F.lit("_page")), ordinal, F.lit(".srt"))),
-            artifact(first & ~apart & F.col("subtitles"), "srt", none, complete_file(prefix, F.lit(".srt"))),
+            artifact(apart, "audio", number, page_audio),
+            artifact(first & ~apart, "audio", none, audio),
+            artifact(first & (F.col("output_type") == "both"), "video", none, video),
+            artifact(apart & subtitled, "srt", number, page_srt),
+            artifact(first & ~apart & subtitled, "srt", none, srt),
         )
     )
     return explode_rows(placed, plan, "artifact").select(key, "artifact.*")

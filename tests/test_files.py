@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from cuesheet.sources.files import file_info, find_files, lookup_files
 from cuesheet.sources.manifests import read_manifests, write_manifests
 from cuesheet.sources.subtitles import write_subtitles
