@@ -45,36 +45,33 @@ def group_order(text: Column) -> Column:
     return F.coalesce(head, F.lit(_NULL_TEXT))
 
 
-def _sums(groups: DataFrame, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
-    """(low, width, size, atom) of the non-empty ranges of `spans`, each given
-    as (first position, positions, bits kept per range)."""
+def _sums(
+    groups: DataFrame, spans: list[tuple[int, int]], widest: int
+) -> list[tuple[int, int, int, bool]]:
+    """(low, width, size, atom) of the non-empty ranges into which `spans`,
+    given as (first position, end), are cut: into `_ENTRIES` in all, or finer
+    where that is needed to come below a quarter of `widest`, the last width."""
     at = F.col("position")
-    pieces = []
-    for bits in sorted({bits for _, _, bits in spans}):
-        inside = [(a, n) for a, n, b in spans if b == bits]
-        merged: list[list[int]] = []
-        for a, n in sorted(inside):
-            if merged and merged[-1][1] == a:
-                merged[-1][1] = a + n
-            else:
-                merged.append([a, a + n])
-        held = F.lit(False)
-        for a, b in merged:
-            held = held | ((at >= a) & (at < b))
-        pieces.append(
-            groups.where(held)
-            .groupBy(F.shiftright(at, bits).alias("range"))
-            .agg(F.sum("size").alias("size"), F.min(at).alias("low"), F.max(at).alias("high"))
-            .select("range", F.lit(bits).alias("bits"), "size", "low", "high")
-        )
-    found = pieces[0]
-    for more in pieces[1:]:
-        found = found.unionByName(more)
+    parts = max(4, _ENTRIES // len(spans)).bit_length() - 1
+    most = max(0, widest.bit_length() - 3)
+    width = [max(0, min(most, (end - first - 1).bit_length() - parts)) for first, end in spans]
+    span, number = F.lit(None).cast("int"), F.lit(None).cast("long")
+    for i, ((first, end), bits) in enumerate(zip(spans, width)):
+        inside = (at >= first) & (at < end)
+        span = F.when(inside, F.lit(i)).otherwise(span)
+        number = F.when(inside, F.shiftright(at - first, bits)).otherwise(number)
+    found = (
+        groups.select(span.alias("span"), number.alias("range"), "position", "size")
+        .where(F.col("span").isNotNull())
+        .groupBy("span", "range")
+        .agg(F.sum("size").alias("size"), F.min(at).alias("low"), F.max(at).alias("high"))
+    )
     out = []
     for r in found.collect():
         atom = r["low"] == r["high"]
-        low = r["low"] if atom else r["range"] << r["bits"]
-        out.append((low, 1 if atom else 1 << r["bits"], r["size"], atom))
+        bits = width[r["span"]]
+        low = r["low"] if atom else spans[r["span"]][0] + (r["range"] << bits)
+        out.append((low, 1 if atom else 1 << bits, r["size"], atom))
     return out
 
 
@@ -128,7 +125,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     An empty table gives capacity 0 and no cuts; fewer groups than shards
     leave the last shards empty.
     """
-    known = _ranges(_sums(groups, [(0, 1 << _BITS, _BITS - _ENTRIES.bit_length() + 1)]))
+    known = _ranges(_sums(groups, [(0, 1 << _BITS)], 1 << _BITS))
     while len(known.size):
         ends = np.cumsum(known.size)
         least = _smallest(known, ends, shards, fluid=True)
@@ -141,24 +138,30 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
             lower.append(at)
         upper += [int(ends[-1])] * (shards - 1 - len(upper))
         starts = ends - known.size
-        open_ = np.zeros(len(ends), dtype=bool)
+        open_ = any(
+            ((starts <= b) & (ends >= a) & ~known.atom).any() for a, b in zip(lower, upper)
+        )
+        if not open_:
+            _, cuts = _fill(known, ends, most, fluid=False)
+            return most, [int(known.low[np.searchsorted(ends, c, side="right")]) for c in cuts]
+        # One span for every run of ranges that a cut can touch: one per cut at most.
+        spans, widest = [], 0
         for a, b in zip(lower, upper):
-            open_ |= (starts <= b) & (ends >= a)
-        open_ &= ~known.atom
-        if least == most and not open_.any():
-            needed, cuts = _fill(known, ends, least, fluid=False)
-            return least, [int(known.low[np.searchsorted(ends, c, side="right")]) for c in cuts]
-        if not open_.any():  # every range that a cut can touch is a group: the search above is exact
-            open_ = ~known.atom
-        finer = max(1, (_ENTRIES // int(open_.sum())).bit_length() - 1)
-        spans = [
-            (int(a), int(n), max(0, int(n).bit_length() - 1 - finer))
-            for a, n in zip(known.low[open_], known.width[open_])
-        ]
-        kept = ~open_
+            touched = np.flatnonzero((starts <= b) & (ends >= a) & ~known.atom)
+            if len(touched):
+                low, high = touched[0], touched[-1]
+                widest = max(widest, int(known.width[touched].max()))
+                first, end = int(known.low[low]), int(known.low[high] + known.width[high])
+                if spans and first < spans[-1][1]:
+                    spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
+                else:
+                    spans.append((first, end))
+        kept = np.ones(len(ends), dtype=bool)
+        for first, end in spans:
+            kept &= (known.low < first) | (known.low >= end)
         known = _ranges(
             [*zip(*(x[kept].tolist() for x in (known.low, known.width, known.size, known.atom)))]
-            + _sums(groups, spans)
+            + _sums(groups, spans, widest)
         )
     return 0, []
 
