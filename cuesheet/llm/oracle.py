@@ -2,6 +2,47 @@
 
 from __future__ import annotations
 
+# The stream of a source is read from its start until the target is reached.
+_OP4 = r"""
+WITH sized AS (
+  SELECT doc_id, source,
+         coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight,
+         row_number() OVER (ORDER BY source NULLS LAST) AS number
+  FROM sizes
+), levels AS (
+  SELECT *,
+         (sum(source_size) OVER () * 1.5::DOUBLE
+          - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, number
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY 2 * source_size / weight, number
+              ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+         row_number() OVER (ORDER BY 2 * source_size / weight, number) AS cap_rank
+  FROM weighed
+), fit AS (
+  SELECT arg_min(level, cap_rank) FILTER (WHERE level <= 2 * source_size / weight) AS level FROM levels
+), targets AS (
+  SELECT source, source_size,
+         least((2 * source_size)::DOUBLE, fit.level * weight) AS target
+  FROM weighed, fit
+), placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS words,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source
+           ORDER BY md5(concat(coalesce(d.doc_id::VARCHAR, ''), ':', d.size)), d.doc_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN source_size = 0 THEN 0 ELSE
+          (words // source_size) * size
+          + greatest(0, least(place + size, words % source_size) - place) END)::BIGINT AS taken
+FROM placed
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mix_documents": _OP4}
