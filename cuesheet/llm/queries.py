@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import mixing, shards
+from cuesheet.llm import chat, mixing, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    records = chat.as_records(rows.unionByName(chat.probe(spark)))
+    return chat.format_conversations(records).select(
+        "conv_id",
+        "n_turns",
+        "turns_sha256",
+        "loss_chars",
+        "loss_sha256",
+        "formatted_chars",
+    )
+
+
 def op4_mix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +38,7 @@ def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_format_conversations": op2_format_conversations,
         "op4_mix_documents": op4_mix_documents,
         "op9_shard_documents": op9_shard_documents,
     }
