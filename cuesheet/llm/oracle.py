@@ -69,5 +69,53 @@ FROM escaped GROUP BY conv_id
 """
 
 
+_UUID = "printf('urn:uuid:%s-%s-3%s-8%s-%s', h[1:8], h[9:12], h[14:16], h[18:20], h[21:32])"
+_NL = "chr(13) || chr(10)"
+_OP7 = rf"""
+WITH responses AS (
+  SELECT url AS target_uri, html AS payload, md5(concat('response', chr(10), page_id, chr(10), url)) AS h,
+         strftime(to_timestamp(1700000000 + page_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS warc_date,
+         concat('HTTP/1.1 200 OK', {_NL}, 'Content-Type: text/html; charset=utf-8', {_NL},
+                'Content-Length: ', strlen(html)) AS source_headers
+  FROM (SELECT page_id, url, coalesce(html, '') AS html FROM pages)
+), digests AS (
+  SELECT *, {_UUID} AS refers_to,
+         'sha256:' || sha256(concat(source_headers, {_NL}, {_NL}, payload)) AS source_block_digest,
+         'sha256:' || sha256(payload) AS source_payload_digest,
+         trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')) AS title,
+         list_transform(regexp_extract_all(payload, '(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1),
+                        lambda x: concat('outlink: ', regexp_replace(x, '\s+', '', 'g'), ' L a/@href', {_NL})) AS links
+  FROM responses
+), bare AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload,
+      '(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', ' ', 'g'),
+      '(?s)<!--.*?(?:-->|\z)|<![^>]*>', ' ', 'g'),
+      '(?i)</?(?:p|div|br|li|ul|h[1-6]|article|nav|footer|title|head|body|html)\b[^>]*>', chr(10), 'g'),
+      '(?i)</?[a-z][^>]*(?:>|\z)', '', 'g'),
+      '&amp;?', '&', 'g') AS shown
+  FROM digests
+), derived AS (
+  SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+    concat(array_to_string(list_transform(string_split(source_headers, {_NL}),
+             lambda x: concat('source-header: ', x, {_NL})), ''),
+           'source-block-digest: ', source_block_digest, {_NL},
+           'source-payload-digest: ', source_payload_digest, {_NL},
+           'title: ', title, {_NL}, array_to_string(links, '')) AS block
+  FROM bare
+  UNION ALL
+  SELECT *, 'conversion', 'text/plain; charset=utf-8',
+    trim(regexp_replace(regexp_replace(
+      replace(replace(replace(shown, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'),
+      '[ \t\r\f\v\x{{a0}}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))
+  FROM bare
+)
+SELECT {_UUID} AS record_id, * EXCLUDE (h) FROM (
+  SELECT md5(concat(warc_type, chr(10), refers_to)) AS h, warc_type, refers_to, target_uri, warc_date,
+         source_headers, source_block_digest, source_payload_digest, content_type, block,
+         'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length
+  FROM derived)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_format_conversations": _OP2, "op4_mix_documents": _OP4}
+    return {"op2_format_conversations": _OP2, "op4_mix_documents": _OP4, "op7_warc_derivatives": _OP7}

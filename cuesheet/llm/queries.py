@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import chat, mixing, shards
+from cuesheet.llm import chat, mixing, shards, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op4_mix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
+
+
 def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,6 @@ def queries() -> dict[str, Query]:
     return {
         "op2_format_conversations": op2_format_conversations,
         "op4_mix_documents": op4_mix_documents,
+        "op7_warc_derivatives": op7_warc_derivatives,
         "op9_shard_documents": op9_shard_documents,
     }
