@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import chat, mixing, shards, warc
+from cuesheet.llm import chat, langid, mixing, shards, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
 
 
+def op8_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,6 @@ def queries() -> dict[str, Query]:
         "op2_format_conversations": op2_format_conversations,
         "op4_mix_documents": op4_mix_documents,
         "op7_warc_derivatives": op7_warc_derivatives,
+        "op8_identify_language": op8_identify_language,
         "op9_shard_documents": op9_shard_documents,
     }
