@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import chat, langid, mixing, shards, warc
+from cuesheet.llm import chat, langid, mixing, neardup, shards, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op2_format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_format_conversations": op2_format_conversations,
+        "op3_near_duplicates": op3_near_duplicates,
         "op4_mix_documents": op4_mix_documents,
         "op7_warc_derivatives": op7_warc_derivatives,
         "op8_identify_language": op8_identify_language,
