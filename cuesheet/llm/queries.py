@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import chat, langid, mixing, neardup, shards, warc
+from cuesheet.llm import chat, decontam, langid, mixing, neardup, shards, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,11 @@ def op4_mix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontam.contaminated(docs, benchmark).drop("key")
+
+
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
 
@@ -53,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op2_format_conversations": op2_format_conversations,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_mix_documents": op4_mix_documents,
+        "op5_contaminated_documents": op5_contaminated_documents,
         "op7_warc_derivatives": op7_warc_derivatives,
         "op8_identify_language": op8_identify_language,
         "op9_shard_documents": op9_shard_documents,

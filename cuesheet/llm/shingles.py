@@ -45,14 +45,16 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, text) of every word: a run of bytes other than ASCII
-    white space. Words do not cross from one text into the next."""
+def words(
+    raw: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, text) of every word: a run of `solid` bytes, by default
+    those other than ASCII white space. Words do not cross into the next text."""
     n = len(raw)
     if not n:
         empty = np.zeros(0, np.int64)
         return empty.astype(np.uint64), empty, empty
-    solid = ~_SPACE[raw]
+    solid = ~_SPACE[raw] if solid is None else solid
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(n, dtype=bool)
