@@ -33,11 +33,13 @@ dollar dollars euro euros cent cents usd eur percent degree degrees kmh mph watt
 """.split()
 
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954))
+_SCALE = 0x9E3779B97F4A7C15
 _BYTES = np.arange(256)
 _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
 _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
 _LETTER = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
 _LOWER = np.where(_UPPER, _BYTES + 32, _BYTES).astype(np.uint8)
+_JOINT = np.isin(_BYTES, list(b".,"))
 _STOP = np.isin(_BYTES, [10, 13, *b".!?:"])
 _BLANK = np.isin(_BYTES, [9, 11, 12, 32, *b"\"'()[]*_-"])
 _SCHEMA = pa.schema(
@@ -61,8 +63,7 @@ def template(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         low = np.where(accented, low + 32, low).astype(np.uint8)
     digit = _DIGIT[raw]
     solid = _LETTER[raw] | digit
-    inner = np.isin(raw[1:-1], list(b".,")) & digit[:-2] & digit[2:]
-    solid[1:-1] |= inner
+    solid[1:-1] |= _JOINT[raw[1:-1]] & digit[:-2] & digit[2:]
     value, start, text = shingles.words(low, offsets, solid)
     first = raw[start]
     number = _DIGIT[first]
@@ -74,7 +75,8 @@ def template(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     token = value.copy()
     follows = np.zeros(len(token), dtype=bool)
     follows[1:] = number[:-1] & (text[1:] == text[:-1])
-    unit = follows & np.isin(value, _UNIT_HASHES) & ~number
+    unit = follows & ~number
+    unit[unit] = np.isin(value[unit], _UNIT_HASHES)
     name = upper & ~opens & ~unit
     for kind, held in ((_NUMBER, number), (_UNIT, unit), (_NAME, name)):
         token[held] = kind
@@ -89,21 +91,32 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, hash, slots) of the windows with enough plain words."""
+def windows(
+    texts: pa.Array, wanted: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash, slots) of the windows with enough plain words, or of
+    those that the Bloom filter `wanted` may hold."""
     raw, offsets = shingles.column_bytes(texts)
-    token, value, text = template(raw, offsets)
-    n = len(token) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, WINDOW), np.int64)
-    plain = np.concatenate([[0], np.cumsum(value == 0)])
-    at = np.flatnonzero((text[:n] == text[WINDOW - 1 :]) & (plain[WINDOW:] - plain[:-WINDOW] >= ANCHORS))
-    whole = np.zeros(len(at), dtype=np.uint64)
-    for k in range(WINDOW):
-        whole = shingles.mix(whole ^ token[at + k])
-    first = np.searchsorted(text, text[at])
-    slots = value[at[:, None] + np.arange(WINDOW)].view(np.int64)
-    return text[at], at - first, whole, slots
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WINDOW), np.int64))
+    parts = [none]
+    for low, high in shingles.slices(offsets):
+        own = offsets[low : high + 1]
+        token, value, text = template(raw[own[0] : own[-1]], own - own[0])
+        n = len(token) - WINDOW + 1
+        if n <= 0:
+            continue
+        plain = np.concatenate([[0], np.cumsum(value == 0)])
+        whole = np.zeros(n, dtype=np.uint64)
+        for k in range(WINDOW):
+            whole += token[k : n + k] * np.uint64(pow(_SCALE, k + 1, 1 << 64))
+        window = shingles.mix(whole).view(np.int64)
+        take = (text[:n] == text[WINDOW - 1 :]) & (plain[WINDOW:] - plain[:-WINDOW] >= ANCHORS)
+        if wanted is not None:
+            take &= maybe_in(wanted, window)
+        at = np.flatnonzero(take)
+        slots = value[at[:, None] + np.arange(WINDOW)].view(np.int64)
+        parts.append((text[at] + low, at - np.searchsorted(text, text[at]), window[at], slots))
+    return tuple(np.concatenate(columns) for columns in zip(*parts))
 
 
 def _window_rows(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
@@ -113,11 +126,8 @@ def _window_rows(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, place, window, slots = windows(batch.column("text"))
-            window = window.view(np.int64)
-            if shared is not None:
-                take = maybe_in(shared.value, window)
-                text, place, window, slots = text[take], place[take], window[take], slots[take]
+            bits = None if shared is None else shared.value
+            text, place, window, slots = windows(batch.column("text"), bits)
             ids, keys = (batch.column(c).take(pa.array(text)) for c in ("id", "key"))
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(text) + 1, dtype=np.int32) * WINDOW), pa.array(slots.ravel())

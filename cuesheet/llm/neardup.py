@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +82,14 @@ def _distinct(table: pa.Table) -> pa.Table:
 def _shingled(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every shingle of every text of a table."""
     raw, offsets = shingles.column_bytes(table.column("text"))
-    hashes, _, text = shingles.words(raw, offsets)
-    at, value = shingles.runs(hashes, text)
-    return value, text[at] if len(at) else at
+    values, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for low, high in shingles.slices(offsets):
+        own = offsets[low : high + 1]
+        hashes, _, text = shingles.words(raw[own[0] : own[-1]], own - own[0])
+        at, value = shingles.runs(hashes, text)
+        values.append(value)
+        rows.append(text[at] + low)
+    return np.concatenate(values), np.concatenate(rows)
 
 
 def _shift(buckets: int) -> int:
@@ -197,6 +203,7 @@ def _vectors(
     return value[at], row[at], 1 + np.log(tf)
 
 
+@lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Quantiles of Gamma(2, 1), shuffled: r, 1/r and ln c by 16 bits of a hash."""
     n = 1 << _TABLE_BITS
@@ -208,6 +215,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r.astype(np.float32), (1 / r).astype(np.float32), np.log(c).astype(np.float32)
 
 
+_FACTORS = np.random.default_rng(13).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# Shingles whose samples are drawn together: few enough for a core's cache.
+_SAMPLED_AT_ONCE = 1 << 14
+
+
 def weighted_samples(value: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """(vector, sample) 32-bit samples of vectors that start at `starts`.
 
@@ -217,25 +229,33 @@ def weighted_samples(value: np.ndarray, starts: np.ndarray, weight: np.ndarray)
     """
     r_table, inverse, ln_c = _tables()
     log_w = np.log(weight).astype(np.float32)
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(value))))
+    sizes = np.diff(np.append(starts, len(value)))
     out = np.empty((len(starts), SAMPLES), dtype=np.uint32)
-    low = np.uint64((1 << _TABLE_BITS) - 1)
-    factors = np.random.default_rng(13).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
-    for j, factor in enumerate(factors):
-        h = value * factor
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        i = (h >> np.uint64(48)).astype(np.int32)
-        k = ((h >> np.uint64(32)) & low).astype(np.int32)
-        b = ((h >> np.uint64(16)) & low).astype(np.float32) * np.float32(2.0**-_TABLE_BITS)
-        t = np.floor(log_w * inverse[i] + b)
-        a = ln_c[k] - r_table[i] * (t - b + np.float32(1))
-        least = np.minimum.reduceat(a, starts)
-        at = np.flatnonzero(a == least[owner])
-        own = owner[at]
-        at = at[np.append(True, own[1:] != own[:-1])]
-        key = value[at] ^ (t[at].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        out[:, j] = (shingles.mix(key) >> np.uint64(32)).astype(np.uint32)
+    for low, high in shingles.slices(np.append(starts, len(value)), _SAMPLED_AT_ONCE):
+        first = int(starts[low])
+        last = first + int(sizes[low:high].sum())
+        own, w = value[first:last], log_w[first:last]
+        edges = starts[low:high] - first
+        owner = np.repeat(np.arange(high - low), sizes[low:high])
+        for j, factor in enumerate(_FACTORS):
+            # Three fields of 16 bits choose r, c and b.
+            field = (own * factor).view(np.uint16).reshape(-1, 4)
+            i = field[:, 3].astype(np.intp)
+            b = field[:, 1] * np.float32(2.0**-_TABLE_BITS)
+            t = w * inverse.take(i)
+            t += b
+            np.floor(t, out=t)
+            b -= t
+            b -= np.float32(1)
+            b *= r_table.take(i)
+            b += ln_c.take(field[:, 2].astype(np.intp))
+            least = np.minimum.reduceat(b, edges)
+            at = np.flatnonzero(b == least.take(owner))
+            if len(at) > len(edges):  # ties: the smallest hash
+                whose = owner[at]
+                at = at[np.append(True, whose[1:] != whose[:-1])]
+            key = own[at] ^ (t[at].astype(np.int64).view(np.uint64) * _FACTORS[0])
+            out[low:high, j] = shingles.mix(key) >> np.uint64(32)
     return out
 
 

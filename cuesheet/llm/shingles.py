@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -45,6 +46,17 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `limit` bytes, small enough for a core's cache;
+    a longer text is a range of its own."""
+    start, n = 0, len(offsets) - 1
+    while start < n:
+        end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
+        end = max(start + 1, min(end, n))
+        yield start, end
+        start = end
+
+
 def words(
     raw: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
