@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cuesheet.llm import crf
 from cuesheet.llm.common import unique_name
 
 # The model is fitted on at most this many labelled documents per language.
@@ -96,13 +97,6 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(ids or [np.zeros(0, np.int32)])
 
 
-def _scores(weights: np.ndarray, rows: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    found = weights[ids]
-    return np.stack(
-        [np.bincount(rows, found[:, k], minlength=n) for k in range(weights.shape[1])], axis=1
-    )
-
-
 def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     """Fit by gradient ascent on the likelihood of chains of words cut from
     (language, text) samples; half of the chains change language once."""
@@ -133,48 +127,10 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
         labels.append(label)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for c in chains for w in c))}
     index = np.array([[vocabulary[w] for w in c] for c in chains])
-    gold = np.eye(count)[np.array(labels)]
     rows, ids = features(list(vocabulary))
-    known = np.bincount(
-        (index[..., None] * count + np.arange(count)).ravel(), gold.ravel(), len(vocabulary) * count
-    ).reshape(-1, count)
-    pairs = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
-    weights, moves = np.zeros((_TABLE, count)), np.zeros((count, count))
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, moves)]
-    scale = 1.0 / index.size
-    for step in range(1, ITERATIONS + 1):
-        word = _scores(weights, rows, ids, len(vocabulary))
-        emit = np.exp(word - word.max(axis=1, keepdims=True))[index]
-        move = np.exp(moves)
-        alpha, beta = np.empty_like(emit), np.ones_like(emit)
-        before = np.ones((len(index), count))
-        for t in range(CHAIN_WORDS):
-            before = (before @ move) * emit[:, t]
-            before /= before.sum(axis=1, keepdims=True)
-            alpha[:, t] = before
-        expected_pairs = np.zeros_like(moves)
-        for t in range(CHAIN_WORDS - 2, -1, -1):
-            after = emit[:, t + 1] * beta[:, t + 1]
-            joint = alpha[:, t, :, None] * move * after[:, None, :]
-            expected_pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            beta[:, t] = after @ move.T
-            beta[:, t] /= beta[:, t].sum(axis=1, keepdims=True)
-        post = alpha * beta
-        post /= post.sum(axis=2, keepdims=True)
-        expected = np.bincount(
-            (index[..., None] * count + np.arange(count)).ravel(),
-            post.ravel(),
-            len(vocabulary) * count,
-        ).reshape(-1, count)
-        gap = (known - expected)[rows] * scale
-        push = np.stack([np.bincount(ids, gap[:, k], _TABLE) for k in range(count)], axis=1)
-        slopes = (push - 1e-7 * weights, (pairs - expected_pairs) * scale - 1e-5 * moves)
-        for value, slope, (first, second) in zip((weights, moves), slopes, state):
-            first += 0.1 * (slope - first)
-            second += 0.01 * (slope * slope - second)
-            value += 0.1 * (first / (1 - 0.9**step)) / (
-                np.sqrt(second / (1 - 0.99**step)) + 1e-8
-            )
+    weights, moves = crf.fit(
+        rows, ids, len(vocabulary), _TABLE, index, np.array(labels), count, ITERATIONS
+    )
     return Model(languages, weights.astype(np.float32), moves)
 
 
@@ -255,7 +211,7 @@ class Labeller:
             base = len(self.rows)
             self.rows.update(zip(new, range(base, base + len(new))))
             pair = features(new)
-            self.table = np.vstack([self.table, _scores(self.model.weights, *pair, len(new))])
+            self.table = np.vstack([self.table, crf.scores(self.model.weights, *pair, len(new))])
         return np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
 
     def words(self, text: str) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import chat, decontam, langid, mixing, neardup, shards, warc
+from cuesheet.llm import chat, decontam, extract, langid, mixing, neardup, shards, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op5_contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(docs, benchmark).drop("key")
 
 
+def op6_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op3_near_duplicates": op3_near_duplicates,
         "op4_mix_documents": op4_mix_documents,
         "op5_contaminated_documents": op5_contaminated_documents,
+        "op6_extract_main_text": op6_extract_main_text,
         "op7_warc_derivatives": op7_warc_derivatives,
         "op8_identify_language": op8_identify_language,
         "op9_shard_documents": op9_shard_documents,
