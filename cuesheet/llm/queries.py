@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import chat, decontam, extract, langid, mixing, neardup, shards, warc
+from cuesheet.llm import chat, decontam, extract, langid, mixing, neardup, shards, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), tokens.read_model())
+
+
 def op2_format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     records = chat.as_records(rows.unionByName(chat.probe(spark)))
@@ -59,6 +63,7 @@ def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_format_conversations": op2_format_conversations,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_mix_documents": op4_mix_documents,
