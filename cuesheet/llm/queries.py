@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuesheet.llm import chat, decontam, extract, langid, mixing, neardup, shards, tokens, warc
+from cuesheet.llm import chat, decontam, extract, langid, mixing, neardup, neighbours, shards, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +62,10 @@ def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -72,4 +77,5 @@ def queries() -> dict[str, Query]:
         "op7_warc_derivatives": op7_warc_derivatives,
         "op8_identify_language": op8_identify_language,
         "op9_shard_documents": op9_shard_documents,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
