@@ -377,7 +377,8 @@ def _compared(pairs: DataFrame, least: float) -> DataFrame:
 
 def _block_links(table: pa.Table, least: float) -> list[tuple[int, int]]:
     """Links between the two sides of a pair of blocks that join different
-    labels, one for each pair of labels; a pair is left to its first band."""
+    labels, as many as it takes to connect the labels that any link of the
+    blocks connects. A pair of nodes is left to the first band they share."""
     nodes = table.column("node").to_numpy()
     labels = table.column("label").to_numpy()
     left = table.column("left").to_numpy(zero_copy_only=False)
@@ -402,11 +403,21 @@ def _block_links(table: pa.Table, least: float) -> list[tuple[int, int]]:
     shared = shared.reshape(n, n)
     alike = shared >= least * (totals[:, None] + totals[None, :] - shared)
     alike &= left[:, None] & right[None, :] & (labels[:, None] != labels[None, :])
-    out: dict[tuple[int, int], tuple[int, int]] = {}
+    parent = {int(label): int(label) for label in labels}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
     for i, j in zip(*np.nonzero(alike)):
-        if int(np.flatnonzero(bands[i] == bands[j])[0]) == band:
-            out.setdefault(tuple(sorted((labels[i], labels[j]))), (int(nodes[i]), int(nodes[j])))
-    return list(out.values())
+        a, b = root(int(labels[i])), root(int(labels[j]))
+        if a != b and int(np.flatnonzero(bands[i] == bands[j])[0]) == band:
+            parent[b] = a
+            out.append((int(nodes[i]), int(nodes[j])))
+    return out
 
 
 def _residual_links(collisions: DataFrame, labels: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
