@@ -96,12 +96,17 @@ def _shift(buckets: int) -> int:
     return max(0, 64 - _VALUE_BITS - (buckets - 1).bit_length())
 
 
-def _bucketed(value: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shortened hashes, and the buckets' edges among them."""
-    shift = np.uint64(_shift(buckets))
-    short = np.unique(value >> shift)
-    edges = np.searchsorted(short, _edges(buckets))
-    return short, edges
+def _by_hash(
+    value: np.ndarray, row: np.ndarray, buckets: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and rows in order of hash, the number of each hash's shortened
+    form among the distinct ones, and these, sorted."""
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    short = value >> np.uint64(_shift(buckets))
+    new = np.ones(len(short), dtype=bool)
+    new[1:] = short[1:] != short[:-1]
+    return value, row, np.cumsum(new) - 1, short[new]
 
 
 def _edges(buckets: int) -> np.ndarray:
@@ -133,12 +138,12 @@ def _with_codes(chunks: DataFrame, buckets: int) -> DataFrame:
         chunk = table.column("chunk")[0].as_py()
         table = _distinct(table)
         value, row = _shingled(table)
-        short, own = _bucketed(value, buckets)
-        shift = np.uint64(_shift(buckets))
-        # Each shingle once per text that holds it.
-        rank = np.searchsorted(short, value >> shift)
-        per_text = np.unique(rank.astype(np.int64) * max(1, table.num_rows) + row)
-        counts = np.bincount(per_text // max(1, table.num_rows), minlength=len(short))
+        _, row, rank, short = _by_hash(value, row, buckets)
+        own = np.searchsorted(short, edges)
+        # Each shingle once per text that holds it: its rows are in order.
+        once = np.ones(len(row), dtype=bool)
+        once[1:] = (rank[1:] != rank[:-1]) | (row[1:] != row[:-1])
+        counts = np.bincount(rank[once], minlength=len(short))
         out: dict[str, list] = {"bucket": [], "chunk": [], "values": [], "counts": []}
         for b in range(buckets):
             low, high = own[b], own[b + 1]
@@ -190,17 +195,18 @@ def idf_table(texts: int) -> np.ndarray:
 
 
 def _vectors(
-    value: np.ndarray, row: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, hash), sorted by row and hash, with 1 + ln(tf)."""
-    by_hash = np.argsort(value)
-    order = by_hash[np.argsort(row[by_hash], kind="stable")]
-    value, row = value[order], row[order]
+    value: np.ndarray, row: np.ndarray, rank: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (hash, row) of hashes in order, sorted by row and hash, with
+    their ranks and 1 + ln(tf)."""
+    small = row.astype(np.uint16) if not len(row) or row.max() < 1 << 16 else row
+    order = np.argsort(small, kind="stable")
+    value, row, rank = value[order], row[order], rank[order]
     new = np.ones(len(value), dtype=bool)
     new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
     tf = np.diff(np.append(at, len(value)))
-    return value[at], row[at], 1 + np.log(tf)
+    return value[at], row[at], rank[at], 1 + np.log(tf)
 
 
 @lru_cache(maxsize=1)
@@ -277,13 +283,13 @@ def _signatures(chunks: DataFrame, codes: DataFrame, buckets: int, texts: int) -
         if not docs.num_rows:
             return pa.table({"node": [], "bands": [], "codes": []}, schema=schema)
         docs = _distinct(docs)
-        value, row = _shingled(docs)
-        short, edges = _bucketed(value, buckets)
+        value, row, rank, short = _by_hash(*_shingled(docs), buckets)
+        edges = np.searchsorted(short, _edges(buckets))
         code = np.zeros(len(short), dtype=np.uint8)
         for b, blob in zip(answers.column("bucket").to_pylist(), answers.column("codes").to_pylist()):
             code[edges[b] : edges[b + 1]] = np.frombuffer(zlib.decompress(blob), np.uint8)
-        value, row, tf = _vectors(value, row)
-        own = code[np.searchsorted(short, value >> np.uint64(_shift(buckets)))]
+        value, row, rank, tf = _vectors(value, row, rank)
+        own = code[rank]
         starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
         bands = _band_keys(weighted_samples(value, starts, tf * idf[own]))
         ends = np.append(starts, len(value))
@@ -318,7 +324,7 @@ def _vector_blobs(texts: DataFrame, count: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            value, row, tf = _vectors(*_shingled(table))
+            value, row, _, tf = _vectors(*_by_hash(*_shingled(table), 1)[:3])
             edges = np.searchsorted(row, np.arange(table.num_rows + 1))
             blobs = []
             for i, codes in enumerate(table.column("codes").to_pylist()):
