@@ -9,9 +9,6 @@ from cuesheet.functions.names import complete_file, dotted, page_file, suffix, t
 from cuesheet.operators.blocks import document_facts, explode_rows
 from cuesheet.operators.jobs import output_config, voice_config
 
-# Files listed in one row; longer lists have parts.
-PART_FILES_BITS = 12
-
 
 def _one() -> Column:
     return F.lit(1).cast("bigint")
@@ -127,35 +124,31 @@ def unique_names(requests: DataFrame, taken: DataFrame, stamp: Column) -> DataFr
 
 
 def concat_plan(artifacts: DataFrame, key: str) -> DataFrame:
-    """Files to join for each document, in order; a single one is copied.
-
-    The list is one text per 4,096 files, further files follow in parts.
-    """
+    """The files to join for each document, one row each, numbered from 1; a
+    document's only file is copied."""
     counted = document_facts(artifacts, key, "page_number", {"file": _one()})
-    part = F.shiftright(F.col("file_before"), PART_FILES_BITS).cast("int")
-    files = F.expr("listagg(path, ',') within group (order by page_number)")
-    action = F.when(F.first("file_total") == 1, "copy").otherwise("concat")
-    return counted.groupBy(key, part.alias("part")).agg(
-        action.alias("action"), F.first("file_total").alias("n_files"), files.alias("files")
+    action = F.when(F.col("file_total") == 1, "copy").otherwise("concat")
+    return counted.select(
+        key,
+        (F.col("file_before") + 1).alias("position"),
+        action.alias("action"),
+        F.col("file_total").alias("n_files"),
+        "path",
     )
 
 
 def manifests(
     jobs: DataFrame, pages: DataFrame, audio: DataFrame, videos: DataFrame, key: str, created: str
 ) -> DataFrame:
-    """Project manifests as JSON.
+    """Project manifests as JSON, one for each project.
 
     `jobs` holds the settings and project_name and source_pdf; absent values
-    get their defaults. A list of more than 4,096 files continues in further
-    parts, each with the full counts.
+    get their defaults. A manifest is one document with all its file names.
     """
     page_counts = pages.groupBy(key).agg(F.count("*").alias("pages"))
     video = videos.groupBy(key).agg(F.max("path").alias("video"))
-    placed = document_facts(audio, key, "page_number", {"file": _one()})
-    listed = placed.groupBy(
-        key, F.shiftright(F.col("file_before"), PART_FILES_BITS).cast("int").alias("part")
-    ).agg(
-        F.first("file_total").alias("files"),
+    listed = audio.groupBy(key).agg(
+        F.count("*").alias("files"),
         F.transform(
             F.array_sort(F.collect_list(F.struct("page_number", "path"))), lambda f: f["path"]
         ).alias("audio_files"),
@@ -177,6 +170,5 @@ def manifests(
     )
     return joined.select(
         key,
-        F.coalesce("part", F.lit(0)).alias("part"),
         F.to_json(manifest, {"ignoreNullFields": "false"}).alias("manifest"),
     )

@@ -11,7 +11,8 @@ from cuesheet.functions.segments import request_chunks
 from cuesheet.functions.text import is_blank
 from cuesheet.functions.timecode import speech_rate
 from cuesheet.operators.blocks import document_facts, explode_rows
-from cuesheet.operators.lookup import lookup, lookup_few
+from cuesheet.operators.lookup import lookup
+from cuesheet.operators.pages import assemble
 
 # Settings of a job that names none, with their types.
 DEFAULTS = {
@@ -140,7 +141,7 @@ def route_engines(jobs: DataFrame, engines: DataFrame, job: str = "job_id") -> D
     """
     fallback = engines.where("available").agg(F.min_by("name", "ordinal")).scalar()
     registry = engines.select(F.col("name").alias("engine"), F.col("available").alias("__available"))
-    routed = lookup_few(jobs, registry, "engine", job).withColumn("__first", fallback)
+    routed = lookup(jobs, registry, "engine", job).withColumn("__first", fallback)
     unknown = F.col("__available").isNull()
     choice = F.when(F.col("__available"), F.col("engine")).when(~unknown, F.col("__first"))
     reason = (
@@ -200,9 +201,27 @@ def _requests(rows: DataFrame, key: str, number: Column, filename: Column) -> Da
     return explode_rows(rows, wanted, "request").select(key, "request.*")
 
 
+def rejected_requests(jobs: DataFrame, key: str) -> DataFrame:
+    """Jobs that get no synthesis request, with the reason: those whose engine
+    is unknown or none is available, and those for video alone."""
+    reason = F.when(F.col("routing").isin("unknown engine", "none available"), F.col("routing")).when(
+        ~_speaks(), "no audio wanted"
+    )
+    return jobs.select(key, reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def _speaks() -> Column:
+    return F.coalesce(F.col("output_type").isin("audio", "both"), F.lit(False))
+
+
+def _able(jobs: DataFrame) -> DataFrame:
+    """Jobs that ask for speech and have an engine for it."""
+    return jobs.where(_speaks() & F.col("routed_engine").isNotNull())
+
+
 def page_requests(pages: DataFrame, jobs: DataFrame, key: str, prefix: Column) -> DataFrame:
-    """One synthesis request per page that has text, with its job's settings."""
-    settings = jobs.select(key, "routed_engine", "speed")
+    """One synthesis request per page that has text, for jobs with separate pages."""
+    settings = _able(jobs).where("separate_pages").select(key, "routed_engine", "speed")
     joined = document_facts(pages, key, "page_number", {}, settings, "inner")
     number = F.col("page_number")
     return _requests(joined, key, number, page_file(prefix, number, F.lit(".mp3")))
@@ -210,11 +229,18 @@ def page_requests(pages: DataFrame, jobs: DataFrame, key: str, prefix: Column) -
 
 def document_requests(texts: DataFrame, jobs: DataFrame, key: str, prefix: Column) -> DataFrame:
     """One synthesis request per document, for texts that are one row each."""
-    joined = texts.join(jobs.select(key, "routed_engine", "speed", "audio_format"), key)
+    joined = texts.join(_able(jobs).select(key, "routed_engine", "speed", "audio_format"), key)
     name = complete_file(prefix, dotted(F.col("audio_format")))
     return _requests(joined, key, F.lit(None).cast("int"), name)
 
 
+def combined_requests(pages: DataFrame, jobs: DataFrame, key: str, prefix: Column) -> DataFrame:
+    """One synthesis request per paged document whose pages are read together."""
+    together = _able(jobs).where(~F.col("separate_pages"))
+    texts = assemble(pages.join(together.select(key), key, "left_semi"), key)
+    return document_requests(texts, together, key, prefix)
+
+
 def synthesis_outcomes(requests: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
     """How many requests of a document gave audio; it fails only if none did."""
     done = _with_outcomes(requests, outcomes, key)

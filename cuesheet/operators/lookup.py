@@ -5,28 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SHARES = 64
-_FEW_ROWS = 1000
-
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, row_id: str) -> DataFrame:
     """Left join of `rows` with `table`, which has at most one row per `key`.
 
-    Rows with the same key, or with none, are spread over 64 shares by
-    `row_id`. The table is joined to the distinct (key, share) pairs: a key
-    that is everywhere makes 64 of them, a rare one no more than it has rows.
-    """
-    share = F.pmod(F.xxhash64(row_id), F.lit(_SHARES)).cast("int")
-    shared = rows.withColumn("__share", share)
-    pairs = shared.select(key, "__share").where(F.col(key).isNotNull()).distinct()
-    return shared.join(pairs.join(table, key), [key, "__share"], "left").drop("__share")
-
-
-def lookup_few(rows: DataFrame, table: DataFrame, key: str, row_id: str) -> DataFrame:
-    """`lookup` in a table expected to be tiny.
-
-    It is broadcast if counting a little of it shows that it is.
+    Rows with the same key are spread over as many shares as a shuffle has
+    partitions, by `row_id`. The table is joined to the distinct (key, share)
+    pairs: a key that is everywhere makes one of each, a rare one no more than
+    it has rows. Rows without a key have nothing to find and pass by the join.
     """
-    if table.limit(_FEW_ROWS + 1).count() > _FEW_ROWS:
-        return lookup(rows, table, key, row_id)
-    return rows.join(F.broadcast(table), key, "left")
+    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod(F.xxhash64(row_id), F.lit(shares)).cast("int")
+    keyed = rows.where(F.col(key).isNotNull()).withColumn("__share", share)
+    pairs = keyed.select(key, "__share").distinct()
+    found = keyed.join(pairs.join(table, key), [key, "__share"], "left").drop("__share")
+    return found.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)

@@ -12,8 +12,6 @@ from cuesheet.operators.blocks import document_facts, explode_rows
 PRIMARY_METHOD = "pymupdf"
 SECONDARY_METHOD = "pdfplumber"
 NO_TEXT = "No text could be extracted from this PDF."
-# Pages whose texts are joined into one string; longer documents have parts.
-PART_PAGES_BITS = 8
 
 
 def page_rows(rows: DataFrame, text: str, method: str) -> DataFrame:
@@ -80,21 +78,21 @@ def corpus_totals(pages: DataFrame) -> DataFrame:
 def assemble(pages: DataFrame, key: str) -> DataFrame:
     """Text of a document: its pages in order, joined by a space.
 
-    A string has to fit into a row, so a document beyond 256 page numbers
-    has several parts; joined by a space in order of `part` they are its text.
+    One string is what a caller of it wants; what can do without it, such as
+    the cues of a document, never asks for it.
     """
-    part = F.shiftright(F.col("page_number") - 1, PART_PAGES_BITS)
     joined = F.expr("listagg(text, ' ') within group (order by page_number)")
-    return pages.groupBy(key, part.alias("part")).agg(joined.alias("text"))
+    return pages.groupBy(key).agg(joined.alias("text"))
 
 
 def document_preview(pages: DataFrame, key: str, documents: DataFrame, max_chars: int = 500) -> DataFrame:
     """First characters of every document's text, or a message without pages.
 
-    Each page adds two characters or more with the space that follows it, so
-    the first `max_chars // 2 + 1` pages decide, and of each no more than could
-    be shown. Spark ranks and cuts within each input split, before the shuffle.
+    Blank pages add nothing and are left out. Each other page adds two
+    characters or more with the space that follows it, so the first
+    `max_chars // 2 + 1` of them decide, and of each no more than could be shown. Spark ranks and cuts within each input split, before the shuffle.
     """
+    pages = pages.where(F.col("text").rlike(r"\S"))
     pages = pages.select(key, "page_number", F.substring("text", 1, max_chars + 1).alias("text"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy("page_number"))
     first = pages.withColumn("__rank", rank).where(F.col("__rank") <= max_chars // 2 + 1)

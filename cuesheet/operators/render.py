@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from cuesheet.functions.timecode import srt_timestamp, vtt_timestamp
 
 VTT_HEADER = "WEBVTT\n\n"
-# Cues whose blocks are joined into one string; longer documents have parts.
-PART_CUES_BITS = 12
 
 
 def srt_block(index: Column, start: Column, end: Column, text: Column) -> Column:
@@ -46,30 +44,24 @@ def _block(render, cue: Column) -> Column:
     return render(cue["index"], cue["start_time"], cue["end_time"], cue["text"])
 
 
-def srt_parts(cues: DataFrame, keys: list[str]) -> DataFrame:
-    """SRT files of cue rows.
+def srt_blocks(cues: DataFrame, keys: list[str]) -> DataFrame:
+    """The blocks of SRT files, in order of `index`, for cue rows.
 
-    A string has to fit into a row, so a document beyond 4,096 cues has several
-    parts, which follow each other in order of `part`.
+    A file is its blocks one after the other; a document of any number of cues
+    stays in rows until a sink writes them.
     """
-    return _parts(cues, keys, srt_block, "srt", "")
+    return _blocks(cues, keys, srt_block)
 
 
-def vtt_parts(cues: DataFrame, keys: list[str]) -> DataFrame:
-    """WebVTT files of cue rows; the header opens the first part."""
-    return _parts(cues, keys, vtt_block, "vtt", VTT_HEADER)
+def vtt_blocks(cues: DataFrame, keys: list[str]) -> DataFrame:
+    """The blocks of WebVTT files; the header is block 0."""
+    blocks = _blocks(cues, keys, vtt_block)
+    header = cues.where(F.col("index") == 1).select(
+        *keys, F.lit(0).cast(cues.schema["index"].dataType).alias("index"), F.lit(VTT_HEADER).alias("block")
+    )
+    return blocks.unionByName(header)
 
 
-def _parts(cues: DataFrame, keys: list[str], render, name: str, header: str) -> DataFrame:
+def _blocks(cues: DataFrame, keys: list[str], render) -> DataFrame:
     block = render(F.col("index"), F.col("start_time"), F.col("end_time"), F.col("text"))
-    part = F.shiftright(F.col("index") - 1, PART_CUES_BITS).cast("int")
-    joined = F.expr("listagg(__block, '') within group (order by index)")
-    parts = (
-        cues.select(*keys, part.alias("part"), "index", block.alias("__block"))
-        .groupBy(*keys, "part")
-        .agg(joined.alias(name))
-    )
-    if not header:
-        return parts
-    opening = F.when(F.col("part") == 0, F.lit(header)).otherwise(F.lit(""))
-    return parts.withColumn(name, F.concat(opening, F.col(name)))
+    return cues.select(*keys, "index", block.alias("block"))

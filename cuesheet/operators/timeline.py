@@ -60,14 +60,26 @@ def text_cues(texts: DataFrame, keys: list[str], text: str = "text", seconds: st
 
 
 def duration_mismatch(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame:
-    """Documents whose number of durations is not their number of pages."""
-    tagged = pages.select(key, F.lit(1).alias("p"), F.lit(0).alias("d")).unionByName(
-        durations.select(key, F.lit(0).alias("p"), F.lit(1).alias("d"))
+    """Documents in which some page has no duration or some duration no page,
+    with the reason. Equal counts are not enough: the numbers must match."""
+    on = [key, "page_number"]
+    tagged = pages.select(*on, F.lit(1).alias("p"), F.lit(0).alias("d")).unionByName(
+        durations.select(*on, F.lit(0).alias("p"), F.lit(1).alias("d"))
+    )
+    counts = (
+        tagged.groupBy(*on)
+        .agg(F.sum("p").alias("p"), F.sum("d").alias("d"))
+        .groupBy(key)
+        .agg(
+            F.sum("p").alias("total_pages"),
+            F.sum("d").alias("total_durations"),
+            F.count_if(F.col("p") != F.col("d")).alias("unmatched"),
+        )
     )
-    counts = tagged.groupBy(key).agg(
-        F.sum("p").alias("total_pages"), F.sum("d").alias("total_durations")
+    reason = F.when(F.col("total_pages") != F.col("total_durations"), "counts differ").otherwise(
+        "page numbers differ"
     )
-    return counts.where(F.col("total_pages") != F.col("total_durations"))
+    return counts.where(F.col("unmatched") > 0).withColumn("reason", reason)
 
 
 def page_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame:
@@ -75,8 +87,8 @@ def page_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame:
 
     A page's cues share its time equally and follow the pages before it; blank
     pages take their time without a cue. A cue shorter than the minimum is
-    lengthened and may reach into the next. Documents with unequal counts of
-    pages and durations have no cues.
+    lengthened and may reach into the next. A document with a page without a
+    duration, or a duration without a page, has no cues: `duration_mismatch`.
     """
     on = [key, "page_number"]
     text = strip(F.coalesce("text", F.lit("")))
@@ -93,7 +105,7 @@ def page_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame:
         "__chunks",
         F.when(short & (F.size("__packed") > 0), F.array("__whole")).otherwise(F.col("__packed")),
     )
-    surplus = F.col("__packed").isNotNull().cast("bigint") - F.col("duration").isNotNull().cast("bigint")
+    unmatched = (F.col("__packed").isNull() | F.col("duration").isNull()).cast("bigint")
     facts = document_facts(
         timed,
         key,
@@ -101,10 +113,10 @@ def page_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame:
         {
             "time": F.coalesce("duration", F.lit(0.0)),
             "cues": F.coalesce(F.array_size("__chunks"), F.lit(0)).cast("bigint"),
-            "surplus": surplus,
+            "unmatched": unmatched,
         },
     )
-    complete = facts.where(F.col("surplus_total") == 0)
+    complete = facts.where(F.col("unmatched_total") == 0)
     offset, duration = F.col("time_before"), F.col("duration")
     share = duration / F.array_size("__chunks")
     start = offset + F.col("__at") * share
@@ -226,7 +238,8 @@ def segment_timeline(pages: DataFrame, audio: DataFrame, key: str) -> DataFrame:
     """Edit list of page videos: segments end to end, each with title and caption.
 
     `audio` lists (key, page_number, duration, exists) for every page that was
-    spoken. A document with unequal counts of pages and audio has no segments.
+    spoken. A document with a page without audio or audio without a page has no
+    segments; `duration_mismatch` of pages and audio reports it.
     A file that is listed but gone leaves its page out, and takes no time.
     """
     on = [key, "page_number"]
@@ -240,10 +253,10 @@ def segment_timeline(pages: DataFrame, audio: DataFrame, key: str) -> DataFrame:
         {
             "time": F.when(present, F.col("duration")).otherwise(0.0),
             "segment": present.cast("bigint"),
-            "surplus": F.col("text").isNotNull().cast("bigint") - F.col("exists").isNotNull().cast("bigint"),
+            "unmatched": (F.col("text").isNull() | F.col("exists").isNull()).cast("bigint"),
         },
     )
-    return placed.where(F.col("surplus_total") == 0).where(present).select(
+    return placed.where(F.col("unmatched_total") == 0).where(present).select(
         *on,
         (F.col("segment_before") + 1).alias("segment"),
         F.col("time_before").alias("start_time"),

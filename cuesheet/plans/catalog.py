@@ -7,7 +7,7 @@ job asks for) follows from a property of the rows.
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +25,7 @@ from cuesheet.operators import timeline as T
 from cuesheet.operators.blocks import explode_rows
 from cuesheet.plans import scripts as S
 from cuesheet.session import shared_folder
-from cuesheet.sources.files import file_info, find_files
+from cuesheet.sources.files import file_info, lookup_files
 from cuesheet.sources.manifests import read_manifests, write_manifests
 from cuesheet.sources.tables import html_paragraphs, html_title, read_table
 
@@ -299,13 +299,15 @@ def page_cues(spark, folder):
 
 
 def _measured(spark, folder) -> DataFrame:
-    """Durations without those of pages too long to be measured."""
+    """Durations without those of pages too long to be measured; in some
+    documents they are counted from 2."""
     words = word_count(F.col("text"))
     seconds = speech_seconds(words, F.lit(1.0))
+    number = F.col("page_number") + F.when(F.col(KEY) % 3 == 1, 1).otherwise(0)
     return (
         paged(spark, folder)
         .where(words <= SLOW_PAGE_WORDS)
-        .select(KEY, "page_number", seconds.alias("duration"))
+        .select(KEY, number.alias("page_number"), seconds.alias("duration"))
     )
 
 
@@ -340,17 +342,27 @@ def render_cues(spark, folder):
     return T.render_cues(T.text_cues(scripts(spark, folder), [KEY]), [KEY])
 
 
-@_query("segment_timeline")
-def segment_timeline(spark, folder):
-    """All pages were spoken; the files of very short ones are gone."""
+def _spoken(spark, folder) -> DataFrame:
+    """Audio of all pages; the files of very short ones are gone, and in some
+    documents the pages were counted from 2."""
     words = word_count(F.col("text"))
-    audio = paged(spark, folder).select(
+    number = F.col("page_number") + F.when(F.col(KEY) % 3 == 1, 1).otherwise(0)
+    return paged(spark, folder).select(
         KEY,
-        "page_number",
+        number.alias("page_number"),
         speech_seconds(words, F.lit(1.0)).alias("duration"),
         (words >= SHORT_PAGE_WORDS).alias("exists"),
     )
-    return T.segment_timeline(paged(spark, folder), audio, KEY)
+
+
+@_query("segment_timeline")
+def segment_timeline(spark, folder):
+    return T.segment_timeline(paged(spark, folder), _spoken(spark, folder), KEY)
+
+
+@_query("segment_mismatch")
+def segment_mismatch(spark, folder):
+    return T.duration_mismatch(paged(spark, folder), _spoken(spark, folder), KEY)
 
 
 # Subtitle files ------------------------------------------------------------
@@ -392,12 +404,12 @@ def page_srt(spark, folder):
 
 @_query("page_cue_srt")
 def page_cue_srt(spark, folder):
-    return R.srt_parts(page_cues(spark, folder), [KEY])
+    return R.srt_blocks(page_cues(spark, folder), [KEY])
 
 
 @_query("page_cue_vtt")
 def page_cue_vtt(spark, folder):
-    return R.vtt_parts(page_cues(spark, folder), [KEY])
+    return R.vtt_blocks(page_cues(spark, folder), [KEY])
 
 
 # Jobs ----------------------------------------------------------------------
@@ -452,12 +464,26 @@ def voice_match(spark, folder):
 
 @_query("synthesis_requests")
 def synthesis_requests(spark, folder):
-    """Paged documents by page, continuous scripts as a whole."""
-    settings = routed(spark, folder)
-    by_page = J.page_requests(paged(spark, folder), settings, KEY, F.concat(F.lit("c"), F.col(KEY)))
+    """Paged documents by page or as a whole, as their job says; continuous
+    scripts as a whole."""
+    settings, prefix = routed(spark, folder), F.concat(F.lit("c"), F.col(KEY))
+    by_page = J.page_requests(paged(spark, folder), settings, KEY, prefix)
+    combined = J.combined_requests(paged(spark, folder), settings, KEY, prefix)
     texts = S.clean_scripts(documents(spark, folder, "text"))
     whole = J.document_requests(texts, settings, KEY, F.concat(F.lit("d"), F.col(KEY)))
-    return by_page.unionByName(whole)
+    return by_page.unionByName(combined).unionByName(whole)
+
+
+@_query("rejected_requests")
+def rejected_requests(spark, folder):
+    return J.rejected_requests(routed(spark, folder), "job_id")
+
+
+@_query("document_srt")
+def document_srt(spark, folder):
+    """The subtitle file of every paged document that is read as a whole."""
+    together = jobs(spark, folder).where(~F.col("separate_pages")).select(KEY)
+    return R.srt_blocks(document_cues(spark, folder).join(together, KEY, "left_semi"), [KEY])
 
 
 @_query("synthesis_outcomes")
@@ -482,7 +508,14 @@ def artifact_plan(spark, folder):
 
 @_query("file_inventory")
 def file_inventory(spark, folder):
-    return file_info(find_files(spark, folder, "*.parquet"))
+    """Saved web pages as files; a page asked for with a query is never found."""
+    pages = web_pages(spark, folder)
+    path = F.concat(F.regexp_extract("url", r"//([^?#]*)", 1), F.lit("-"), F.col(KEY), F.lit(".html"))
+    files = pages.where(~F.col("url").contains("?")).select(
+        path.alias("path"), F.octet_length("html").cast("bigint").alias("size")
+    )
+    found = lookup_files(pages.select(path.alias("path")), files)
+    return found.select("path", "size", "size_mb", "suffix", "name", "exists")
 
 
 @_query("output_layout")
@@ -531,9 +564,10 @@ def project_manifest(spark, folder):
 @_query("manifest_roundtrip")
 def manifest_roundtrip(spark, folder):
     """Manifests written as JSON lines to the shared folder and read again."""
-    target = os.path.join(shared_folder(spark), f"manifests-{spark.sparkContext.applicationId}")
-    write_manifests(project_manifest(spark, folder), target)
+    target = f"{shared_folder(spark).rstrip('/')}/manifests-{uuid.uuid4().hex}"
+    write_manifests(project_manifest(spark, folder), target, KEY)
     return read_manifests(spark, target).select(
+        F.col("key").cast("bigint").alias(KEY),
         "project_name",
         "source_pdf",
         "total_pages",

@@ -121,15 +121,21 @@ SCRIPTS = f"""scripts AS (SELECT *, {words('text')} * 60.0::DOUBLE / 200 AS dura
     SELECT doc_id, {clean('text')} AS text FROM documents) WHERE text <> '')"""
 DURATIONS = f"""durations AS (SELECT doc_id, page_number, {words('text')} * 60.0::DOUBLE / 200 AS duration
     FROM pages_of)"""
-MEASURED = f"""durations AS (SELECT doc_id, page_number, {words('text')} * 60.0::DOUBLE / 200 AS duration
+MEASURED = f"""durations AS (SELECT doc_id, page_number + (doc_id % 3 = 1)::INT AS page_number, {words('text')} * 60.0::DOUBLE / 200 AS duration
     FROM pages_of WHERE {words('text')} <= {SLOW_PAGE_WORDS})"""
 OUTCOMES = f"""outcomes AS (SELECT doc_id, page_number, 'c' || doc_id || '_' || printf('%03d', page_number) || '.mp3' AS path,
     {words('text')} >= {SHORT_PAGE_WORDS} AS ok FROM pages_of)"""
-HTML = f"""html_rows AS (SELECT doc_id, url, page_number, {clean('raw')} AS text FROM (
-    SELECT doc_id, url, unnest(range(1, len(ps) + 1))::INT AS page_number,
-           regexp_replace(unnest(ps), '<[^>]*>', ' ', 'g') AS raw
-    FROM (SELECT page_id AS doc_id, url, regexp_extract_all(
-            regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<p>(.*?)</p>', 1) AS ps FROM pages)))"""
+# From the opening of the article to its end or that of the page; every tag of a
+# paragraph or heading becomes a mark at which the text is cut.
+HTML = f"""articles AS (SELECT page_id AS doc_id, url, string_split(html, '<article>')[2] AS rest FROM pages),
+pieces AS (SELECT doc_id, url, list_filter(list_transform(string_split(replace(replace(
+        regexp_replace(string_split(rest, '</article>')[1], '<h1>[^<]*</h1>', chr(1), 'g'),
+        '</p>', chr(1)), '<p>', chr(1)), chr(1)),
+        lambda p: replace(replace(replace(regexp_replace(p, '<[^>]*>', ' ', 'g'),
+            '&quot;', '"'), '&middot;', chr(183)), '&amp;', '&')),
+        lambda p: regexp_matches(p, '\\S')) AS ps FROM articles),
+html_rows AS (SELECT doc_id, url, page_number, {clean('raw')} AS text FROM (
+    SELECT doc_id, url, unnest(range(1, len(ps) + 1))::INT AS page_number, unnest(ps) AS raw FROM pieces))"""
 
 
 def with_(*parts: str) -> str:
@@ -158,7 +164,7 @@ def paged_cues(durations: str) -> str:
     return with_(
         PAGES,
         durations,
-        f"""counted AS (SELECT doc_id, count(p.text) AS n, count(d.duration) AS m
+        f"""counted AS (SELECT doc_id, count(*) FILTER (p.text IS NULL OR d.duration IS NULL) AS unmatched
     FROM pages_of p FULL JOIN durations d USING (doc_id, page_number) GROUP BY doc_id),
 lists AS (SELECT doc_id, list(duration ORDER BY page_number) AS ds, list(page_number ORDER BY page_number) AS ns
     FROM durations GROUP BY doc_id),
@@ -169,7 +175,7 @@ run AS (SELECT doc_id, ns, list_reduce(
 offsets AS (SELECT doc_id, unnest(ns) AS page_number, unnest(offsets) AS began FROM run),
 chunked AS (SELECT doc_id, page_number, duration, began, {cue_chunks('text', 'duration')} AS cs
     FROM pages_of JOIN durations USING (doc_id, page_number) JOIN offsets USING (doc_id, page_number)
-    JOIN counted USING (doc_id) WHERE n = m),
+    JOIN counted USING (doc_id) WHERE unmatched = 0),
 chunks AS (SELECT doc_id, page_number, duration, began, duration / len(cs) AS share,
     unnest(range(len(cs))) AS i, unnest(cs) AS c FROM chunked),
 placed AS (SELECT *, began + i * share AS shown, least(began + i * share + share, began + duration) AS gone FROM chunks),
@@ -188,7 +194,6 @@ VTT_BLOCK = (
 )
 SRT_FILE = f"string_agg({SRT_BLOCK}, '' ORDER BY \"index\")"
 VTT_FILE = f"'WEBVTT' || chr(10) || chr(10) || string_agg({VTT_BLOCK}, '' ORDER BY \"index\")"
-PART = '(("index" - 1) // 4096)::INT'
 
 JOBS = """jobs AS (SELECT doc_id AS job_id, doc_id,
     CASE doc_id % 4 WHEN 0 THEN 'pyttsx3' WHEN 1 THEN 'gtts' WHEN 2 THEN 'elevenlabs' ELSE 'other' END AS engine,
@@ -265,6 +270,12 @@ firsts AS (SELECT doc_id, arg_min({preview('text')}, page_number) AS preview FRO
 whole AS (SELECT doc_id, string_agg(text, ' ' ORDER BY page_number) AS text FROM pages_of GROUP BY 1)""",
 )
 
+MISMATCH = """SELECT doc_id, count(text) AS total_pages, count(duration) AS total_durations,
+        count(*) FILTER (text IS NULL OR duration IS NULL) AS unmatched,
+        CASE WHEN count(text) <> count(duration) THEN 'counts differ' ELSE 'page numbers differ' END AS reason
+    FROM pages_of FULL JOIN durations USING (doc_id, page_number)
+    GROUP BY doc_id HAVING count(*) FILTER (text IS NULL OR duration IS NULL) > 0"""
+
 REQUEST = """CAST(trunc(speed * 200) AS INT) AS rate, speed < 0.8 AS slow, length(text)::INT AS n_chars"""
 
 
@@ -289,7 +300,7 @@ def oracle_sql() -> dict[str, str]:
         "text_stats": REPORT + "SELECT * FROM averages",
         "corpus_totals": with_(PAGES)
         + "SELECT count(*) AS total_pages, coalesce(sum(length(text)), 0)::BIGINT AS total_characters FROM pages_of",
-        "doc_assembly": REPORT + "SELECT doc_id, 0::INT AS part, text FROM whole",
+        "doc_assembly": REPORT + "SELECT doc_id, text FROM whole",
         "doc_preview": REPORT
         + f"SELECT doc_id, coalesce({preview('text')}, '{NO_TEXT}') AS preview FROM docs_of LEFT JOIN whole USING (doc_id)",
         "first_page_preview": REPORT + "SELECT * FROM firsts",
@@ -336,10 +347,13 @@ def oracle_sql() -> dict[str, str]:
             FROM documents LEFT JOIN stats USING (doc_id)""",
         "page_cues": paged_cues(DURATIONS) + "SELECT * FROM cues",
         "measured_page_cues": paged_cues(MEASURED) + "SELECT * FROM cues",
-        "duration_mismatch": with_(PAGES, MEASURED)
-        + """SELECT doc_id, count(text) AS total_pages, count(duration) AS total_durations
-            FROM pages_of FULL JOIN durations USING (doc_id, page_number)
-            GROUP BY doc_id HAVING count(text) <> count(duration)""",
+        "duration_mismatch": with_(PAGES, MEASURED) + MISMATCH,
+        "segment_mismatch": with_(
+            PAGES,
+            """durations AS (SELECT doc_id, page_number + (doc_id % 3 = 1)::INT AS page_number, 1 AS duration
+                FROM pages_of)""",
+        )
+        + MISMATCH,
         "document_cues": with_(
             PAGES,
             DURATIONS,
@@ -355,7 +369,8 @@ def oracle_sql() -> dict[str, str]:
             OUTCOMES,
             """made AS (SELECT doc_id, list(page_number ORDER BY page_number) AS ns,
                 list(duration ORDER BY page_number) AS ds
-                FROM durations JOIN outcomes USING (doc_id, page_number) WHERE ok GROUP BY doc_id)""",
+                FROM durations JOIN outcomes USING (doc_id, page_number)
+                WHERE ok AND doc_id % 3 <> 1 GROUP BY doc_id)""",
             """run AS (SELECT *, list_reduce(
                 list_transform(ds, lambda d: {'began': []::DOUBLE[], 'now': d}),
                 lambda s, d: {'began': list_append(s.began, s.now), 'now': s.now + d.now},
@@ -382,9 +397,10 @@ def oracle_sql() -> dict[str, str]:
         )
         + f"SELECT doc_id, page_number, filename, {SRT_FILE} AS srt FROM cues GROUP BY ALL",
         "page_cue_srt": paged_cues(DURATIONS)
-        + f"SELECT doc_id, {PART} AS part, {SRT_FILE} AS srt FROM cues GROUP BY 1, 2",
+        + f'SELECT doc_id, "index", {SRT_BLOCK} AS block FROM cues',
         "page_cue_vtt": paged_cues(DURATIONS)
-        + f"SELECT doc_id, {PART} AS part, {VTT_FILE} AS vtt FROM cues GROUP BY 1, 2",
+        + f"""SELECT doc_id, "index", {VTT_BLOCK} AS block FROM cues
+            UNION ALL SELECT DISTINCT doc_id, 0, 'WEBVTT' || chr(10) || chr(10) FROM cues""",
         "job_defaults": with_(JOBS) + "SELECT * FROM jobs",
         "config_snapshot": with_(JOBS, SIZES)
         + f"""SELECT job_id, '{{"voice":' || {VOICE_JSON} || ',"output":' || {OUTPUT_JSON} ||
@@ -406,13 +422,36 @@ def oracle_sql() -> dict[str, str]:
                 ON contains(lower(id), lower(voice_id)) GROUP BY voice_id)""",
         )
         + "SELECT job_id, voice_id, matched_voice FROM jobs LEFT JOIN matched USING (voice_id)",
-        "synthesis_requests": with_(PAGES, SCRIPTS, JOBS, ROUTED)
+        "rejected_requests": with_(JOBS, ROUTED)
+        + """SELECT job_id, CASE WHEN routing = 'unknown engine' THEN routing ELSE 'no audio wanted' END AS reason
+            FROM routed WHERE routing = 'unknown engine' OR output_type = 'video'""",
+        "document_srt": with_(
+            PAGES,
+            DURATIONS,
+            """whole AS (SELECT doc_id, string_agg(text, ' ' ORDER BY page_number) AS text,
+                list_reduce(list(duration ORDER BY page_number), lambda a, b: a + b, 0.0::DOUBLE) AS duration
+                FROM pages_of JOIN durations USING (doc_id, page_number)
+                WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id % 3 <> 0 GROUP BY doc_id)""",
+            timed("whole", "doc_id"),
+        )
+        + f'SELECT doc_id, "index"::BIGINT AS "index", {SRT_BLOCK} AS block FROM cues',
+        "synthesis_requests": with_(
+            PAGES,
+            SCRIPTS,
+            JOBS,
+            ROUTED,
+            "able AS (SELECT * FROM routed WHERE routed_engine IS NOT NULL AND output_type <> 'video')",
+            """whole AS (SELECT doc_id, string_agg(text, ' ' ORDER BY page_number) AS text FROM pages_of GROUP BY 1)""",
+        )
         + f"""SELECT doc_id, page_number, 'c' || doc_id || '_' || printf('%03d', page_number) || '.mp3' AS filename,
                 routed_engine, {REQUEST}, len({request_chunks('text')})::INT AS n_chunks
-                FROM pages_of JOIN routed USING (doc_id)
+                FROM pages_of JOIN able USING (doc_id) WHERE separate_pages
+            UNION ALL
+            SELECT doc_id, NULL::INT, 'c' || doc_id || '_complete.' || audio_format, routed_engine, {REQUEST},
+                len({request_chunks('text')})::INT FROM whole JOIN able USING (doc_id) WHERE NOT separate_pages
             UNION ALL
             SELECT doc_id, NULL::INT, 'd' || doc_id || '_complete.' || audio_format, routed_engine, {REQUEST},
-                len({request_chunks('text')})::INT FROM scripts JOIN routed USING (doc_id)""",
+                len({request_chunks('text')})::INT FROM scripts JOIN able USING (doc_id)""",
         "synthesis_outcomes": with_(PAGES, OUTCOMES)
         + """SELECT doc_id, count(*) AS n_requests, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed,
             min(page_number) FILTER (NOT ok) AS first_failed_page, bool_or(ok) AS doc_ok
@@ -454,16 +493,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, base || '_{STAMP}' || CASE WHEN counter = 0 THEN '' ELSE '_' || counter END || '.mp3' AS filename
             FROM asked JOIN free USING (base, n)""",
         "concat_plan": with_(PAGES, OUTCOMES)
-        + """SELECT doc_id, 0::INT AS part, CASE WHEN count(*) = 1 THEN 'copy' ELSE 'concat' END AS action,
-            count(*) AS n_files, string_agg(path, ',' ORDER BY page_number) AS files
-            FROM outcomes WHERE ok GROUP BY doc_id""",
+        + """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_number) AS position,
+            CASE WHEN count(*) OVER (PARTITION BY doc_id) = 1 THEN 'copy' ELSE 'concat' END AS action,
+            count(*) OVER (PARTITION BY doc_id) AS n_files, path FROM outcomes WHERE ok""",
+        "file_inventory": """WITH asked AS (SELECT regexp_extract(url, '//([^?#]*)', 1) || '-' || page_id || '.html' AS path,
+                strlen(html) AS bytes, contains(url, '?') AS lost FROM pages)
+            SELECT path, CASE WHEN NOT lost THEN bytes END AS size,
+                CASE WHEN NOT lost THEN round_even(bytes / 1048576.0::DOUBLE, 2) END AS size_mb,
+                CASE WHEN NOT lost THEN '.html' END AS suffix,
+                CASE WHEN NOT lost THEN string_split(path, '/')[-1] END AS name, NOT lost AS exists FROM asked""",
         "project_manifest": MANIFEST
-        + f"""SELECT doc_id, 0::INT AS part, '{{"created":"{CREATED}","project_name":"' || project_name ||
+        + f"""SELECT doc_id, '{{"created":"{CREATED}","project_name":"' || project_name ||
             '","source_pdf":"' || source_pdf || '","total_pages":' || total_pages || ',"total_audio_files":' ||
             total_audio_files || ',"has_video":' || (video IS NOT NULL) || ',"voice_config":' || {VOICE_JSON} ||
             ',"output_config":' || {OUTPUT_JSON} || ',"file_list":{{"audio_files":[' || quoted ||
             '],"video_file":' || {text_value('video')} || '}}}}' AS manifest FROM facts""",
         "manifest_roundtrip": MANIFEST
-        + """SELECT project_name, source_pdf, total_pages, total_audio_files, video IS NOT NULL AS has_video, engine,
+        + """SELECT doc_id, project_name, source_pdf, total_pages, total_audio_files, video IS NOT NULL AS has_video, engine,
             audio_format, plain AS audio_files, video AS video_file, true AS is_valid FROM facts""",
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "8", app: str = "cuesheet") -> SparkSession:
@@ -33,15 +33,3 @@ def shared_folder(spark: SparkSession) -> str:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 
-
-def spread(scan: DataFrame, *row_key: str) -> DataFrame:
-    """Use all cores on an input that arrives in too few splits.
-
-    A scan of many splits is returned as it is, so nothing is shuffled at
-    scale. Rows go by their full key: by part of it, a document that holds
-    much of the rows would end up in one task and stay there.
-    """
-    wanted = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= wanted:
-        return scan
-    return scan.repartition(wanted, *row_key)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = """
-    created string, project_name string, source_pdf string, total_pages bigint,
+    key string, created string, project_name string, source_pdf string, total_pages bigint,
     total_audio_files bigint, has_video boolean,
     voice_config struct<engine: string, speed: double, pitch: int, language: string, voice_id: string>,
     output_config struct<audio_format: string, video_format: string, audio_quality: string,
@@ -15,13 +15,17 @@ SCHEMA = """
 """
 
 
-def write_manifests(manifests: DataFrame, folder: str) -> None:
-    """One JSON line for each manifest."""
-    manifests.select(F.col("manifest").alias("value")).write.mode("overwrite").text(folder)
+def write_manifests(manifests: DataFrame, folder: str, key: str) -> None:
+    """One JSON line for each manifest, with its key as the first field."""
+    opening = F.to_json(F.struct(F.col(key).alias("key")), {"ignoreNullFields": "false"})
+    line = F.concat(
+        opening.substr(F.lit(1), F.length(opening) - 1), F.lit(","), F.substring("manifest", 2, 1 << 30)
+    )
+    manifests.select(line.alias("value")).write.mode("overwrite").text(folder)
 
 
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
-    """Manifests as columns, and the line itself in `corrupt` where it is no manifest."""
+    """Manifests as columns, the key as text, and the line itself in `corrupt` where it is no manifest."""
     return (
         spark.read.schema(f"{SCHEMA}, corrupt string")
         .option("mode", "PERMISSIVE")

@@ -7,6 +7,7 @@ from cuesheet.operators import artifacts as A
 from cuesheet.operators import pages as P
 from cuesheet.operators import render as R
 from cuesheet.operators import timeline as T
+from cuesheet.sources.subtitles import write_subtitles
 from cuesheet.operators.blocks import document_facts
 
 HOT_PAGES = 13000
@@ -126,11 +127,10 @@ def test_document_cues_equal_cues_of_the_joined_text(hot, spark):
             assert a[1:3] == pytest.approx(b[1:3], rel=1e-9, abs=1e-6)
 
 
-def test_assembly_parts_join_to_the_whole(hot):
-    parts = by_document(P.assemble(hot, "doc_id"), "part", "text")
-    assert len(parts[1]) == 51
+def test_assembly_is_the_whole_text(hot):
+    texts = dict(P.assemble(hot, "doc_id").collect())
     for doc, rows in by_document(hot, "page_number", "text").items():
-        assert " ".join(p[1] for p in parts[doc]) == " ".join(r[1] for r in rows)
+        assert texts[doc] == " ".join(r[1] for r in rows)
 
 
 def test_preview_of_a_hot_document(hot):
@@ -140,26 +140,30 @@ def test_preview_of_a_hot_document(hot):
         assert shown[doc] == (whole if len(whole) <= 500 else whole[:500] + "...")
 
 
-def test_subtitle_parts_join_to_the_whole(hot):
+def test_subtitle_files_of_a_hot_document_are_whole(hot, tmp_path):
     cues = T.page_cues(hot, hot, "doc_id").cache()
-    for render, column, block in ((R.srt_parts, "srt", R.srt_block), (R.vtt_parts, "vtt", R.vtt_block)):
-        parts = by_document(render(cues, ["doc_id"]), "part", column)
-        assert len(parts[1]) > 2
-        blocks = by_document(
-            cues.select("doc_id", "index", block(*map(F.col, ("index", "start_time", "end_time", "text"))).alias("b")),
-            "index",
-            "b",
-        )
-        head = "WEBVTT\n\n" if column == "vtt" else ""
-        for doc, rows in blocks.items():
-            assert "".join(p[1] for p in parts[doc]) == head + "".join(r[1] for r in rows)
+    assert cues.where("doc_id = 1").count() > 10_000
+    for render, kind in ((R.srt_blocks, "srt"), (R.vtt_blocks, "vtt")):
+        folder = tmp_path / kind
+        write_subtitles(render(cues, ["doc_id"]), str(folder), "doc_id")
+        for doc, rows in by_document(cues, "index", "start_time", "end_time", "text").items():
+            (file,) = (folder / f"doc_id={doc}").glob("*.txt")
+            text = file.read_text(encoding="utf-8")
+            head, *blocks = text.split("\n\n")[:-1] if kind == "vtt" else ["", *text.split("\n\n")[:-1]]
+            assert head == ("WEBVTT" if kind == "vtt" else "") and len(blocks) == len(rows)
+            for row, block in zip(rows, blocks):
+                lines = block.split("\n")
+                if kind == "srt":
+                    assert lines.pop(0) == str(row[0])
+                assert " --> " in lines[0] and "\n".join(lines[1:]) == row[3]
 
 
 def test_file_lists_of_a_hot_document(hot):
     files = hot.withColumn("path", F.concat(F.lit("f"), F.col("page_number")))
-    plan = by_document(A.concat_plan(files, "doc_id"), "part", "action", "n_files", "files")
+    plan = by_document(A.concat_plan(files, "doc_id"), "position", "action", "n_files", "path")
     for doc, rows in by_document(files, "page_number", "path").items():
-        assert ",".join(p[3] for p in plan[doc]) == ",".join(r[1] for r in rows)
+        assert [p[0] for p in plan[doc]] == list(range(1, len(rows) + 1))
+        assert [p[3] for p in plan[doc]] == [r[1] for r in rows]
         assert {p[1:3] for p in plan[doc]} == {("copy" if len(rows) == 1 else "concat", len(rows))}
 
 

@@ -2,7 +2,7 @@ import json
 
 from cuesheet.sources.files import file_info, find_files, lookup_files
 from cuesheet.sources.manifests import read_manifests, write_manifests
-from cuesheet.sources.subtitles import write_subtitles
+from cuesheet.sources.subtitles import file_blocks, write_subtitle_table, write_subtitles
 
 
 def test_find_and_describe_files(spark, tmp_path):
@@ -37,10 +37,17 @@ def test_manifests_come_back_and_bad_ones_are_marked(spark, tmp_path):
         "output_config": {"audio_format": "mp3", "video_resolution": [1920, 1080], "fps": 24},
         "file_list": {"audio_files": ["a.mp3"], "video_file": None},
     }
-    lines = spark.createDataFrame([(json.dumps(good),), ("{not json",)], "manifest string")
+    many = good | {"total_audio_files": 10_000, "file_list": {"audio_files": [f"p{i}.mp3" for i in range(10_000)], "video_file": None}}
+    lines = spark.createDataFrame(
+        [(7, json.dumps(good)), (8, json.dumps(many)), (9, "{not json")], "doc_id int, manifest string"
+    )
     folder = str(tmp_path / "m")
-    write_manifests(lines, folder)
-    got = {r.corrupt is None: r for r in read_manifests(spark, folder).collect()}
+    write_manifests(lines, folder, "doc_id")
+    back = {r.key: r for r in read_manifests(spark, folder).collect()}
+    assert back["7"].project_name == "p"
+    assert back["8"].file_list.audio_files == many["file_list"]["audio_files"]
+    assert back["8"].total_audio_files == len(back["8"].file_list.audio_files)
+    got = {r.corrupt is None: r for r in read_manifests(spark, folder).where("key is null or key <> '8'").collect()}
     assert got[True].file_list.audio_files == ["a.mp3"]
     assert (got[True].voice_config.engine, got[True].total_pages) == ("gtts", 2)
     assert got[False].project_name is None
@@ -48,9 +55,17 @@ def test_manifests_come_back_and_bad_ones_are_marked(spark, tmp_path):
 
 def test_subtitle_files_on_disk(spark, tmp_path):
     block = "1\n00:00:00,000 --> 00:00:01,000\nHé\n\n"
-    parts = spark.createDataFrame([(1, 0, block), (1, 1, block), (2, 0, block)], "doc_id int, part int, srt string")
-    write_subtitles(parts, str(tmp_path / "out"), "doc_id", "srt")
-    for doc, count in ((1, 2), (2, 1)):
-        files = sorted((tmp_path / "out" / f"doc_id={doc}").glob("part=*/*.txt"))
-        assert len(files) == count
-        assert all(f.read_text(encoding="utf-8") == block for f in files)
+    blocks = spark.createDataFrame([(1, 1, "b" + block), (1, 0, block), (2, 0, block)], "doc_id int, index int, block string")
+    write_subtitles(blocks, str(tmp_path / "out"), "doc_id")
+    for doc, text in ((1, block + "b" + block), (2, block)):
+        (file,) = (tmp_path / "out" / f"doc_id={doc}").glob("*.txt")
+        assert file.read_text(encoding="utf-8") == text
+
+
+def test_subtitle_files_in_a_table(spark, tmp_path):
+    files = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id int, srt string")
+    write_subtitle_table(files, str(tmp_path / "t"), "doc_id", 4)
+    assert len(list((tmp_path / "t").glob("bucket=*"))) == 4
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).select("doc_id", "srt").collect())) == sorted(map(tuple, files.collect()))
+    write_subtitles(file_blocks(files, "doc_id", "srt"), str(tmp_path / "f"), "doc_id")
+    assert len(list((tmp_path / "f").glob("doc_id=*/*.txt"))) == 50

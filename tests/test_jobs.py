@@ -116,8 +116,18 @@ PAGES = "doc_id bigint, page_number int, text string"
 
 def test_requests(spark, jobs):
     pages = spark.createDataFrame([(1, 1, "a b"), (1, 2, " "), (1, 12, "c" * 6000), (2, 1, "no job")], PAGES)
-    settings = jobs({"doc_id": 1, "speed": 0.57, "audio_format": "wav"}).withColumn("routed_engine", F.lit("gtts"))
+    settings = jobs({"doc_id": 1, "speed": 0.57, "audio_format": "wav", "separate_pages": True}).withColumn(
+        "routed_engine", F.lit("gtts")
+    )
     prefix = F.concat(F.lit("d"), F.col("doc_id"))
+    together = settings.withColumn("separate_pages", F.lit(False))
+    assert rows(J.combined_requests(pages, together, "doc_id", prefix), "filename") == [
+        (1, None, "d1_complete.wav", "gtts", 113, True, 6006, 1)
+    ]
+    assert J.combined_requests(pages, settings, "doc_id", prefix).isEmpty()
+    assert J.page_requests(pages, together, "doc_id", prefix).isEmpty()
+    for none in (together.withColumn("output_type", F.lit("video")), together.withColumn("routed_engine", F.lit(None).cast("string"))):
+        assert J.combined_requests(pages, none, "doc_id", prefix).isEmpty()
     assert rows(J.page_requests(pages, settings, "doc_id", prefix), "page_number") == [
         (1, 1, "d1_001.mp3", "gtts", 113, True, 3, 1),
         (1, 12, "d1_012.mp3", "gtts", 113, True, 6000, 1),

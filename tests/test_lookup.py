@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from cuesheet.operators.lookup import lookup, lookup_few
+from cuesheet.operators.lookup import lookup
 
 
 def test_hot_and_missing_keys_are_spread_and_found(spark):
@@ -14,11 +14,7 @@ def test_hot_and_missing_keys_are_spread_and_found(spark):
     assert got == {i: 1 if i % 3 == 0 else 2 if i == 4 else None for i in range(5000)}
 
 
-def test_a_table_is_broadcast_only_if_it_is_small(spark):
-    rows = spark.range(3000).select("id", F.col("id").alias("k"))
-    for size, broadcast in ((1000, True), (1001, False)):
-        table = spark.range(size).select(F.col("id").alias("k"), F.lit(1).alias("v"))
-        joined = lookup_few(rows, table, "k", "id")
-        assert joined.where("v = 1").count() == size
-        assert joined.count() == 3000
-        assert ("ResolvedHint (strategy=broadcast)" in joined._jdf.queryExecution().analyzed().toString()) == broadcast
+def test_keyless_rows_pass_the_join_by(spark):
+    rows = spark.range(100).select("id", F.lit(None).cast("string").alias("k"))
+    table = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
+    assert [r.v for r in lookup(rows, table, "k", "id").collect()] == [None] * 100

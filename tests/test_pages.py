@@ -62,5 +62,24 @@ def test_elements_become_numbered_pages(spark):
     html = "<title>T t t</title><p>out</p><article><p>One <b>bold</b></p>\n<p> </p><p>Three</p></article>"
     df = spark.createDataFrame([(1, html), (2, "<p>none</p>")], "doc_id int, html string")
     got = P.pages_of_elements(df, html_paragraphs(F.col("html")), "x").select("doc_id", "page_number", "text")
-    assert rows(got, "page_number") == [(1, 1, "One bold"), (1, 3, "Three")]
+    assert rows(got, "page_number") == [(1, 1, "One bold"), (1, 2, "Three")]
     assert [r[0] for r in df.select(html_title(F.col("html"))).collect()] == ["T t t", ""]
+
+
+def test_html_paragraphs_lose_no_text(spark):
+    from pyspark.sql import functions as F
+
+    from cuesheet.sources.tables import html_paragraphs
+
+    page = (
+        "<nav>menu</nav><article class=x><h1>Title</h1>loose<p>one<b> bold</b><p>two &amp; &lt;b&gt;</p>after"
+        "<h2>Part</h2><p id=z> <p>three<br>lines</p></article><p>outside"
+    )
+    df = spark.createDataFrame([(page,), ("<article><p>cut o",), ("none",), (None,)], "html string")
+    got = [r[0] for r in df.select(html_paragraphs(F.col("html"))).collect()]
+    assert [[" ".join(x.split()) for x in g] if g else g for g in got] == [
+        ["loose", "one bold", "two & <b>", "after", "three lines"],
+        ["cut o"],
+        [],
+        None,
+    ]

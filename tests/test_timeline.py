@@ -87,11 +87,18 @@ def test_page_cues_share_time(rows):
 
 
 def test_unequal_counts_reject_the_whole_document(rows):
-    pages = rows([(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (3, 1, "d")], PAGE)
-    times = rows([(1, 1, 2.0), (2, 1, 2.0), (3, 1, 1.0), (3, 2, 1.0), (4, 1, 1.0)], TIME)
+    pages = rows([(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (3, 1, "d"), (5, 1, "e"), (5, 2, "f")], PAGE)
+    times = rows([(1, 1, 2.0), (2, 1, 2.0), (3, 1, 1.0), (3, 2, 1.0), (4, 1, 1.0), (5, 2, 1.0), (5, 3, 1.0)], TIME)
     assert {r.doc_id for r in T.page_cues(pages, times, "doc_id").collect()} == {2}
     mismatch = T.duration_mismatch(pages, times, "doc_id").orderBy("doc_id").collect()
-    assert [tuple(r) for r in mismatch] == [(1, 2, 1), (3, 1, 2), (4, 0, 1)]
+    assert [tuple(r) for r in mismatch] == [
+        (1, 2, 1, 1, "counts differ"),
+        (3, 1, 2, 1, "counts differ"),
+        (4, 0, 1, 1, "counts differ"),
+        (5, 2, 2, 2, "page numbers differ"),
+    ]
+    heard = times.withColumn("exists", F.lit(True))
+    assert {r.doc_id for r in T.segment_timeline(pages, heard, "doc_id").collect()} == {2}
 
 
 def test_cue_stats(rows):
