@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cuesheet.llm import chat, decontam, extract, langid, mixing, neardup, neighbours, shards, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,4 +79,5 @@ def queries() -> dict[str, Query]:
         "op8_identify_language": op8_identify_language,
         "op9_shard_documents": op9_shard_documents,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "pipeline": corpus_pipeline.run,
     }
