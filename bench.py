@@ -1,7 +1,9 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; one JSON line.
 
-Every query runs in full into a sink that keeps nothing. The time given is the
-median of three runs after a first one.
+The tables are first copied into as many files as there are cores: each comes
+as one file of one row group, which Spark cannot split, while a corpus comes in
+many. Every query then runs in full into a sink that keeps nothing. The time
+given is the median of three runs after a first one.
 """
 
 from __future__ import annotations
@@ -9,8 +11,11 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
+from pyspark.sql import SparkSession
+
 from cuesheet.plans.catalog import queries
 from cuesheet.session import local_session
 
@@ -32,13 +37,29 @@ HEADLINE = [
     "page_srt",
     "synthesis_requests",
     "unique_names",
+    "job_validation",
+    "project_manifest",
+    "output_layout",
+    "voice_match",
+    "concat_plan",
 ]
+TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
+def split_copy(spark: SparkSession, folder: str, parts: int) -> str:
+    """A folder with the tables in `parts` files each."""
+    target = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for name, key in TABLES.items():
+        table = spark.read.parquet(f"{folder}/{name}.parquet")
+        table.repartition(parts, key).write.mode("overwrite").parquet(f"{target}/{name}.parquet")
+    return target
 
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "cuesheet-bench")
     spark.sparkContext.setLogLevel("ERROR")
+    sf, folder = folder, split_copy(spark, folder, spark.sparkContext.defaultParallelism)
     available = queries()
 
     def run(name: str) -> float:
@@ -57,7 +78,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "sf": os.path.basename(os.path.normpath(folder)),
+                "sf": os.path.basename(os.path.normpath(sf)),
             }
         )
     )
