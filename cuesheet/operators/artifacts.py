@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions.names import complete_file, dotted, page_file, suffix, timestamped
 from cuesheet.operators.blocks import document_facts, explode_rows
 from cuesheet.operators.jobs import output_config, voice_config
+from cuesheet.operators.lookup import spread_join
 
 
 def _one() -> Column:
@@ -15,16 +16,20 @@ def _one() -> Column:
 
 
 def artifact_plan(jobs: DataFrame, pages: DataFrame, key: str, prefix: Column) -> DataFrame:
-    """Every file the jobs are expected to make, one row each.
+    """Every file the jobs are expected to make, one row each, by `job_id`.
+
+    Pages are counted first and jobs come to them afterwards, so that several
+    jobs on one document do not disturb its numbers.
 
     Video and subtitles are made from audio, and audio is made only where the
     output is audio or both: a job for video alone makes nothing.
     """
     has_audio = F.col("output_type").isin("audio", "both")
     settings = jobs.select(
-        key, "output_type", "audio_format", "video_format", "subtitles", "separate_pages"
+        "job_id", key, "output_type", "audio_format", "video_format", "subtitles", "separate_pages"
     ).where(has_audio)
-    placed = document_facts(pages.select(key, "page_number"), key, "page_number", {"page": _one()}, settings, "inner")
+    counted = document_facts(pages.select(key, "page_number"), key, "page_number", {"page": _one()})
+    placed = spread_join(counted, settings, key, "page_number")
     ordinal = F.col("page_before") + 1
 
     def artifact(wanted: Column, kind: str, number: Column, name: Column) -> Column:
@@ -50,7 +55,7 @@ def artifact_plan(jobs: DataFrame, pages: DataFrame, key: str, prefix: Column) -
             artifact(first & ~apart & subtitled, "srt", none, srt),
         )
     )
-    return explode_rows(placed, plan, "artifact").select(key, "artifact.*")
+    return explode_rows(placed, plan, "artifact").select("job_id", key, "artifact.*")
 
 
 def page_subtitle_names(pages: DataFrame, key: str, prefix: Column) -> DataFrame:
@@ -140,7 +145,7 @@ def concat_plan(artifacts: DataFrame, key: str) -> DataFrame:
 def manifests(
     jobs: DataFrame, pages: DataFrame, audio: DataFrame, videos: DataFrame, key: str, created: str
 ) -> DataFrame:
-    """Project manifests as JSON, one for each project.
+    """Project manifests as JSON, one for each job.
 
     `jobs` holds the settings and project_name and source_pdf; absent values
     get their defaults. A manifest is one document with all its file names.
@@ -169,6 +174,7 @@ def manifests(
         ).alias("file_list"),
     )
     return joined.select(
+        "job_id",
         key,
         F.to_json(manifest, {"ignoreNullFields": "false"}).alias("manifest"),
     )

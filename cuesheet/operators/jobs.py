@@ -10,8 +10,8 @@ from cuesheet.functions.names import complete_file, dotted, page_file, suffix
 from cuesheet.functions.segments import request_chunks
 from cuesheet.functions.text import is_blank
 from cuesheet.functions.timecode import speech_rate
-from cuesheet.operators.blocks import document_facts, explode_rows
-from cuesheet.operators.lookup import lookup
+from cuesheet.operators.blocks import explode_rows
+from cuesheet.operators.lookup import lookup, spread_join
 from cuesheet.operators.pages import assemble
 
 # Settings of a job that names none, with their types.
@@ -156,29 +156,36 @@ def route_engines(jobs: DataFrame, engines: DataFrame, job: str = "job_id") -> D
 
 
 def match_voices(jobs: DataFrame, voices: DataFrame, job: str = "job_id") -> DataFrame:
-    """First voice, in device order, whose id contains the voice asked for.
+    """First voice of the job's engine, in order, whose id contains the voice asked for.
 
-    Containment becomes equality: every voice is listed under all substrings
-    of its short id, each substring keeps its first voice, and jobs look their
-    request up. A job that asks for none, or finds none, has a null voice.
+    Containment becomes equality: every voice (id, engine, ordinal) is listed
+    under the substrings of its short id that are as long as some request, each
+    substring keeps its first voice, and jobs look their request up. A job that
+    asks for none, or finds none, has a null voice.
     """
     lower_id = F.lower("id")
+
+    def asked(engine: str, name: Column) -> Column:
+        return F.concat(F.col(engine), F.lit("\0"), name)
+
+    sizes = jobs.agg(F.collect_set(F.length("voice_id"))).scalar()
     pieces = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.length(lower_id)),
-            lambda start: F.transform(
-                F.sequence(F.lit(1), F.length(lower_id) - start + 1),
-                lambda size: F.substring(lower_id, start, size),
+            F.filter("__sizes", lambda size: (size > 0) & (size <= F.length(lower_id))),
+            lambda size: F.transform(
+                F.sequence(F.lit(1), F.length(lower_id) - size + 1),
+                lambda start: F.substring(lower_id, start, size),
             ),
         )
     )
-    listed = voices.where(F.length("id") > 0)
+    short = voices.where(F.length("id") > 0).withColumn("__sizes", sizes)
+    listed = explode_rows(short, F.array_distinct(pieces), "__piece")
     index = (
-        explode_rows(listed, F.array_distinct(pieces), "__asked")
-        .groupBy("__asked")
+        listed.groupBy(asked("engine", F.col("__piece")).alias("__asked"))
         .agg(F.min_by("id", "ordinal").alias("matched_voice"))
     )
-    return lookup(jobs.withColumn("__asked", F.lower("voice_id")), index, "__asked", job).drop("__asked")
+    wanted = jobs.withColumn("__asked", asked("engine", F.lower("voice_id")))
+    return lookup(wanted, index, "__asked", job).drop("__asked")
 
 
 def _requests(rows: DataFrame, key: str, number: Column, filename: Column) -> DataFrame:
@@ -198,7 +205,7 @@ def _requests(rows: DataFrame, key: str, number: Column, filename: Column) -> Da
         F.size(request_chunks(text)).alias("n_chunks"),
     )
     wanted = F.array(F.when(~is_blank(text), request))
-    return explode_rows(rows, wanted, "request").select(key, "request.*")
+    return explode_rows(rows, wanted, "request").select("job_id", key, "request.*")
 
 
 def rejected_requests(jobs: DataFrame, key: str) -> DataFrame:
@@ -221,15 +228,15 @@ def _able(jobs: DataFrame) -> DataFrame:
 
 def page_requests(pages: DataFrame, jobs: DataFrame, key: str, prefix: Column) -> DataFrame:
     """One synthesis request per page that has text, for jobs with separate pages."""
-    settings = _able(jobs).where("separate_pages").select(key, "routed_engine", "speed")
-    joined = document_facts(pages, key, "page_number", {}, settings, "inner")
+    settings = _able(jobs).where("separate_pages").select("job_id", key, "routed_engine", "speed")
+    joined = spread_join(pages, settings, key, "page_number")
     number = F.col("page_number")
     return _requests(joined, key, number, page_file(prefix, number, F.lit(".mp3")))
 
 
 def document_requests(texts: DataFrame, jobs: DataFrame, key: str, prefix: Column) -> DataFrame:
     """One synthesis request per document, for texts that are one row each."""
-    joined = texts.join(_able(jobs).select(key, "routed_engine", "speed", "audio_format"), key)
+    joined = texts.join(_able(jobs).select("job_id", key, "routed_engine", "speed", "audio_format"), key)
     name = complete_file(prefix, dotted(F.col("audio_format")))
     return _requests(joined, key, F.lit(None).cast("int"), name)
 

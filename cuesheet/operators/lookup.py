@@ -6,6 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, row_id: str) -> DataFrame:
+    """Inner join of `rows` with `table`, which has few rows per `key`.
+
+    The rows of a key are spread as by `lookup`, so that a key with most of
+    the rows makes no task large.
+    """
+    shared = _shared(rows, row_id)
+    pairs = shared.select(key, "__share").distinct()
+    return shared.join(pairs.join(table, key), [key, "__share"]).drop("__share")
+
+
+def _shared(rows: DataFrame, row_id: str) -> DataFrame:
+    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("__share", F.pmod(F.xxhash64(row_id), F.lit(shares)).cast("int"))
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, row_id: str) -> DataFrame:
     """Left join of `rows` with `table`, which has at most one row per `key`.
 
@@ -14,9 +30,7 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, row_id: str) -> DataFram
     pairs: a key that is everywhere makes one of each, a rare one no more than
     it has rows. Rows without a key have nothing to find and pass by the join.
     """
-    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = F.pmod(F.xxhash64(row_id), F.lit(shares)).cast("int")
-    keyed = rows.where(F.col(key).isNotNull()).withColumn("__share", share)
+    keyed = _shared(rows.where(F.col(key).isNotNull()), row_id)
     pairs = keyed.select(key, "__share").distinct()
     found = keyed.join(pairs.join(table, key), [key, "__share"], "left").drop("__share")
     return found.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)

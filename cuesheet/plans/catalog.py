@@ -36,6 +36,7 @@ CREATED = "2024-01-01T00:00:00"
 STAMP = "20240101_000000"
 SLOW_PAGE_WORDS = 150
 SHORT_PAGE_WORDS = 8
+SECOND_JOB = 1_000_000_000
 
 _queries: dict[str, Query] = {}
 
@@ -101,17 +102,21 @@ def web_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def job_overrides(spark: SparkSession, folder: str) -> DataFrame:
-    """Job settings by document; some are left to the defaults."""
-    n = F.col(KEY)
+    """Job settings; some are left to the defaults, and a third of the
+    documents have a second job with other settings."""
+    step = F.explode(
+        F.when(F.col(KEY) % 3 == 1, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
+    )
+    n = F.col(KEY) + F.col("step")
 
     def pick(by: int, *values: str | None):
         choice = F.array(*[F.lit(v) for v in values])
         return F.element_at(choice, (n % by).cast("int") + 1)
 
     speed = F.lit(0.3) + (n % 20) / F.lit(10.0)
-    return documents(spark, folder, "lang", "source").select(
-        n.alias("job_id"),
-        n,
+    return documents(spark, folder, "lang", "source").select("*", step.alias("step")).select(
+        (F.col(KEY) + F.col("step") * SECOND_JOB).alias("job_id"),
+        KEY,
         F.when(n % 5 != 0, speed).alias("speed"),
         (n % 121 - 60).cast("int").alias("pitch"),
         pick(4, "1920x1080", "1280x720", "0x480", "wide").alias("resolution"),
@@ -456,8 +461,11 @@ def voice_match(spark, folder):
     voices = documents(spark, folder, "lang", "source").groupBy("lang", "source").agg(
         F.min(KEY).alias("ordinal")
     )
+    engine = F.when(F.col("ordinal") % 2 == 0, "pyttsx3").otherwise("gtts")
     voices = voices.select(
-        F.concat(F.lit("Voice-"), "lang", F.lit("/"), F.initcap("source")).alias("id"), "ordinal"
+        F.concat(F.lit("Voice-"), "lang", F.lit("/"), F.initcap("source")).alias("id"),
+        engine.alias("engine"),
+        "ordinal",
     )
     return J.match_voices(jobs(spark, folder), voices).select("job_id", "voice_id", "matched_voice")
 
@@ -482,7 +490,7 @@ def rejected_requests(spark, folder):
 @_query("document_srt")
 def document_srt(spark, folder):
     """The subtitle file of every paged document that is read as a whole."""
-    together = jobs(spark, folder).where(~F.col("separate_pages")).select(KEY)
+    together = jobs(spark, folder).where(~F.col("separate_pages")).select(KEY).distinct()
     return R.srt_blocks(document_cues(spark, folder).join(together, KEY, "left_semi"), [KEY])
 
 
@@ -565,9 +573,9 @@ def project_manifest(spark, folder):
 def manifest_roundtrip(spark, folder):
     """Manifests written as JSON lines to the shared folder and read again."""
     target = f"{shared_folder(spark).rstrip('/')}/manifests-{uuid.uuid4().hex}"
-    write_manifests(project_manifest(spark, folder), target, KEY)
+    write_manifests(project_manifest(spark, folder), target, "job_id")
     return read_manifests(spark, target).select(
-        F.col("key").cast("bigint").alias(KEY),
+        F.col("key").cast("bigint").alias("job_id"),
         "project_name",
         "source_pdf",
         "total_pages",

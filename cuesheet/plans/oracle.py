@@ -195,25 +195,27 @@ VTT_BLOCK = (
 SRT_FILE = f"string_agg({SRT_BLOCK}, '' ORDER BY \"index\")"
 VTT_FILE = f"'WEBVTT' || chr(10) || chr(10) || string_agg({VTT_BLOCK}, '' ORDER BY \"index\")"
 
-JOBS = """jobs AS (SELECT doc_id AS job_id, doc_id,
-    CASE doc_id % 4 WHEN 0 THEN 'pyttsx3' WHEN 1 THEN 'gtts' WHEN 2 THEN 'elevenlabs' ELSE 'other' END AS engine,
-    CASE WHEN doc_id % 5 <> 0 THEN 0.3::DOUBLE + (doc_id % 20) / 10.0::DOUBLE ELSE 1.0::DOUBLE END AS speed,
-    (doc_id % 121 - 60)::INT AS pitch,
+JOBS = """jobs AS (SELECT doc_id + step * 1000000000 AS job_id, doc_id,
+    CASE s % 4 WHEN 0 THEN 'pyttsx3' WHEN 1 THEN 'gtts' WHEN 2 THEN 'elevenlabs' ELSE 'other' END AS engine,
+    CASE WHEN s % 5 <> 0 THEN 0.3::DOUBLE + (s % 20) / 10.0::DOUBLE ELSE 1.0::DOUBLE END AS speed,
+    (s % 121 - 60)::INT AS pitch,
     lang AS language,
-    CASE doc_id % 3 WHEN 0 THEN upper(lang) WHEN 1 THEN lang || '/' || source END AS voice_id,
-    CASE doc_id % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'video' ELSE 'both' END AS output_type,
-    CASE doc_id % 5 WHEN 2 THEN 'wav' WHEN 3 THEN 'ogg' ELSE 'mp3' END AS audio_format,
+    CASE s % 3 WHEN 0 THEN upper(lang) WHEN 1 THEN lang || '/' || source END AS voice_id,
+    CASE s % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'video' ELSE 'both' END AS output_type,
+    CASE s % 5 WHEN 2 THEN 'wav' WHEN 3 THEN 'ogg' ELSE 'mp3' END AS audio_format,
     'mp4' AS video_format, 'high' AS audio_quality,
-    CASE doc_id % 4 WHEN 0 THEN '1920x1080' WHEN 1 THEN '1280x720' WHEN 2 THEN '0x480' ELSE 'wide' END AS resolution,
-    24::INT AS fps, doc_id % 2 = 0 AS subtitles, doc_id % 3 = 0 AS separate_pages,
-    'auto' AS extraction_method FROM documents)"""
+    CASE s % 4 WHEN 0 THEN '1920x1080' WHEN 1 THEN '1280x720' WHEN 2 THEN '0x480' ELSE 'wide' END AS resolution,
+    24::INT AS fps, s % 2 = 0 AS subtitles, s % 3 = 0 AS separate_pages,
+    'auto' AS extraction_method FROM (
+        SELECT *, doc_id + step AS s FROM (
+            SELECT *, unnest(CASE WHEN doc_id % 3 = 1 THEN [0, 2] ELSE [0] END) AS step FROM documents)))"""
 ROUTED = """routed AS (SELECT *, CASE WHEN engine IN ('pyttsx3', 'gtts', 'elevenlabs') THEN 'gtts' END AS routed_engine,
     CASE engine WHEN 'gtts' THEN 'requested' WHEN 'other' THEN 'unknown engine' ELSE 'fallback' END AS routing
     FROM jobs)"""
 PATHS = """paths AS (SELECT doc_id, n_chars, 'd' || doc_id ||
     CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' ELSE '.txt' END AS path FROM documents)"""
-SIZES = """sized AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 1920 WHEN 1 THEN 1280 END::BIGINT AS width,
-    CASE doc_id % 4 WHEN 0 THEN 1080 WHEN 1 THEN 720 END::BIGINT AS height FROM jobs)"""
+SIZES = """sized AS (SELECT *, CASE resolution WHEN '1920x1080' THEN 1920 WHEN '1280x720' THEN 1280 END::BIGINT AS width,
+    CASE resolution WHEN '1920x1080' THEN 1080 WHEN '1280x720' THEN 720 END::BIGINT AS height FROM jobs)"""
 
 
 def text_value(column: str) -> str:
@@ -415,23 +417,25 @@ def oracle_sql() -> dict[str, str]:
         "engine_routing": with_(JOBS, ROUTED) + "SELECT job_id, engine, routed_engine, routing FROM routed",
         "voice_match": with_(
             JOBS,
-            """voices AS (SELECT 'Voice-' || lang || '/' || upper(source[1]) || source[2:] AS id, min(doc_id) AS ordinal
+            """voices AS (SELECT 'Voice-' || lang || '/' || upper(source[1]) || source[2:] AS id, min(doc_id) AS ordinal,
+                CASE WHEN min(doc_id) % 2 = 0 THEN 'pyttsx3' ELSE 'gtts' END AS engine
                 FROM documents GROUP BY lang, source)""",
-            """wanted AS (SELECT DISTINCT voice_id FROM jobs)""",
-            """matched AS (SELECT voice_id, arg_min(id, ordinal) AS matched_voice FROM wanted JOIN voices
-                ON contains(lower(id), lower(voice_id)) GROUP BY voice_id)""",
+            """wanted AS (SELECT DISTINCT engine, voice_id FROM jobs)""",
+            """matched AS (SELECT w.engine, voice_id, arg_min(id, ordinal) AS matched_voice FROM wanted w JOIN voices v
+                ON w.engine = v.engine AND contains(lower(id), lower(voice_id)) GROUP BY 1, 2)""",
         )
-        + "SELECT job_id, voice_id, matched_voice FROM jobs LEFT JOIN matched USING (voice_id)",
+        + "SELECT job_id, voice_id, matched_voice FROM jobs LEFT JOIN matched USING (engine, voice_id)",
         "rejected_requests": with_(JOBS, ROUTED)
         + """SELECT job_id, CASE WHEN routing = 'unknown engine' THEN routing ELSE 'no audio wanted' END AS reason
             FROM routed WHERE routing = 'unknown engine' OR output_type = 'video'""",
         "document_srt": with_(
             PAGES,
             DURATIONS,
+            JOBS,
             """whole AS (SELECT doc_id, string_agg(text, ' ' ORDER BY page_number) AS text,
                 list_reduce(list(duration ORDER BY page_number), lambda a, b: a + b, 0.0::DOUBLE) AS duration
                 FROM pages_of JOIN durations USING (doc_id, page_number)
-                WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id % 3 <> 0 GROUP BY doc_id)""",
+                WHERE doc_id IN (SELECT doc_id FROM jobs WHERE NOT separate_pages) GROUP BY doc_id)""",
             timed("whole", "doc_id"),
         )
         + f'SELECT doc_id, "index"::BIGINT AS "index", {SRT_BLOCK} AS block FROM cues',
@@ -443,14 +447,14 @@ def oracle_sql() -> dict[str, str]:
             "able AS (SELECT * FROM routed WHERE routed_engine IS NOT NULL AND output_type <> 'video')",
             """whole AS (SELECT doc_id, string_agg(text, ' ' ORDER BY page_number) AS text FROM pages_of GROUP BY 1)""",
         )
-        + f"""SELECT doc_id, page_number, 'c' || doc_id || '_' || printf('%03d', page_number) || '.mp3' AS filename,
+        + f"""SELECT job_id, doc_id, page_number, 'c' || doc_id || '_' || printf('%03d', page_number) || '.mp3' AS filename,
                 routed_engine, {REQUEST}, len({request_chunks('text')})::INT AS n_chunks
                 FROM pages_of JOIN able USING (doc_id) WHERE separate_pages
             UNION ALL
-            SELECT doc_id, NULL::INT, 'c' || doc_id || '_complete.' || audio_format, routed_engine, {REQUEST},
+            SELECT job_id, doc_id, NULL::INT, 'c' || doc_id || '_complete.' || audio_format, routed_engine, {REQUEST},
                 len({request_chunks('text')})::INT FROM whole JOIN able USING (doc_id) WHERE NOT separate_pages
             UNION ALL
-            SELECT doc_id, NULL::INT, 'd' || doc_id || '_complete.' || audio_format, routed_engine, {REQUEST},
+            SELECT job_id, doc_id, NULL::INT, 'd' || doc_id || '_complete.' || audio_format, routed_engine, {REQUEST},
                 len({request_chunks('text')})::INT FROM scripts JOIN able USING (doc_id)""",
         "synthesis_outcomes": with_(PAGES, OUTCOMES)
         + """SELECT doc_id, count(*) AS n_requests, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed,
@@ -464,15 +468,15 @@ def oracle_sql() -> dict[str, str]:
                 FROM pages_of)""",
             "makers AS (SELECT * FROM jobs WHERE output_type IN ('audio', 'both') AND doc_id IN (SELECT doc_id FROM pages_of))",
         )
-        + """SELECT doc_id, 'audio' AS kind, page_number, 'c' || doc_id || '_' || printf('%03d', page_number) || '.mp3' AS filename
+        + """SELECT job_id, doc_id, 'audio' AS kind, page_number, 'c' || doc_id || '_' || printf('%03d', page_number) || '.mp3' AS filename
                 FROM makers JOIN numbered USING (doc_id) WHERE separate_pages
-            UNION ALL SELECT doc_id, 'audio', NULL::INT, 'c' || doc_id || '_complete.' || audio_format
+            UNION ALL SELECT job_id, doc_id, 'audio', NULL::INT, 'c' || doc_id || '_complete.' || audio_format
                 FROM makers WHERE NOT separate_pages
-            UNION ALL SELECT doc_id, 'video', NULL::INT, 'c' || doc_id || '_complete.mp4'
+            UNION ALL SELECT job_id, doc_id, 'video', NULL::INT, 'c' || doc_id || '_complete.mp4'
                 FROM makers WHERE output_type = 'both'
-            UNION ALL SELECT doc_id, 'srt', page_number, 'c' || doc_id || '_page_' || printf('%03d', n) || '.srt'
+            UNION ALL SELECT job_id, doc_id, 'srt', page_number, 'c' || doc_id || '_page_' || printf('%03d', n) || '.srt'
                 FROM makers JOIN numbered USING (doc_id) WHERE separate_pages AND subtitles
-            UNION ALL SELECT doc_id, 'srt', NULL::INT, 'c' || doc_id || '_complete.srt'
+            UNION ALL SELECT job_id, doc_id, 'srt', NULL::INT, 'c' || doc_id || '_complete.srt'
                 FROM makers WHERE NOT separate_pages AND subtitles""",
         "output_layout": with_(
             PAGES,
@@ -503,12 +507,12 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN NOT lost THEN '.html' END AS suffix,
                 CASE WHEN NOT lost THEN string_split(path, '/')[-1] END AS name, NOT lost AS exists FROM asked""",
         "project_manifest": MANIFEST
-        + f"""SELECT doc_id, '{{"created":"{CREATED}","project_name":"' || project_name ||
+        + f"""SELECT job_id, doc_id, '{{"created":"{CREATED}","project_name":"' || project_name ||
             '","source_pdf":"' || source_pdf || '","total_pages":' || total_pages || ',"total_audio_files":' ||
             total_audio_files || ',"has_video":' || (video IS NOT NULL) || ',"voice_config":' || {VOICE_JSON} ||
             ',"output_config":' || {OUTPUT_JSON} || ',"file_list":{{"audio_files":[' || quoted ||
             '],"video_file":' || {text_value('video')} || '}}}}' AS manifest FROM facts""",
         "manifest_roundtrip": MANIFEST
-        + """SELECT doc_id, project_name, source_pdf, total_pages, total_audio_files, video IS NOT NULL AS has_video, engine,
+        + """SELECT job_id, project_name, source_pdf, total_pages, total_audio_files, video IS NOT NULL AS has_video, engine,
             audio_format, plain AS audio_files, video AS video_file, true AS is_valid FROM facts""",
     }

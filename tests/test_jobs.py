@@ -95,7 +95,13 @@ def test_engine_routing(spark, jobs):
 
 def test_voice_match(spark, jobs):
     voices = spark.createDataFrame(
-        [("com.Voice.Anna", 1), ("com.voice.ANNABEL", 0), ("Zed", 2)], "id string, ordinal int"
+        [
+            ("com.Voice.Anna", 1, "pyttsx3"),
+            ("com.voice.ANNABEL", 0, "pyttsx3"),
+            ("Zed", 2, "pyttsx3"),
+            ("com.voice.anna.zeda", -1, "gtts"),
+        ],
+        "id string, ordinal int, engine string",
     )
     wanted = jobs(*[{"voice_id": v} for v in ("anna", "ANNA.", "voice.anna", "zed", "Zeda", "", None, "com.voice.anna")])
     got = rows(J.match_voices(wanted, voices).select("job_id", "matched_voice"), "job_id")
@@ -121,19 +127,19 @@ def test_requests(spark, jobs):
     )
     prefix = F.concat(F.lit("d"), F.col("doc_id"))
     together = settings.withColumn("separate_pages", F.lit(False))
-    assert rows(J.combined_requests(pages, together, "doc_id", prefix), "filename") == [
+    assert rows(J.combined_requests(pages, together, "doc_id", prefix).drop("job_id"), "filename") == [
         (1, None, "d1_complete.wav", "gtts", 113, True, 6006, 1)
     ]
     assert J.combined_requests(pages, settings, "doc_id", prefix).isEmpty()
     assert J.page_requests(pages, together, "doc_id", prefix).isEmpty()
     for none in (together.withColumn("output_type", F.lit("video")), together.withColumn("routed_engine", F.lit(None).cast("string"))):
         assert J.combined_requests(pages, none, "doc_id", prefix).isEmpty()
-    assert rows(J.page_requests(pages, settings, "doc_id", prefix), "page_number") == [
+    assert rows(J.page_requests(pages, settings, "doc_id", prefix).drop("job_id"), "page_number") == [
         (1, 1, "d1_001.mp3", "gtts", 113, True, 3, 1),
         (1, 12, "d1_012.mp3", "gtts", 113, True, 6000, 1),
     ]
     texts = spark.createDataFrame([(1, "a" * 3000 + ". " + "b" * 3000), (1, " ")], "doc_id bigint, text string")
-    assert rows(J.document_requests(texts, settings, "doc_id", prefix), "filename") == [
+    assert rows(J.document_requests(texts, settings, "doc_id", prefix).drop("job_id"), "filename") == [
         (1, None, "d1_complete.wav", "gtts", 113, True, 6002, 2)
     ]
 
@@ -158,7 +164,7 @@ def test_artifact_plan(spark, jobs):
         {"doc_id": 5, "output_type": "both"},
     )
     prefix = F.concat(F.lit("d"), F.col("doc_id"))
-    got = rows(A.artifact_plan(settings, pages, "doc_id", prefix), "doc_id", "filename")
+    got = rows(A.artifact_plan(settings, pages, "doc_id", prefix).drop("job_id"), "doc_id", "filename")
     assert got == [
         (2, "audio", 1, "d2_001.mp3"),
         (2, "audio", 3, "d2_003.mp3"),
@@ -172,6 +178,27 @@ def test_artifact_plan(spark, jobs):
     ]
 
 
+def test_two_jobs_on_one_document_keep_its_numbers(spark, jobs):
+    pages = spark.createDataFrame([(1, p, "text") for p in (2, 4)], PAGES)
+    settings = jobs(
+        {"doc_id": 1, "subtitles": True, "separate_pages": True}, {"doc_id": 1, "subtitles": True, "separate_pages": False}
+    ).withColumn("routed_engine", F.lit("gtts"))
+    got = rows(A.artifact_plan(settings, pages, "doc_id", F.lit("x")).where("kind = 'srt'"), "job_id", "filename")
+    assert got == [
+        (0, 1, "srt", 2, "x_page_001.srt"),
+        (0, 1, "srt", 4, "x_page_002.srt"),
+        (1, 1, "srt", None, "x_complete.srt"),
+    ]
+    asked = J.page_requests(pages, settings, "doc_id", F.lit("x")).unionByName(
+        J.combined_requests(pages, settings, "doc_id", F.lit("x"))
+    )
+    assert [(r.job_id, r.filename) for r in asked.orderBy("job_id", "filename").collect()] == [
+        (0, "x_002.mp3"),
+        (0, "x_004.mp3"),
+        (1, "x_complete.mp3"),
+    ]
+
+
 def test_layout_counts_missing_files(spark):
     audio = spark.createDataFrame(
         [(1, 1, "x/a.mp3", True), (1, 2, "x/b.mp3", False), (1, 5, "x/c.wav", True)],
