@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from cuesheet.session import shared_folder
+from cuesheet.session import shared_folder, ship_package
 
 
 def session(named, master):
@@ -25,3 +25,9 @@ def test_only_a_local_session_makes_its_own():
     assert shared_folder(local).startswith("/tmp/spark-")
     with pytest.raises(ValueError):
         shared_folder(session(None, "yarn"))
+
+
+def test_executors_get_the_package_once(spark):
+    ship_package(spark)
+    ship_package(spark)
+    assert sum(f.endswith("cuesheet.zip") for f in spark.sparkContext.listFiles) == 1
