@@ -367,6 +367,15 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 # --- links and classes ------------------------------------------------------
 
 
+def _with_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(a, b, va, vb) of the pairs (a, b)."""
+    return (
+        pairs.join(vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
+        .join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a")
+        .select("a", "b", "va", "vb")
+    )
+
+
 def _compared(pairs: DataFrame, least: float) -> DataFrame:
     """(a, b) of the pairs (a, b, va, vb) that are similar enough."""
 
@@ -384,7 +393,8 @@ def _compared(pairs: DataFrame, least: float) -> DataFrame:
 def _block_links(table: pa.Table, least: float) -> list[tuple[int, int]]:
     """Links between the two sides of a pair of blocks that join different
     labels, as many as it takes to connect the labels that any link of the
-    blocks connects. A pair of nodes is left to the first band they share."""
+    blocks connects. A pair of nodes is left to the first band they share: as
+    their labels differ, its bucket is scanned too or holds these two alone."""
     nodes = table.column("node").to_numpy()
     labels = table.column("label").to_numpy()
     left = table.column("left").to_numpy(zero_copy_only=False)
@@ -426,12 +436,15 @@ def _block_links(table: pa.Table, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def _residual_links(collisions: DataFrame, labels: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    """(a, b) links that the comparison with leaders left open.
+def _residual_links(
+    collisions: DataFrame, chosen: DataFrame, labels: DataFrame, vectors: DataFrame, least: float
+) -> DataFrame:
+    """(a, b) links that the comparison with the `chosen` leaders left open.
 
     In every bucket whose nodes carry several labels, nodes without the
     leader's label are compared with all others. Blocks of `BLOCK` nodes meet
-    in pairs: no group of more than two blocks is ever in one place.
+    in pairs: no group of more than two blocks is ever in one place. The pair
+    of a bucket of two is compared unless its leader was the chosen one.
     """
     labelled = collisions.join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
@@ -444,8 +457,16 @@ def _residual_links(collisions: DataFrame, labels: DataFrame, vectors: DataFrame
         F.sum(F.col("open").cast("int")).alias("opened"),
         F.sum((~F.col("open")).cast("int")).alias("closed"),
     )
-    # One open node was compared with its leader alone: more are needed, or a larger leader side.
-    counts = counts.where((F.col("opened") > 0) & (F.col("opened") + F.col("closed") > 2))
+    counts = counts.where(F.col("opened") > 0)
+    both = F.col("opened") + F.col("closed") == 2
+    twos = (
+        sided.where("open")
+        .join(counts.where(both), ["band", "key"])
+        .select(F.col("node").alias("b"), F.col("leader").alias("a"))
+        .distinct()
+        .join(chosen.select(F.col("node").alias("b"), F.col("leader").alias("a")), ["a", "b"], "left_anti")
+    )
+    counts = counts.where(~both)
     counts = counts.withColumn("open_blocks", F.ceil(F.col("opened") / BLOCK)).withColumn(
         "closed_blocks", F.ceil(F.col("closed") / BLOCK)
     )
@@ -479,11 +500,12 @@ def _residual_links(collisions: DataFrame, labels: DataFrame, vectors: DataFrame
             schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]),
         )
 
-    return (
+    in_blocks = (
         dealt.join(vectors, "node")
         .groupBy("band", "key", "low", "high")
         .applyInArrow(run, "a long, b long")
     )
+    return in_blocks.union(_compared(_with_vectors(twos, vectors), least))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -543,15 +565,13 @@ def node_classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY)
     vectors = written(_vector_blobs(once.select("node", "text", "bands", "codes"), max(1, texts)), "vectors")
     # The leader that most bands agree on, for every node that is not its own.
     votes = collisions.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
-    chosen = votes.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
-    pairs = (
-        chosen.join(vectors.select("node", F.col("vector").alias("vb")), "node")
-        .select(F.col("node").alias("b"), "vb", F.col("leader").alias("a"))
-        .join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a")
+    chosen = written(
+        votes.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader")), "chosen"
     )
+    pairs = _with_vectors(chosen.select(F.col("leader").alias("a"), F.col("node").alias("b")), vectors)
     links = written(_compared(pairs, least), "star-links")
     labels = components(links)
-    more = written(_residual_links(collisions, labels, vectors, least), "more-links")
+    more = written(_residual_links(collisions, chosen, labels, vectors, least), "more-links")
     if more.isEmpty():
         return labels
     return components(links.union(more))

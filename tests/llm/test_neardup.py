@@ -84,6 +84,27 @@ def test_classes_against_all_pairs(spark, monkeypatch):
     assert sorted(ids) == sorted([*smallest.values(), 2000, 2001, 2002, 2003])
 
 
+def test_small_families_against_all_pairs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = []
+    for family in range(200):
+        base = [word() for _ in range(200)]
+        texts.append(" ".join(base))
+        for k in range(1 + family % 3):  # each copy edited in a stretch of its own
+            copy = base[:]
+            for i in range(60 * k, 60 * k + rng.randint(10, 22)):
+                copy[i] = word()
+            texts.append(" ".join(copy))
+    expected = brute_classes(texts)
+    smallest = {}
+    for i, c in enumerate(expected):
+        smallest.setdefault(c, i)
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA)
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == [smallest[c] for c in expected]
+
+
 def test_samples_agree_as_similarity():
     rng = np.random.default_rng(3)
     for share in (0.3, 0.6, 0.8, 0.95):
