@@ -4,6 +4,8 @@ Numbers, names and units become typed placeholders. Windows of the resulting
 templates are joined by hash between documents and benchmark items. Where
 windows follow one another as in the item, the values in the slots must map one
 to one: the same value of the item always meets the same value of the document.
+Besides, windows of the words as they are, in lower case, are joined, since
+capitals tell no names in titles or in texts all in capitals.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ dollar dollars euro euros cent cents usd eur percent degree degrees kmh mph watt
 """.split()
 
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954))
+_PLAIN = np.uint64(0x504C4149)
 _SCALE = 0x9E3779B97F4A7C15
 _BYTES = np.arange(256)
 _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
@@ -43,9 +46,9 @@ _JOINT = np.isin(_BYTES, list(b".,"))
 _STOP = np.isin(_BYTES, [10, 13, *b".!?:"])
 _BLANK = np.isin(_BYTES, [9, 11, 12, 32, *b"\"'()[]*_-"])
 _SCHEMA = pa.schema(
-    [("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("window", pa.int64()), ("slots", pa.list_(pa.int64()))]
+    [("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("plain", pa.bool_()), ("window", pa.int64()), ("slots", pa.list_(pa.int64()))]
 )
-_DDL = "id long, key long, at int, window long, slots array<long>"
+_DDL = "id long, key long, at int, plain boolean, window long, slots array<long>"
 
 
 def template(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,11 +96,12 @@ _UNIT_HASHES = _unit_hashes()
 
 def windows(
     texts: pa.Array, wanted: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, hash, slots) of the windows with enough plain words, or of
-    those that the Bloom filter `wanted` may hold."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, plain, hash, slots) of the template windows with enough plain
+    words, and of the windows of words as they are (plain, no slots) that hold
+    more than numbers; or of those that the Bloom filter `wanted` may hold."""
     raw, offsets = shingles.column_bytes(texts)
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WINDOW), np.int64))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros((0, WINDOW), np.int64))
     parts = [none]
     for low, high in shingles.slices(offsets):
         own = offsets[low : high + 1]
@@ -105,34 +109,42 @@ def windows(
         n = len(token) - WINDOW + 1
         if n <= 0:
             continue
-        plain = np.concatenate([[0], np.cumsum(value == 0)])
-        whole = np.zeros(n, dtype=np.uint64)
-        for k in range(WINDOW):
-            whole += token[k : n + k] * np.uint64(pow(_SCALE, k + 1, 1 << 64))
-        window = shingles.mix(whole).view(np.int64)
-        take = (text[:n] == text[WINDOW - 1 :]) & (plain[WINDOW:] - plain[:-WINDOW] >= ANCHORS)
-        if wanted is not None:
-            take &= maybe_in(wanted, window)
-        at = np.flatnonzero(take)
-        slots = value[at[:, None] + np.arange(WINDOW)].view(np.int64)
-        parts.append((text[at] + low, at - np.searchsorted(text, text[at]), window[at], slots))
+        inside = text[:n] == text[WINDOW - 1 :]
+        first = np.searchsorted(text, np.arange(high - low))
+        anchors = np.concatenate([[0], np.cumsum(value == 0)])
+        numbers = np.concatenate([[0], np.cumsum(token == _NUMBER)])
+        typed = inside & (anchors[WINDOW:] - anchors[:-WINDOW] >= ANCHORS)
+        worded = inside & (numbers[WINDOW:] - numbers[:-WINDOW] < WINDOW)
+        written_as = np.where(value == 0, token, value)
+        for plain, words, take in ((False, token, typed), (True, written_as, worded)):
+            whole = np.full(n, _PLAIN if plain else 0, dtype=np.uint64)
+            for k in range(WINDOW):
+                whole += words[k : n + k] * np.uint64(pow(_SCALE, k + 1, 1 << 64))
+            window = shingles.mix(whole).view(np.int64)
+            if wanted is not None:
+                take = take & maybe_in(wanted, window)
+            at = np.flatnonzero(take)
+            slots = value[at[:, None] + np.arange(WINDOW)].view(np.int64)
+            if plain:
+                slots = np.zeros_like(slots)
+            parts.append((text[at] + low, at - first[text[at]], np.full(len(at), plain), window[at], slots))
     return tuple(np.concatenate(columns) for columns in zip(*parts))
 
 
 def _window_rows(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """(id, key, at, window, slots) of all windows of (id, key, text), or of those
+    """(id, key, at, plain, window, slots) of all windows of (id, key, text), or of those
     that the Bloom filter `wanted` may hold."""
     shared = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = None if shared is None else shared.value
-            text, place, window, slots = windows(batch.column("text"), bits)
+            text, place, plain, window, slots = windows(batch.column("text"), bits)
             ids, keys = (batch.column(c).take(pa.array(text)) for c in ("id", "key"))
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(text) + 1, dtype=np.int32) * WINDOW), pa.array(slots.ravel())
             )
-            columns = [ids, keys, pa.array(place, pa.int32()), pa.array(window), lists]
+            columns = [ids, keys, pa.array(place, pa.int32()), pa.array(plain), pa.array(window), lists]
             yield pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
     return rows.mapInArrow(run, _DDL)
@@ -156,10 +168,11 @@ def contaminated(
     doc_id and text), item_id, windows, item_windows, share, reparameterised.
 
     `windows` of the item's `item_windows` stand in the document in places with
-    consistent slots; `share` is at least `CONTAINED`. `reparameterised`: some
-    slot holds another value than in the item. Null and empty texts, and items
-    without a window of enough plain words, hold nothing and are held by
-    nothing; repeated rows give one row.
+    consistent slots; `share` is at least `CONTAINED`. Template windows and
+    windows of the words as they are count apart: the figures are of those with
+    the larger share. `reparameterised`: some slot holds another value than in
+    the item. Null and empty texts, and items of fewer words than a window or of
+    numbers only, hold nothing and are held by nothing; repeated rows give one row.
     """
     items = _window_rows(_keyed(benchmark, F.col(item_id), text).distinct(), None)
     items = written(
@@ -167,13 +180,14 @@ def contaminated(
             F.col("id").alias("item_id"),
             F.col("key").alias("item_key"),
             F.col("at").alias("item_at"),
+            "plain",
             "window",
             F.col("slots").alias("item_slots"),
         ),
         "item-windows",
     )
     wanted = bloom_filter(items, "window")
-    found = _window_rows(_keyed(docs, F.col(doc_id), text), wanted)
+    found = _window_rows(_keyed(docs, F.col(doc_id), text), wanted).drop("plain")
     pairs = F.filter(
         F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0
     )
@@ -182,7 +196,7 @@ def contaminated(
         .groupBy("id", "key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("lag"))
         .agg(
             F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
-            F.collect_set("item_at").alias("places"),
+            F.collect_set(F.struct("plain", "item_at")).alias("places"),
         )
         .where(
             (F.size("pairs") == F.size(F.array_distinct("pairs.item_slots")))
@@ -198,23 +212,29 @@ def contaminated(
             F.explode("places").alias("place"),
             F.exists("pairs", lambda x: x["slots"] != x["item_slots"]).alias("other"),
         )
-        .groupBy("id", "key", "item_id", "item_key", "place")
+        .select(
+            "id",
+            "key",
+            "item_id",
+            "item_key",
+            "place.plain",
+            F.col("place.item_at").alias("place"),
+            (F.col("other") & ~F.col("place.plain")).alias("other"),
+        )
+        .groupBy("id", "key", "item_id", "item_key", "plain", "place")
         .agg(F.min("other").alias("other"))
-        .groupBy("id", "key", "item_id", "item_key")
+        .groupBy("id", "key", "item_id", "item_key", "plain")
         .agg(F.count("*").alias("windows"), F.max("other").alias("reparameterised"))
     )
-    sizes = items.groupBy("item_key").agg(F.count_distinct("item_at").alias("item_windows"))
+    sizes = items.groupBy("item_key", "plain").agg(F.count_distinct("item_at").alias("item_windows"))
     share = F.col("windows") / F.col("item_windows")
+    best = F.max(F.struct(share.alias("share"), "windows", "item_windows")).alias("best")
     return (
-        held.join(sizes, "item_key")
+        held.join(sizes, ["item_key", "plain"])
         .where(share >= CONTAINED)
         .groupBy(F.col("id").alias("doc_id"), "key", "item_id")
-        .agg(
-            F.max("windows").alias("windows"),
-            F.max("item_windows").alias("item_windows"),
-            F.max(share).alias("share"),
-            F.min("reparameterised").alias("reparameterised"),
-        )
+        .agg(best, F.min("reparameterised").alias("reparameterised"))
+        .select("doc_id", "key", "item_id", "best.windows", "best.item_windows", "best.share", "reparameterised")
     )
 
 

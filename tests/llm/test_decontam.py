@@ -97,3 +97,12 @@ def test_empty(spark, benchmark):
     assert decontam.contaminated(some, benchmark.limit(0)).count() == 0
     assert decontam.without_contaminated(some, benchmark.limit(0)).count() == 3
     assert decontam.without_contaminated(some, benchmark).count() == 0
+
+
+def test_capitals(spark):
+    names = "Anna Maria and Boris Ivanov met Clara Stein in Rome near Villa Borghese with Emil Zola from Paris"
+    plain = "the slow grey fox sleeps under the busy dog beside the lake shore today"
+    bench = spark.createDataFrame([(1, plain), (2, names)], "item_id long, text string")
+    hits, _ = found(spark, bench, [plain.upper(), plain.title(), names.lower(), names.upper(), "a fox sleeps"])
+    assert set(hits) == {(0, 1), (1, 1), (2, 2), (3, 2)}
+    assert all(r.share == 1.0 and not r.reparameterised for r in hits.values())
