@@ -106,3 +106,10 @@ def test_capitals(spark):
     hits, _ = found(spark, bench, [plain.upper(), plain.title(), names.lower(), names.upper(), "a fox sleeps"])
     assert set(hits) == {(0, 1), (1, 1), (2, 2), (3, 2)}
     assert all(r.share == 1.0 and not r.reparameterised for r in hits.values())
+
+
+def test_equal_new_values(spark):
+    item = "the old farmer sells 3 apples and then 5 pears to the people who pass by his small stand"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    hits, _ = found(spark, bench, [item.replace("3", "4").replace("5", "4"), item.replace("3", "7")])
+    assert set(hits) == {(0, 1), (1, 1)}
