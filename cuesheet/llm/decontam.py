@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.llm import shingles
@@ -24,8 +24,10 @@ from cuesheet.llm.common import unique_name, written
 WINDOW = 5
 # Words of a window that must not be placeholders.
 ANCHORS = 3
-# Part of an item's windows that a document must hold.
+# Part of an item's windows that a document must hold,
 CONTAINED = 0.5
+# or as many neighbouring windows of the item (13 words), whatever their part.
+RUN = 9
 
 UNITS = """
 mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms
@@ -168,15 +170,18 @@ def contaminated(
     doc_id and text), item_id, windows, item_windows, share, reparameterised.
 
     `windows` of the item's `item_windows` stand in the document in places with
-    consistent slots; `share` is at least `CONTAINED`. Template windows and
+    consistent slots; `share` is at least `CONTAINED`, or `RUN` windows stand one
+    after the other as in the item. Template windows and
     windows of the words as they are count apart: the figures are of those with
     the larger share. `reparameterised`: some slot holds another value than in
     the item. Null and empty texts, and items of fewer words than a window or of
     numbers only, hold nothing and are held by nothing; repeated rows give one row.
     """
     items = _window_rows(_keyed(benchmark, F.col(item_id), text).distinct(), None)
+    rank = F.row_number().over(Window.partitionBy("key", "plain").orderBy("at"))
     items = written(
         items.select(
+            rank.alias("rank"),
             F.col("id").alias("item_id"),
             F.col("key").alias("item_key"),
             F.col("at").alias("item_at"),
@@ -196,12 +201,23 @@ def contaminated(
         .groupBy("id", "key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("lag"))
         .agg(
             F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
-            F.collect_set(F.struct("plain", "item_at")).alias("places"),
+            F.collect_set(F.struct("plain", "item_at", "rank")).alias("places"),
         )
         .where(F.size("pairs") == F.size(F.array_distinct("pairs.item_slots")))
     )
+    # Windows that a text holds are neighbours if no window of the item of their kind lies between.
+    ordered = F.array_sort("places")
+    long = F.exists(
+        F.sequence(F.lit(RUN - 1), F.size("_ordered") - 1),
+        lambda i: (F.get("_ordered", i)["plain"] == F.get("_ordered", i - (RUN - 1))["plain"])
+        & (F.get("_ordered", i)["rank"] - F.get("_ordered", i - (RUN - 1))["rank"] == RUN - 1),
+    )
+    runs = runs.withColumn("_ordered", ordered).withColumn(
+        "long", F.when(F.size("_ordered") >= RUN, long).otherwise(False)
+    )
     held = (
         runs.select(
+            "long",
             "id",
             "key",
             "item_id",
@@ -214,21 +230,22 @@ def contaminated(
             "key",
             "item_id",
             "item_key",
+            "long",
             "place.plain",
             F.col("place.item_at").alias("place"),
             (F.col("other") & ~F.col("place.plain")).alias("other"),
         )
         .groupBy("id", "key", "item_id", "item_key", "plain", "place")
-        .agg(F.min("other").alias("other"))
+        .agg(F.min("other").alias("other"), F.max("long").alias("long"))
         .groupBy("id", "key", "item_id", "item_key", "plain")
-        .agg(F.count("*").alias("windows"), F.max("other").alias("reparameterised"))
+        .agg(F.count("*").alias("windows"), F.max("other").alias("reparameterised"), F.max("long").alias("long"))
     )
     sizes = items.groupBy("item_key", "plain").agg(F.count_distinct("item_at").alias("item_windows"))
     share = F.col("windows") / F.col("item_windows")
     best = F.max(F.struct(share.alias("share"), "windows", "item_windows")).alias("best")
     return (
         held.join(sizes, ["item_key", "plain"])
-        .where(share >= CONTAINED)
+        .where((share >= CONTAINED) | F.col("long"))
         .groupBy(F.col("id").alias("doc_id"), "key", "item_id")
         .agg(best, F.min("reparameterised").alias("reparameterised"))
         .select("doc_id", "key", "item_id", "best.windows", "best.item_windows", "best.share", "reparameterised")

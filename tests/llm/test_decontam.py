@@ -113,3 +113,12 @@ def test_equal_new_values(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     hits, _ = found(spark, bench, [item.replace("3", "4").replace("5", "4"), item.replace("3", "7")])
     assert set(hits) == {(0, 1), (1, 1)}
+
+
+def test_excerpts(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    cuts = [words[50:77], words[50:63], words[50:62], words[:8] + ["x"] + words[20:28]]
+    hits, _ = found(spark, bench, [" ".join(["before", *c, "after"]) for c in cuts])
+    assert set(hits) == {(0, 1), (1, 1)}
+    assert hits[0, 1].windows == 23 and hits[0, 1].share < 0.5
