@@ -31,8 +31,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _TABLE = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 # Words whose scores a task remembers, and words whose chains it holds at a time.
-_CACHE = 400_000
-_WORDS_AT_A_TIME = 1_000_000
+_CACHE = 200_000
+_WORDS_AT_A_TIME = 100_000
 _SEGMENT = 128
 
 

@@ -33,7 +33,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 CHUNK_BYTES = 4 << 20
-BLOCK = 256
+# Nodes, and entries of their vectors, that a block of a bucket holds on average.
+BLOCK, BLOCK_ENTRIES = 256, 200_000
 # Bits of a shingle hash that its bucket does not already tell.
 _VALUE_BITS = 36
 _FILL = 0xFFFFFFFF
@@ -275,13 +276,14 @@ def _band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def _signatures(chunks: DataFrame, codes: DataFrame, buckets: int, texts: int) -> DataFrame:
-    """(node, bands, codes) of every node; `codes` are of its distinct
-    shingles in order of hash, null if each stands in no other text."""
+    """(node, bands, entries, codes) of every node: `entries` counts its
+    distinct shingles, `codes` are theirs in order of hash, null if each
+    stands in no other text."""
     idf = idf_table(texts)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table({"node": [], "bands": [], "codes": []}, schema=schema)
+            return pa.table({name: [] for name in schema.names}, schema=schema)
         docs = _distinct(docs)
         value, row, rank, short = _by_hash(*_shingled(docs), buckets)
         edges = np.searchsorted(short, _edges(buckets))
@@ -303,16 +305,24 @@ def _signatures(chunks: DataFrame, codes: DataFrame, buckets: int, texts: int) -
             {
                 "node": docs.column("node").take(pa.array(row[starts])),
                 "bands": pa.ListArray.from_arrays(offsets, flat),
+                "entries": np.diff(ends),
                 "codes": pa.array(blobs, pa.binary()),
             },
             schema=schema,
         )
 
-    schema = pa.schema([("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("codes", pa.binary())])
+    schema = pa.schema(
+        [
+            ("node", pa.int64()),
+            ("bands", pa.list_(pa.int64())),
+            ("entries", pa.int64()),
+            ("codes", pa.binary()),
+        ]
+    )
     return (
         chunks.groupBy("chunk")
         .cogroup(codes.groupBy("chunk"))
-        .applyInArrow(run, "node long, bands array<long>, codes binary")
+        .applyInArrow(run, "node long, bands array<long>, entries long, codes binary")
     )
 
 
@@ -436,15 +446,22 @@ def _block_links(table: pa.Table, least: float) -> list[tuple[int, int]]:
     return out
 
 
+def _blocks(nodes: str, entries: str) -> Column:
+    """How many blocks the nodes of a bucket, with so many entries, make."""
+    need = F.greatest(F.col(nodes) / BLOCK, F.coalesce(entries, F.lit(0)) / BLOCK_ENTRIES)
+    return F.least(F.col(nodes), F.ceil(need)).alias(nodes)
+
+
 def _residual_links(
     collisions: DataFrame, chosen: DataFrame, labels: DataFrame, vectors: DataFrame, least: float
 ) -> DataFrame:
     """(a, b) links that the comparison with the `chosen` leaders left open.
 
     In every bucket whose nodes carry several labels, nodes without the
-    leader's label are compared with all others. Blocks of `BLOCK` nodes meet
-    in pairs: no group of more than two blocks is ever in one place. The pair
-    of a bucket of two is compared unless its leader was the chosen one.
+    leader's label are compared with all others. Blocks of about `BLOCK` nodes
+    and `BLOCK_ENTRIES` entries meet in pairs: no group of more than two blocks
+    is ever in one place. The pair of a bucket of two is compared unless its
+    leader was the chosen one.
     """
     labelled = collisions.join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
@@ -454,8 +471,10 @@ def _residual_links(
         "open", F.col("label") != F.coalesce("main", "leader")
     )
     counts = sided.groupBy("band", "key").agg(
-        F.sum(F.col("open").cast("int")).alias("opened"),
-        F.sum((~F.col("open")).cast("int")).alias("closed"),
+        F.count_if("open").alias("opened"),
+        F.count_if(~F.col("open")).alias("closed"),
+        F.sum(F.when(F.col("open"), F.col("entries"))).alias("open_entries"),
+        F.sum(F.when(~F.col("open"), F.col("entries"))).alias("closed_entries"),
     )
     counts = counts.where(F.col("opened") > 0)
     both = F.col("opened") + F.col("closed") == 2
@@ -467,9 +486,9 @@ def _residual_links(
         .join(chosen.select(F.col("node").alias("b"), F.col("leader").alias("a")), ["a", "b"], "left_anti")
     )
     counts = counts.where(~both)
-    counts = counts.withColumn("open_blocks", F.ceil(F.col("opened") / BLOCK)).withColumn(
-        "closed_blocks", F.ceil(F.col("closed") / BLOCK)
-    )
+    counts = counts.select(
+        "band", "key", _blocks("opened", "open_entries"), _blocks("closed", "closed_entries")
+    ).withColumnsRenamed({"opened": "open_blocks", "closed": "closed_blocks"})
     rows = sided.select("band", "key", "node", "label", "open").join(counts, ["band", "key"])
     spot = F.xxhash64("node", F.lit(1))
     block = F.when(
@@ -553,7 +572,7 @@ def node_classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY)
     )
     codes = _with_codes(chunks, chunk_count)
     signatures = written(_signatures(chunks, codes, chunk_count, max(1, texts)), "signatures")
-    banded = signatures.select("node", F.posexplode("bands").alias("band", "key"))
+    banded = signatures.select("node", "entries", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n"))
     collisions = written(
         banded.join(shared.where(F.col("n") > 1).drop("n"), ["band", "key"]), "collisions"
