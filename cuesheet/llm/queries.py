@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuesheet.llm import chat, decontam, extract, langid, mixing, neardup, neighbours, shards, tokens, warc
+from cuesheet.llm import chat, decontam, extract, langid, mixing, neardup, neighbours, repair, shards, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -79,5 +83,6 @@ def queries() -> dict[str, Query]:
         "op8_identify_language": op8_identify_language,
         "op9_shard_documents": op9_shard_documents,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_repair_conversations": op11_repair_conversations,
         "pipeline": corpus_pipeline.run,
     }
