@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuesheet.llm import chat, decontam, extract, langid, mixing, neardup, neighbours, repair, shards, tokens, warc
+from cuesheet.llm import chat, decontam, extract, langid, mixing, neardup, neighbours, periods, repair, shards, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,11 @@ def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(repair.damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periods.run_digests(periods.with_planted_runs(docs))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -84,5 +89,6 @@ def queries() -> dict[str, Query]:
         "op9_shard_documents": op9_shard_documents,
         "op10_nearest_neighbours": op10_nearest_neighbours,
         "op11_repair_conversations": op11_repair_conversations,
+        "op12_periodic_runs": op12_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
