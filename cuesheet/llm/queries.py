@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuesheet.llm import chat, decontam, extract, langid, mixing, neardup, neighbours, periods, repair, shards, tokens, warc
+from cuesheet.llm import chat, decontam, extract, langid, mixing, neardup, neighbours, periods, pii, repair, shards, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_digests(periods.with_planted_runs(docs))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -90,5 +94,6 @@ def queries() -> dict[str, Query]:
         "op10_nearest_neighbours": op10_nearest_neighbours,
         "op11_repair_conversations": op11_repair_conversations,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_personal_data": op13_personal_data,
         "pipeline": corpus_pipeline.run,
     }

@@ -40,7 +40,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_all_are_registered():
     names = set(driver.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and set(oracle.oracle_sql()) <= set(driver.oracle_sql())
 
