@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions.arrays import let
 from cuesheet.functions.names import complete_file, dotted, page_file, suffix
-from cuesheet.functions.segments import request_chunks
+from cuesheet.functions.packing import compose, pack_map, packed_chunks
+from cuesheet.functions.segments import REQUEST_CHARS, request_chunks
 from cuesheet.functions.text import is_blank
 from cuesheet.functions.timecode import speech_rate
-from cuesheet.operators.blocks import explode_rows
+from cuesheet.operators.blocks import document_facts, explode_rows
 from cuesheet.operators.lookup import lookup, spread_join
-from cuesheet.operators.pages import assemble
 
 # Settings of a job that names none, with their types.
 DEFAULTS = {
@@ -241,11 +241,102 @@ def document_requests(texts: DataFrame, jobs: DataFrame, key: str, prefix: Colum
     return _requests(joined, key, F.lit(None).cast("int"), name)
 
 
+# Bits of a piece's number dropped at each level of `packed_documents`.
+_PIECES, _MAPS = 12, 10
+
+
+def packed_documents(pages: DataFrame, keys: DataFrame, key: str, max_chars: int = REQUEST_CHARS) -> DataFrame:
+    """(key, n_chars, n_chunks) of the texts that the pages of each document in
+    `keys` make, joined by a space, without joining them.
+
+    A page ends in the space that joins it to the next, so each page is cut at
+    `. ` alone; only lengths leave it. Pieces that cross pages are summed up by
+    their number, every 4,096 pieces become one map of the packer's fill level,
+    and maps are composed by the thousand before those that are left meet by
+    document. Documents without any text are left out.
+    """
+    text = F.col("text")
+    cut = F.transform(F.split(F.concat(text, F.lit(" ")), r"\. ", -1), F.length)
+    known = pages.where(text.isNotNull()).select(
+        key,
+        "page_number",
+        F.length(text).cast("bigint").alias("__length"),
+        (~is_blank(text)).cast("bigint").alias("__solid"),
+        cut.alias("__cut"),
+        text.endswith(".").alias("__dot"),
+    )
+    placed = document_facts(
+        known,
+        key,
+        "page_number",
+        {
+            "page": F.lit(1).cast("bigint"),
+            "chars": F.col("__length"),
+            "solid": F.col("__solid"),
+            "breaks": (F.size("__cut") - 1).cast("bigint"),
+        },
+        keys.select(key).distinct(),
+        "inner",
+    ).where(F.col("solid_total") > 0)
+    # No space follows the last page: its last piece is shorter by that, or, if
+    # the page ends in a full stop, is none, and the one before keeps the stop.
+    final = F.col("page_before") + 1 == F.col("page_total")
+    left = F.size("__cut") - F.col("__at")
+    length = F.col("__piece") + F.when(final & F.col("__dot") & (left == 2), 1).when(
+        final & ~F.col("__dot") & (left == 1), -1
+    ).otherwise(0)
+    pieces = (
+        explode_rows(placed, F.col("__cut"), "__piece", "__at")
+        .where(~(final & F.col("__dot") & (left == 1)))
+        .select(
+            key,
+            (F.col("breaks_before") + F.col("__at")).alias("__no"),
+            length.cast("bigint").alias("__piece"),
+            (F.col("chars_total") + F.col("page_total") - 1).alias("n_chars"),
+        )
+    )
+    whole = pieces.groupBy(key, "__no").agg(F.sum("__piece").alias("__piece"), F.first("n_chars").alias("n_chars"))
+
+    def in_order(value: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.struct("__no", value)))
+        return F.transform(rows, lambda r: r[value])
+
+    def level(rows: DataFrame, bits: int, value: Column, name: str) -> DataFrame:
+        grouped = rows.groupBy(key, F.shiftright("__no", bits).alias("__block")).agg(
+            value.alias(name), F.first("n_chars").alias("n_chars")
+        )
+        return grouped.withColumnRenamed("__block", "__no")
+
+    lengths = level(whole, _PIECES, in_order("__piece"), "__lengths")
+    maps = lengths.select(key, "__no", "n_chars", pack_map(F.col("__lengths"), max_chars, 2).alias("__map"))
+    for _ in range(2):
+        grouped = level(maps, _MAPS, in_order("__map"), "__maps")
+        maps = grouped.select(key, "__no", "n_chars", compose(F.col("__maps"), max_chars).alias("__map"))
+    met = maps.groupBy(key).agg(in_order("__map").alias("__maps"), F.first("n_chars").alias("n_chars"))
+    n_chunks = F.when(F.col("n_chars") <= max_chars, 1).otherwise(packed_chunks(F.col("__maps"), max_chars))
+    return met.select(key, "n_chars", n_chunks.alias("n_chunks"))
+
+
 def combined_requests(pages: DataFrame, jobs: DataFrame, key: str, prefix: Column) -> DataFrame:
-    """One synthesis request per paged document whose pages are read together."""
+    """One synthesis request per paged document whose pages are read together.
+
+    It tells how long the text is and in how many calls it is spoken; the text
+    itself is never one value.
+    """
     together = _able(jobs).where(~F.col("separate_pages"))
-    texts = assemble(pages.join(together.select(key), key, "left_semi"), key)
-    return document_requests(texts, together, key, prefix)
+    sizes = packed_documents(pages, together, key)
+    settings = together.select("job_id", key, "routed_engine", "speed", "audio_format")
+    return sizes.join(settings, key).select(
+        "job_id",
+        key,
+        F.lit(None).cast("int").alias("page_number"),
+        complete_file(prefix, dotted(F.col("audio_format"))).alias("filename"),
+        "routed_engine",
+        speech_rate(F.col("speed")).alias("rate"),
+        (F.col("speed") < SLOW_SPEED).alias("slow"),
+        F.col("n_chars").cast("int").alias("n_chars"),
+        F.col("n_chunks").cast("int").alias("n_chunks"),
+    )
 
 
 def synthesis_outcomes(requests: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
