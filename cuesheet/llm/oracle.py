@@ -71,6 +71,14 @@ FROM escaped GROUP BY conv_id
 
 _UUID = "printf('urn:uuid:%s-%s-3%s-8%s-%s', h[1:8], h[9:12], h[14:16], h[18:20], h[21:32])"
 _NL = "chr(13) || chr(10)"
+
+
+def _decoded(text: str) -> str:
+    """The character references that the pages hold."""
+    plain = f"regexp_replace({text}, '&amp;?', '&', 'g')"
+    return f"""replace(replace(replace({plain}, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"')"""
+
+
 _OP7 = rf"""
 WITH responses AS (
   SELECT url AS target_uri, html AS payload, md5(concat('response', chr(10), page_id, chr(10), url)) AS h,
@@ -82,9 +90,9 @@ WITH responses AS (
   SELECT *, {_UUID} AS refers_to,
          'sha256:' || sha256(concat(source_headers, {_NL}, {_NL}, payload)) AS source_block_digest,
          'sha256:' || sha256(payload) AS source_payload_digest,
-         trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')) AS title,
+         trim(regexp_replace({_decoded("regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1)")}, '\s+', ' ', 'g')) AS title,
          list_transform(regexp_extract_all(payload, '(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1),
-                        lambda x: concat('outlink: ', regexp_replace(x, '\s+', '', 'g'), ' L a/@href', {_NL})) AS links
+                        lambda x: concat('outlink: ', regexp_replace({_decoded("x")}, '\s+', '', 'g'), ' L a/@href', {_NL})) AS links
   FROM responses
 ), bare AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload,

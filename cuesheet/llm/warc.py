@@ -14,17 +14,20 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
+
+from cuesheet.operators.blocks import explode_rows
 
 _EOL = "\r\n"
 _HIDDEN = [
     re.compile(rf"<{name}\b.*?(?:</{name}\s*>|\Z)", re.I | re.S)
     for name in ("script", "style", "noscript", "template")
 ]
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>", re.S)
+# Every pattern takes the rest of the page where its end is missing: none reads a part twice.
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)", re.S)
 _BLOCK = re.compile(
     r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|tr|td|th|article|section|nav|header|footer"
-    r"|aside|main|title|head|body|html|form|option|blockquote|pre|figure|figcaption)\b[^>]*>",
+    r"|aside|main|title|head|body|html|form|option|blockquote|pre|figure|figcaption)\b[^>]*(?:>|\Z)",
     re.I,
 )
 _TAG = re.compile(r"</?[a-z][^>]*(?:>|\Z)", re.I)
@@ -41,9 +44,48 @@ def plain_text(page: str) -> str:
     return _LINES.sub("\n", _SPACE.sub(" ", page)).strip(" \n")
 
 
-@F.pandas_udf(StringType())
-def _plain_text(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda page: None if page is None else plain_text(page))
+_TITLE, _TITLE_END = re.compile("<title", re.I), re.compile("</title", re.I)
+_ANCHOR = re.compile(r"<a(?=[\s/])", re.I)
+_ATTRIBUTE = re.compile(r"""[\s/=]*+([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_BLANKS = re.compile(r"\s+", re.A)
+
+
+def title_of(page: str) -> str:
+    """The first title, its references decoded and white space collapsed; empty
+    if there is none or it does not end."""
+    found = _TITLE.search(page)
+    start = page.find(">", found.end()) if found else -1
+    end = _TITLE_END.search(page, start) if start >= 0 else None
+    return _BLANKS.sub(" ", html.unescape(page[start + 1 : end.start()])).strip(" ") if end else ""
+
+
+def links_of(page: str) -> list[str]:
+    """Targets of all anchors in order, however they are quoted, their
+    references decoded, without white space."""
+    out = []
+    anchor = _ANCHOR.search(page)
+    while anchor:
+        end, value = anchor.end(), None
+        while at := _ATTRIBUTE.match(page, end):
+            end = at.end()
+            if value is None and at[1].lower() == "href":
+                value = next((v for v in at.groups()[1:] if v is not None), None)
+        if value is not None:
+            out.append(_BLANKS.sub("", html.unescape(value)))
+        anchor = _ANCHOR.search(page, end)
+    return out
+
+
+@F.pandas_udf(StructType().add("text", "string").add("title", "string").add("links", ArrayType(StringType())))
+def _read(pages: pd.Series, as_html: pd.Series) -> pd.DataFrame:
+    """What both records say of a page; its plain text where `as_html` is true."""
+    return pd.DataFrame(
+        {
+            "text": [plain_text(page) if wanted else None for page, wanted in zip(pages, as_html)],
+            "title": [title_of(page) for page in pages],
+            "links": [links_of(page) for page in pages],
+        }
+    )
 
 
 def digest(data: Column) -> Column:
@@ -90,6 +132,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     is all header and has an empty payload. A payload that is neither text nor
     without a declared type gives no conversion record. A null block is an
     empty one; repeated rows give repeated records; other columns are ignored.
+    Texts of any length are read whole, in time that grows with their length.
     """
     block = F.coalesce("block", F.lit(""))
     split = F.instr(block, _EOL + _EOL)
@@ -103,51 +146,42 @@ def derivatives(responses: DataFrame) -> DataFrame:
     )
     kind = F.lower(F.trim(F.regexp_extract("headers", r"(?im)^content-type:([^;\r\n]*)", 1)))
     lines = F.filter(F.split("headers", _EOL), lambda line: line != "")
-    title = F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1)
-    links = F.regexp_extract_all("payload", F.lit(r'(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"'), F.lit(1))
     fields = F.concat(
         F.transform(lines, lambda line: F.concat(F.lit("source-header: "), line)),
         F.array(
             F.concat(F.lit("source-block-digest: "), F.col("source_block_digest")),
             F.concat(F.lit("source-payload-digest: "), F.col("source_payload_digest")),
-            F.concat(F.lit("title: "), F.trim(F.regexp_replace(title, r"\s+", " "))),
+            F.concat(F.lit("title: "), F.col("read.title")),
         ),
-        F.transform(links, lambda link: F.concat(F.lit("outlink: "), F.regexp_replace(link, r"\s+", ""), F.lit(" L a/@href"))),
+        F.transform("read.links", lambda link: F.concat(F.lit("outlink: "), link, F.lit(" L a/@href"))),
     )
     # Both records of a response come from one row, so that its text is read once.
     both = (
         found.withColumn("source_payload_digest", digest(F.col("payload")))
         .withColumn("convert", kind.isin("", "text/html", "text/plain", "application/xhtml+xml"))
+        .withColumn("read", _read(F.col("payload"), F.col("convert") & (kind != "text/plain")))
         .withColumn("fields", F.concat(F.array_join(fields, _EOL), F.lit(_EOL)))
-        .withColumn(
-            "text",
-            F.when(kind == "text/plain", F.col("payload")).when(
-                F.col("convert"), _plain_text(F.col("payload"))
+        .withColumn("text", F.when(kind == "text/plain", F.col("payload")).otherwise(F.col("read.text")))
+    )
+    made = F.filter(
+        F.array(
+            F.struct(
+                F.lit("metadata").alias("warc_type"),
+                F.lit("application/warc-fields").alias("content_type"),
+                F.col("fields").alias("block"),
             ),
-        )
-        .withColumn(
-            "made",
-            F.filter(
-                F.array(
-                    F.struct(
-                        F.lit("metadata").alias("warc_type"),
-                        F.lit("application/warc-fields").alias("content_type"),
-                        F.col("fields").alias("block"),
-                    ),
-                    F.when(
-                        F.col("convert"),
-                        F.struct(
-                            F.lit("conversion").alias("warc_type"),
-                            F.lit("text/plain; charset=utf-8").alias("content_type"),
-                            F.col("text").alias("block"),
-                        ),
-                    ),
+            F.when(
+                F.col("convert"),
+                F.struct(
+                    F.lit("conversion").alias("warc_type"),
+                    F.lit("text/plain; charset=utf-8").alias("content_type"),
+                    F.col("text").alias("block"),
                 ),
-                lambda x: x.isNotNull(),
             ),
-        )
-        .withColumn("made", F.explode("made"))
+        ),
+        lambda x: x.isNotNull(),
     )
+    both = explode_rows(both, made, "made")
     content = F.col("made.block")
     return both.select(
         record_id(F.col("made.warc_type"), F.col("record_id")).alias("record_id"),

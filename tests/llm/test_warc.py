@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -67,3 +68,26 @@ def test_payload_types(spark, block, kinds):
 def test_empty(spark):
     df = warc.derivatives(warc.responses_from_pages(spark.createDataFrame([], PAGES)))
     assert df.where(F.lit(True)).count() == 0
+
+
+def test_links_and_titles():
+    page = """<a href='/x'>1</a><A class=b HREF=y>2</a><a title="a>b" href="/z?a=1&amp;b=2">3</a><a name=it's href=" /w ">4</a>
+    <abbr href="no"><a hrefs="no"><a href><a
+    href
+    = "/v"><a x="href='no'" href=/u/><title>A &amp; <b>
+    B</TITLE>"""
+    assert warc.links_of(page) == ["/x", "y", "/z?a=1&b=2", "/w", "/v", "/u/"]
+    assert warc.title_of(page) == "A & <b> B" and warc.title_of("<title>no end") == "" == warc.title_of("<title")
+
+
+@pytest.mark.parametrize("unit", ["<p ", "<a ", "<a '", '<a "x', "<!-- ", "<! ", "<title", "<title>", "<script ", "<a href=", "&amp", "<a = ", " \n"])
+def test_long_pages_take_linear_time(unit):
+    page = unit * (2_000_000 // len(unit))
+    start = time.monotonic()
+    warc.plain_text(page), warc.title_of(page), warc.links_of(page)
+    assert time.monotonic() - start < 8
+
+
+def test_text_is_read_once(spark):
+    df = warc.derivatives(warc.responses_from_pages(spark.createDataFrame([], PAGES)))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
