@@ -28,6 +28,15 @@ def sentences(text: Column) -> Column:
     return F.filter(pieces, lambda s: s != "")
 
 
+def _lines(width: int, n: int) -> str:
+    """Pattern of the first `n` lines of a collapsed text."""
+
+    def line(room: int) -> str:
+        return rf"((?>\S{{{room + 1},}}(?= |\z)|\S.{{0,{room - 1}}}(?= |\z)))"
+
+    return " ".join([line(width - 1)] + [line(width)] * (n - 1))
+
+
 def wrap_lines(text: Column, width: int, max_lines: int, *, repeat_dots: bool) -> Column:
     """Greedy line wrapping, cut after `max_lines` lines with dots at the cut.
 
@@ -38,11 +47,8 @@ def wrap_lines(text: Column, width: int, max_lines: int, *, repeat_dots: bool) -
     taken greedily is never shortened to make the rest match.
     """
 
-    def line(room: int) -> str:
-        return rf"((?>\S{{{room + 1},}}(?= |\z)|\S.{{0,{room - 1}}}(?= |\z)))"
-
     def lines(n: int) -> str:
-        return " ".join([line(width - 1)] + [line(width)] * (n - 1))
+        return _lines(width, n)
 
     def broken(n: int) -> str:
         return "\n".join(f"${i}" for i in range(1, n + 1))
@@ -67,6 +73,20 @@ def wrap_cue(text: Column) -> Column:
     return wrap_lines(text, LINE_WIDTH, CUE_LINES, repeat_dots=False)
 
 
+# Fixed by the limits: texts of two lines and a word have no more words than this.
+CUE_WORDS = LINE_WIDTH * CUE_LINES // 2 + 2
+
+
+def cue_head(text: Column) -> Column:
+    """As much of a text, collapsed, as `wrap_cue` of it, or of any text that
+    goes on from a part of it, can depend on: its lines and the word after
+    them, of which no more than fits in no line.
+
+    Heads of neighbouring parts, joined by a space, are wrapped as the whole."""
+    shown = rf"^({_lines(LINE_WIDTH, CUE_LINES)} \S{{1,{LINE_WIDTH + 1}}}).*\z"
+    return F.regexp_replace(collapse_space(text), shown, "$1")
+
+
 def wrap_caption(text: Column) -> Column:
     """Text of a page caption: three lines, always with dots when cut."""
     return wrap_lines(text, LINE_WIDTH, CAPTION_LINES, repeat_dots=True)

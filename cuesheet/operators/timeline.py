@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions.arrays import let
 from cuesheet.functions.segments import (
+    CUE_WORDS,
     MAX_CUE_SECONDS,
     MIN_CUE_SECONDS,
     SENTENCE_END,
+    cue_head,
     packed_sentences,
     sentences,
     wrap_caption,
     wrap_cue,
 )
-from cuesheet.functions.text import strip
+from cuesheet.functions.text import WHITESPACE_CHARS, strip
 from cuesheet.functions.timecode import cue_seconds, running_starts
 from cuesheet.operators.blocks import document_facts, explode_rows
 
@@ -135,6 +137,20 @@ def page_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _told(piece: Column) -> Column:
+    """What a piece of a sentence adds to it: its size, where its own text
+    begins and how long that is, and the words a cue can show of it."""
+    return let(
+        piece,
+        lambda p: F.struct(
+            F.length(p).alias("size"),
+            (F.length(p) - F.length(F.ltrim(p, F.lit(WHITESPACE_CHARS)))).alias("lead"),
+            F.length(strip(p)).alias("solid"),
+            cue_head(p).alias("head"),
+        ),
+    )
+
+
 def document_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame:
     """Cue rows of paged documents read as one continuous text each.
 
@@ -142,15 +158,24 @@ def document_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame
     duration, without assembling it: a page ends in the space that joins it to
     the next, so each page splits into sentences alone. Only the pieces at its
     ends may belong to a sentence that crosses pages; they carry the number of
-    the sentence and meet there.
+    the sentence and meet there, as places in the text and the few words that
+    a cue shows: a sentence over any number of pages is never one value.
     """
     on = [key, "page_number"]
     text = F.col("text")
+    pieces = F.split(F.concat(text, F.lit(" ")), SENTENCE_END, -1)
+    marks = F.regexp_extract(text, r"[.!?]*\z", 0)
     split = pages.select(
         *on,
         F.length(text).cast("bigint").alias("__length"),
-        F.split(F.concat(text, F.lit(" ")), SENTENCE_END, -1).alias("__pieces"),
-        F.regexp_extract(text, r"[.!?]*\z", 0).alias("__marks"),
+        let(
+            pieces,
+            lambda found: F.struct(
+                F.transform(found, _told).alias("pieces"),
+                # Where nothing follows, the last sentence keeps its marks.
+                _told(F.concat(F.get(found, F.size(found) - 2), marks)).alias("final"),
+            ),
+        ).alias("__told"),
     )
     paged = document_facts(
         split.join(durations.select(*on, "duration"), on, "left"),
@@ -159,41 +184,37 @@ def document_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame
         {
             "page": F.lit(1).cast("bigint"),
             "chars": F.col("__length"),
-            "breaks": (F.size("__pieces") - 1).cast("bigint"),
+            "breaks": (F.size("__told.pieces") - 1).cast("bigint"),
             "time": F.coalesce("duration", F.lit(0.0)),
         },
     )
-    # Nothing follows the last page, so its last sentence keeps its marks.
-    ends = (F.col("page_before") + 1 == F.col("page_total")) & (
-        F.col("__at") == F.size("__pieces") - 2
-    )
-    piece = F.when(ends, F.concat("piece", "__marks")).otherwise(F.col("piece"))
-    pieces = explode_rows(
-        paged.where(F.col("time_total") > 0), F.col("__pieces"), "piece", "__at"
-    ).select(
+    count, at = F.size("__told.pieces"), F.col("__at")
+    ends = (F.col("page_before") + 1 == F.col("page_total")) & (at == count - 2)
+    told = F.when(ends, F.col("__told.final")).otherwise(F.col("__piece"))
+    place = F.col("chars_before") + F.col("page_before")
+    # The last piece of a page ends where the page does.
+    start = place + F.when((at > 0) & (at == count - 1), F.col("__length") + 1 - F.col("told.size")).otherwise(0)
+    rows = explode_rows(paged.where(F.col("time_total") > 0), F.col("__told.pieces"), "__piece", "__at")
+    told_rows = rows.withColumn("told", told).where(F.col("told.solid") > 0).select(
         key,
-        (F.col("breaks_before") + F.col("__at")).alias("__no"),
+        (F.col("breaks_before") + at).alias("__no"),
         "page_number",
-        piece.alias("piece"),
+        (start + F.col("told.lead")).alias("__start"),
+        (start + F.col("told.lead") + F.col("told.solid")).alias("__end"),
+        F.col("told.head").alias("__head"),
+        ((at == 0) | (at == count - 1)).alias("__crosses"),
         F.struct(
             ((F.col("chars_total") + F.col("page_total") - 1) / F.col("time_total")).alias("rate"),
             F.col("time_total").alias("seconds"),
         ).alias("__pace"),
     )
-    # One column for both numbers: the shuffle of the sentences then has the
-    # same columns wherever it is needed, and is done once.
-    whole = pieces.groupBy(key, "__no").agg(
-        strip(F.expr("listagg(piece, '') within group (order by page_number)")).alias("sentence"),
-        F.first("__pace").alias("__pace"),
-    )
-    seconds = cue_seconds(F.length("sentence"), F.col("__pace.rate"))
     counted = document_facts(
-        whole.where(F.col("sentence") != ""),
+        _whole_sentences(told_rows, key),
         key,
         "__no",
         {
             "cue": F.lit(1).cast("bigint"),
-            "time": seconds,
+            "time": F.col("__seconds"),
         },
     )
     scale = F.col("__pace.seconds") / F.col("time_total")
@@ -201,9 +222,31 @@ def document_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame
         key,
         (F.col("cue_before") + 1).alias("index"),
         (F.col("time_before") * scale).alias("start_time"),
-        ((F.col("time_before") + seconds) * scale).alias("end_time"),
-        wrap_cue(F.col("sentence")).alias("text"),
+        ((F.col("time_before") + F.col("__seconds")) * scale).alias("end_time"),
+        wrap_cue(F.col("__head")).alias("text"),
+    )
+
+
+def _whole_sentences(pieces: DataFrame, key: str) -> DataFrame:
+    """One row per sentence: (key, __no, __head, __pace, __seconds).
+
+    A piece within a page is a sentence. Of those that may cross pages, the
+    first and last place come from all and the words from the first pieces,
+    more of which no cue can show; Spark picks these before the shuffle.
+    """
+    on = [key, "__no"]
+    seconds = cue_seconds(F.col("__end") - F.col("__start"), F.col("__pace.rate"))
+    crossing = pieces.where("__crosses")
+    spans = crossing.groupBy(*on).agg(
+        F.min("__start").alias("__start"), F.max("__end").alias("__end"), F.first("__pace").alias("__pace")
+    )
+    rank = F.row_number().over(Window.partitionBy(*on).orderBy("page_number"))
+    first = crossing.select(*on, "page_number", "__head").withColumn("__rank", rank).where(F.col("__rank") <= CUE_WORDS)
+    heads = first.groupBy(*on).agg(
+        F.expr("listagg(__head, ' ') within group (order by page_number)").alias("__head")
     )
+    columns = [*on, "__head", "__pace", seconds.alias("__seconds")]
+    return pieces.where("not __crosses").select(*columns).unionByName(spans.join(heads, on).select(*columns))
 
 
 def cue_stats(cues: DataFrame, key: str, documents: DataFrame) -> DataFrame:
