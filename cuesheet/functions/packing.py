@@ -7,100 +7,69 @@ from there on each of `steps`, by descending `low`, tells for levels of `low`
 and more how many chunks are opened and how full the last one is left. Maps of
 neighbouring rows compose into the map of both, so a long text is packed in
 parts, which meet as maps. A map has no more steps than pieces fit in a chunk.
+
+The functions take and give SQL text: nested lambdas are built in one step so.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from cuesheet.functions.arrays import let
-
 _STEPS = "array<struct<low:bigint,opened:bigint,level:bigint>>"
 
 
-def _step(low: Column, opened: Column, level: Column) -> Column:
-    return F.struct(
-        low.cast("bigint").alias("low"), opened.cast("bigint").alias("opened"), level.cast("bigint").alias("level")
-    )
-
-
-def _map(total: Column, bound: Column, steps: Column) -> Column:
-    return F.struct(total.cast("bigint").alias("total"), bound.cast("bigint").alias("bound"), steps.alias("steps"))
-
-
 def full(limit: int) -> int:
     """A level from which any piece opens a chunk; higher ones act alike."""
     return limit + 1
 
 
-def pack_map(lengths: Column, limit: int, gap: int) -> Column:
-    """The map of an array of piece lengths: a piece joins the open chunk if
-    its length and the level are within `limit` together, and either way adds
-    its length and `gap` to the level."""
+def _step(low: str, opened: str, level: str) -> str:
+    return f"named_struct('low', {low}, 'opened', {opened}, 'level', {level})"
 
-    def add(done: Column, length: Column) -> Column:
-        moved = F.transform(
-            done["steps"],
-            lambda s: F.when(
-                s["level"] + length > limit, _step(s["low"], s["opened"] + 1, length + gap)
-            ).otherwise(_step(s["low"], s["opened"], s["level"] + length + gap)),
-        )
-        low = F.greatest(limit - done["total"] - length + 1, F.lit(0).cast("bigint"))
-        opening = F.array(_step(low, F.lit(1), length + gap))
-        return _map(
-            done["total"] + length + gap,
-            F.least(done["bound"], low),
-            F.when(low < done["bound"], F.concat(moved, opening)).otherwise(moved),
-        )
 
-    return F.aggregate(lengths, _nothing(limit), add)
+def _nothing(limit: int) -> str:
+    return f"named_struct('total', 0L, 'bound', {full(limit) + 1}L, 'steps', cast(array() as {_STEPS}))"
 
 
-def _nothing(limit: int) -> Column:
-    return _map(F.lit(0), F.lit(full(limit) + 1), F.array().cast(_STEPS))
+def pack_map(lengths: str, limit: int, gap: int) -> str:
+    """The map of an array of piece lengths (bigint): a piece joins the open
+    chunk if its length and the level are within `limit` together, and either
+    way adds its length and `gap` to the level."""
+    low = f"greatest({limit} - done.total - n + 1, 0L)"
+    joins = _step("s.low", "s.opened", f"s.level + n + {gap}")
+    opens = _step("s.low", "s.opened + 1", f"n + {gap}")
+    return f"""aggregate({lengths}, {_nothing(limit)}, (done, n) -> named_struct(
+        'total', done.total + n + {gap},
+        'bound', least(done.bound, {low}),
+        'steps', concat(
+            transform(done.steps, s -> if(s.level + n > {limit}, {opens}, {joins})),
+            filter(array({_step(low, "1L", f"n + {gap}")}), s -> s.low < done.bound))))"""
 
 
-def pack_from(packing: Column, opened: Column, level: Column, limit: int) -> Column:
+def pack_from(packing: str, opened: str, level: str, limit: int) -> str:
     """`struct(opened, level)` after a map, for a state before it."""
+    first = f"slice(filter({packing}.steps, x -> x.low <= at), 1, 1)"
+    return f"""transform(array(least({level}, {full(limit)}L)), at -> if(at < {packing}.bound,
+        named_struct('opened', {opened}, 'level', at + {packing}.total),
+        transform({first}, x -> named_struct('opened', {opened} + x.opened, 'level', x.level))[0]))[0]"""
+
+
+def compose(maps: str, limit: int) -> str:
+    """The map of an array of maps, taken in order.
+
+    Levels that the first of two leaves within its open chunk go on in the second.
+    """
+    through = f"""transform(a.steps, s -> transform(array({pack_from("b", "s.opened", "s.level", limit)}),
+        r -> {_step("s.low", "r.opened", "r.level")})[0])"""
+    direct = f"""transform(
+        filter(b.steps, (s, i) -> s.low - a.total < a.bound and (i = 0 or get(b.steps, i - 1).low > a.total)),
+        s -> {_step("greatest(s.low - a.total, 0L)", "s.opened", "s.level")})"""
+    return f"""aggregate({maps}, {_nothing(limit)}, (a, b) -> named_struct(
+        'total', a.total + b.total,
+        'bound', least(a.bound, greatest(b.bound - a.total, 0L)),
+        'steps', concat({through}, {direct})))"""
+
 
-    def from_level(at: Column) -> Column:
-        step = F.get(F.filter(packing["steps"], lambda s: s["low"] <= at), F.lit(0))
-        after = let(step, lambda s: F.struct((opened + s["opened"]).alias("opened"), s["level"].alias("level")))
-        return F.when(at >= packing["bound"], after).otherwise(
-            F.struct(opened.alias("opened"), (at + packing["total"]).alias("level"))
-        )
-
-    return let(F.least(level, F.lit(full(limit)).cast("bigint")), from_level)
-
-
-def compose(maps: Column, limit: int) -> Column:
-    """The map of an array of maps, taken in order."""
-
-    def then(first: Column, second: Column) -> Column:
-        total = first["total"]
-        through = F.transform(
-            first["steps"],
-            lambda s: let(
-                pack_from(second, s["opened"], s["level"], limit), lambda r: _step(s["low"], r["opened"], r["level"])
-            ),
-        )
-        # Levels that the first leaves within its open chunk go on in the second.
-        direct = F.transform(
-            F.filter(
-                second["steps"],
-                lambda s, i: (s["low"] - total < first["bound"])
-                & ((i == 0) | (F.get(second["steps"], i - 1)["low"] > total)),
-            ),
-            lambda s: _step(F.greatest(s["low"] - total, F.lit(0).cast("bigint")), s["opened"], s["level"]),
-        )
-        bound = F.greatest(second["bound"] - total, F.lit(0).cast("bigint"))
-        return _map(total + second["total"], F.least(first["bound"], bound), F.concat(through, direct))
-
-    return F.aggregate(maps, _nothing(limit), then)
-
-
-def packed_chunks(maps: Column, limit: int) -> Column:
+def packed_chunks(maps: str, limit: int) -> str:
     """How many chunks a text takes whose parts have these maps."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("opened"), F.lit(full(limit)).cast("bigint").alias("level"))
-    return F.aggregate(maps, zero, lambda at, m: pack_from(m, at["opened"], at["level"], limit))["opened"]
+    start = f"named_struct('opened', 0L, 'level', {full(limit)}L)"
+    return f"""aggregate({maps}, {start}, (state, m) -> {pack_from("m", "state.opened", "state.level", limit)},
+        state -> state.opened)"""

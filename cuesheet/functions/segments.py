@@ -73,10 +73,6 @@ def wrap_cue(text: Column) -> Column:
     return wrap_lines(text, LINE_WIDTH, CUE_LINES, repeat_dots=False)
 
 
-# Fixed by the limits: texts of two lines and a word have no more words than this.
-CUE_WORDS = LINE_WIDTH * CUE_LINES // 2 + 2
-
-
 def cue_head(text: Column) -> Column:
     """As much of a text, collapsed, as `wrap_cue` of it, or of any text that
     goes on from a part of it, can depend on: its lines and the word after

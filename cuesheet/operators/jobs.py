@@ -308,12 +308,12 @@ def packed_documents(pages: DataFrame, keys: DataFrame, key: str, max_chars: int
         return grouped.withColumnRenamed("__block", "__no")
 
     lengths = level(whole, _PIECES, in_order("__piece"), "__lengths")
-    maps = lengths.select(key, "__no", "n_chars", pack_map(F.col("__lengths"), max_chars, 2).alias("__map"))
+    maps = lengths.select(key, "__no", "n_chars", F.expr(pack_map("__lengths", max_chars, 2)).alias("__map"))
     for _ in range(2):
         grouped = level(maps, _MAPS, in_order("__map"), "__maps")
-        maps = grouped.select(key, "__no", "n_chars", compose(F.col("__maps"), max_chars).alias("__map"))
+        maps = grouped.select(key, "__no", "n_chars", F.expr(compose("__maps", max_chars)).alias("__map"))
     met = maps.groupBy(key).agg(in_order("__map").alias("__maps"), F.first("n_chars").alias("n_chars"))
-    n_chunks = F.when(F.col("n_chars") <= max_chars, 1).otherwise(packed_chunks(F.col("__maps"), max_chars))
+    n_chunks = F.when(F.col("n_chars") <= max_chars, 1).otherwise(F.expr(packed_chunks("__maps", max_chars)))
     return met.select(key, "n_chars", n_chunks.alias("n_chunks"))
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.functions.arrays import let
 from cuesheet.functions.segments import (
-    CUE_WORDS,
     MAX_CUE_SECONDS,
     MIN_CUE_SECONDS,
     SENTENCE_END,
@@ -202,7 +201,6 @@ def document_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame
         (start + F.col("told.lead")).alias("__start"),
         (start + F.col("told.lead") + F.col("told.solid")).alias("__end"),
         F.col("told.head").alias("__head"),
-        ((at == 0) | (at == count - 1)).alias("__crosses"),
         F.struct(
             ((F.col("chars_total") + F.col("page_total") - 1) / F.col("time_total")).alias("rate"),
             F.col("time_total").alias("seconds"),
@@ -227,26 +225,29 @@ def document_cues(pages: DataFrame, durations: DataFrame, key: str) -> DataFrame
     )
 
 
+# Pages whose pieces of a sentence are merged at a time: 32,768, by the number's other bits.
+_PAGES = 15
+
+
 def _whole_sentences(pieces: DataFrame, key: str) -> DataFrame:
     """One row per sentence: (key, __no, __head, __pace, __seconds).
 
-    A piece within a page is a sentence. Of those that may cross pages, the
-    first and last place come from all and the words from the first pieces,
-    more of which no cue can show; Spark picks these before the shuffle.
+    A sentence of many pages is merged in two steps, whose groups are bounded
+    as page numbers are; what a cue shows of a group is cut to its lines again.
     """
-    on = [key, "__no"]
+
+    def merged(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(key, "__no", *by).agg(
+            F.min("__start").alias("__start"),
+            F.max("__end").alias("__end"),
+            F.first("__pace").alias("__pace"),
+            F.min("page_number").alias("page_number"),
+            cue_head(F.expr("listagg(__head, ' ') within group (order by page_number)")).alias("__head"),
+        )
+
+    parts = merged(pieces.withColumn("__part", F.shiftright("page_number", _PAGES)), "__part")
     seconds = cue_seconds(F.col("__end") - F.col("__start"), F.col("__pace.rate"))
-    crossing = pieces.where("__crosses")
-    spans = crossing.groupBy(*on).agg(
-        F.min("__start").alias("__start"), F.max("__end").alias("__end"), F.first("__pace").alias("__pace")
-    )
-    rank = F.row_number().over(Window.partitionBy(*on).orderBy("page_number"))
-    first = crossing.select(*on, "page_number", "__head").withColumn("__rank", rank).where(F.col("__rank") <= CUE_WORDS)
-    heads = first.groupBy(*on).agg(
-        F.expr("listagg(__head, ' ') within group (order by page_number)").alias("__head")
-    )
-    columns = [*on, "__head", "__pace", seconds.alias("__seconds")]
-    return pieces.where("not __crosses").select(*columns).unionByName(spans.join(heads, on).select(*columns))
+    return merged(parts).select(key, "__no", "__head", "__pace", seconds.alias("__seconds"))
 
 
 def cue_stats(cues: DataFrame, key: str, documents: DataFrame) -> DataFrame:

@@ -65,7 +65,6 @@ def test_heads_wrap_as_the_whole(spark):
         assert row.a == row.b, row.parts
 
 
-def test_no_exchange_carries_a_sentence(spark):
-    df = spark.createDataFrame([(1, 1, "a. b", 1.0)], SCHEMA)
-    plan = T.document_cues(df, df, "doc_id")._jdf.queryExecution().executedPlan().toString()
-    assert "listagg(piece" not in plan and "WindowGroupLimit" in plan
+def test_parts_of_a_sentence_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(T, "_PAGES", 3)
+    check(spark, [(1, p, f"page {p} runs" + "." * (p % 40 == 0), 1.5) for p in range(300)])

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from cuesheet.functions.packing import compose, pack_from, pack_map, packed_chunks
 from cuesheet.operators.jobs import packed_documents
@@ -25,11 +24,13 @@ def test_maps_equal_a_loop(spark, limit, most):
     for i in range(60):
         parts = [[rng.randrange(0, most) for _ in range(rng.randrange(0, 12))] for _ in range(rng.randrange(0, 6))]
         cases.append((i, parts, rng.choice([0, limit // 2, limit, limit + 1, rng.randrange(limit + 2)])))
-    df = spark.createDataFrame(cases, "i int, parts array<array<int>>, level long")
-    maps = F.transform("parts", lambda p: pack_map(p, limit, 2))
-    start = pack_from(compose(F.col("maps"), limit), F.lit(0).cast("bigint"), F.col("level"), limit)
-    whole = pack_from(pack_map(F.flatten("parts"), limit, 2), F.lit(0).cast("bigint"), F.col("level"), limit)
-    rows = df.withColumn("maps", maps).select("i", start.alias("a"), whole.alias("b"), packed_chunks(F.col("maps"), limit).alias("n"))
+    df = spark.createDataFrame(cases, "i int, parts array<array<long>>, level long")
+    rows = df.selectExpr("*", f"transform(parts, p -> {pack_map('p', limit, 2)}) as maps").selectExpr(
+        "i",
+        f"{pack_from(compose('maps', limit), '0L', 'level', limit)} as a",
+        f"{pack_from(pack_map('flatten(parts)', limit, 2), '0L', 'level', limit)} as b",
+        f"{packed_chunks('maps', limit)} as n",
+    )
     for row in rows.collect():
         lengths = [n for part in cases[row.i][1] for n in part]
         want = loop(lengths, cases[row.i][2], limit, 2)
