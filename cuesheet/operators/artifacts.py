@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuesheet.functions.names import complete_file, dotted, page_file, suffix, timestamped
+from cuesheet.functions.names import complete_file, dotted, page_file, suffix, timestamped, without_suffix
 from cuesheet.operators.blocks import document_facts, explode_rows
 from cuesheet.operators.jobs import output_config, voice_config
 from cuesheet.operators.lookup import spread_join
@@ -92,39 +92,39 @@ def _project(base: Column, stamp: Column) -> Column:
 
 
 def unique_names(requests: DataFrame, taken: DataFrame, stamp: Column) -> DataFrame:
-    """A name of its own for every request.
+    """A name of its own for every request: the stem of its base, the stamp and
+    a counter where it needs one.
 
     `requests` holds (id, base, extension) in order of `id`; `taken` holds
     (base, extension, counter) of names that exist, 0 for one without counter.
     The first request of a name takes the first counter that is free, and so
-    on. The counters of a name are ranked in blocks, however many there are:
-    with `counter - rank` free places below it, a taken counter is passed by
-    every request ranked from there on.
+    on. Requests and taken counters are ranked together, in blocks, however
+    many a name has: with `counter - rank` free places below it, a taken
+    counter is passed by every request ranked from there on.
     """
-    name = F.concat_ws("\0", "base", dotted(F.col("extension"))).alias("__name")
-    rank = F.col("n_before")
-    asked = document_facts(requests.select("*", name), "__name", "id", {"n": _one()}, sparse=True)
-    held = document_facts(
-        taken.select(name, F.col("counter").cast("bigint").alias("counter")).distinct(),
-        "__name",
-        "counter",
-        {"n": _one()},
-        sparse=True,
+    stem = without_suffix(F.col("base"))
+    name = F.concat_ws("\0", stem, dotted(F.col("extension")))
+    place = F.col("__place")
+    asked = requests.select(
+        F.struct(name.alias("name"), F.lit(False).alias("held")).alias("__name"),
+        F.col("id").cast("bigint").alias("__place"),
+        F.struct("id", stem.alias("stem"), "extension").alias("__request"),
     )
-    passed = held.groupBy("__name", (F.col("counter") - rank).alias("at")).agg(
-        F.count("*").alias("passed")
-    )
-    line = asked.select(
-        "__name", (rank * 2 + 1).alias("place"), F.lit(0).cast("bigint").alias("passed"), "id", "base", "extension"
-    ).unionByName(
-        passed.select("__name", (F.col("at") * 2).alias("place"), "passed"), allowMissingColumns=True
-    )
-    counted = document_facts(
-        line, "__name", "place", {"skip": F.col("passed")}, sparse=True
-    ).where(F.col("id").isNotNull())
-    counter = F.shiftright(F.col("place"), 1) + F.col("skip_before")
-    return counted.select(
-        "id", timestamped(F.col("base"), stamp, counter, F.col("extension")).alias("filename")
+    held = taken.select(
+        F.struct(name.alias("name"), F.lit(True).alias("held")).alias("__name"), F.col("counter").cast("bigint").alias("__place")
+    ).distinct()
+    both = asked.unionByName(held, allowMissingColumns=True)
+    ranked = document_facts(both, "__name", "__place", {"n": _one()}, sparse=True)
+    # Requests stand at odd places by rank, taken counters before the request they stop first.
+    rank, is_held = F.col("n_before"), F.col("__name.held")
+    line = ranked.groupBy(
+        F.col("__name.name").alias("__name"), F.when(is_held, (place - rank) * 2).otherwise(rank * 2 + 1).alias("__at")
+    ).agg(F.count_if(is_held).alias("passed"), F.first("__request").alias("__request"))
+    counted = document_facts(line, "__name", "__at", {"skip": F.col("passed")}, sparse=True)
+    request = F.col("__request")
+    counter = F.shiftright("__at", 1) + F.col("skip_before")
+    return counted.where(request.isNotNull()).select(
+        request["id"].alias("id"), timestamped(request["stem"], stamp, counter, request["extension"]).alias("filename")
     )
 
 

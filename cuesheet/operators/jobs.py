@@ -12,7 +12,7 @@ from cuesheet.functions.segments import REQUEST_CHARS, request_chunks
 from cuesheet.functions.text import is_blank
 from cuesheet.functions.timecode import speech_rate
 from cuesheet.operators.blocks import document_facts, explode_rows
-from cuesheet.operators.lookup import lookup, spread_join
+from cuesheet.operators.lookup import lookup, lookup_roles, spread_join
 
 # Settings of a job that names none, with their types.
 DEFAULTS = {
@@ -111,10 +111,8 @@ def validate(jobs: DataFrame, existing: DataFrame, job: str = "job_id") -> DataF
 
     `existing` is the inventory of paths, each once; `job` tells jobs apart.
     """
-    found = jobs
-    for path, mark in (("input_path", "__input"), ("background", "__background")):
-        known = existing.select(F.col("path").alias(path), F.lit(True).alias(mark))
-        found = lookup(found, known, path, job)
+    roles = {"__input": "input_path", "__background": "background"}
+    found = lookup_roles(jobs, existing, "path", F.lit(True), roles, job)
     rules = [
         ("unknown engine", ~F.col("engine").isin(*ENGINES)),
         ("unknown output type", ~F.col("output_type").isin(*OUTPUT_TYPES)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,35 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, row_id: str) -> DataFram
     pairs = keyed.select(key, "__share").distinct()
     found = keyed.join(pairs.join(table, key), [key, "__share"], "left").drop("__share")
     return found.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
+def lookup_roles(
+    rows: DataFrame, table: DataFrame, key: str, value: Column, roles: dict[str, str], row_id: str
+) -> DataFrame:
+    """`rows` with what `table`, which has each `key` once, says under the keys
+    in several columns: for every entry of `roles`, name of the new column to
+    name of the column that holds its key, `value`; null for none.
+
+    Every row is sent once per role to its key, spread as by `lookup`, and
+    folded together by `row_id`, which tells the rows apart. So a table is read
+    and joined once, however many roles there are.
+    """
+    asked = F.array(
+        *[F.struct(F.lit(i).alias("role"), F.col(column).alias("key")) for i, column in enumerate(roles.values())]
+    )
+    packed = rows.select(F.col(row_id).alias("__id"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), asked.alias("__asked"))
+    sent = _shared(packed.select("__id", "__row", F.explode("__asked").alias("__asked")), "__id").select(
+        "__id",
+        F.when(F.col("__asked.role") == 0, F.col("__row")).alias("__row"),  # travels once
+        F.col("__asked.role").alias("__role"),
+        F.col("__asked.key").alias("__key"),
+        "__share",
+    )
+    pairs = sent.where(F.col("__key").isNotNull()).select("__key", "__share").distinct()
+    known = pairs.join(table.select(F.col(key).alias("__key"), value.alias("__value")), "__key")
+    found = sent.join(known, ["__key", "__share"], "left")
+    folded = found.groupBy("__id").agg(
+        F.max("__row").alias("__row"),
+        *[F.max(F.when(F.col("__role") == i, F.col("__value"))).alias(name) for i, name in enumerate(roles)],
+    )
+    return folded.select("__row.*", *roles)

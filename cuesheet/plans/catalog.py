@@ -10,10 +10,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.functions.names import page_file
+from cuesheet.functions.names import file_stamp, iso_stamp, page_file
 from cuesheet.functions.segments import cue_chunks, paragraphs, request_chunks, sentences, wrap_caption, wrap_cue
 from cuesheet.functions.text import clean_text, word_count
 from cuesheet.functions.timecode import speech_rate, speech_seconds, srt_timestamp, vtt_timestamp
@@ -23,6 +23,7 @@ from cuesheet.operators import pages as P
 from cuesheet.operators import render as R
 from cuesheet.operators import timeline as T
 from cuesheet.operators.blocks import explode_rows
+from cuesheet.operators.order import in_order
 from cuesheet.plans import scripts as S
 from cuesheet.session import shared_folder
 from cuesheet.sources.files import file_info, lookup_files
@@ -33,7 +34,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 KEY = "doc_id"
 CREATED = "2024-01-01T00:00:00"
-STAMP = "20240101_000000"
 SLOW_PAGE_WORDS = 150
 SHORT_PAGE_WORDS = 8
 SECOND_JOB = 1_000_000_000
@@ -137,12 +137,15 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
     return J.with_defaults(job_overrides(spark, folder), ["job_id", KEY])
 
 
-def script_paths(spark: SparkSession, folder: str) -> DataFrame:
+def script_path() -> Column:
+    """The file of a document's script."""
     suffixes = F.array(F.lit(".pdf"), F.lit(".PDF"), F.lit(".txt"))
     suffix = F.element_at(suffixes, (F.col(KEY) % 3).cast("int") + 1)
-    return documents(spark, folder, "n_chars").select(
-        KEY, "n_chars", F.concat(F.lit("d"), F.col(KEY), suffix).alias("path")
-    )
+    return F.concat(F.lit("d"), F.col(KEY), suffix)
+
+
+def script_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return documents(spark, folder, "n_chars").select(KEY, "n_chars", script_path().alias("path"))
 
 
 def engines(spark: SparkSession) -> DataFrame:
@@ -439,9 +442,8 @@ def format_gate(spark, folder):
 def job_validation(spark, folder):
     """Scripts of a few characters have no file; only one background has."""
     paths = script_paths(spark, folder)
-    named = paths.select(KEY, F.col("path").alias("input_path"))
     background = F.when(F.col(KEY) % 7 == 0, "plain.png").when(F.col(KEY) % 11 == 0, "lost.png")
-    wanted = jobs(spark, folder).join(named, KEY).withColumn("background", background)
+    wanted = jobs(spark, folder).withColumns({"input_path": script_path(), "background": background})
     backgrounds = spark.createDataFrame([("plain.png",)], "path string")
     existing = paths.where("n_chars >= 100").select("path").unionByName(backgrounds)
     checked = J.validate(wanted, existing)
@@ -526,10 +528,26 @@ def file_inventory(spark, folder):
     return found.select("path", "size", "size_mb", "suffix", "name", "exists")
 
 
+@_query("files_in_order")
+def files_in_order(spark, folder):
+    """Every saved web page with its place in the order of all paths."""
+    pages = web_pages(spark, folder)
+    path = F.concat(F.regexp_extract("url", r"//([^?#]*)", 1), F.lit("-"), F.col(KEY), F.lit(".html"))
+    return in_order(pages.select(path.alias("path")), "path", "position")
+
+
+@_query("event_stamps")
+def event_stamps(spark, folder):
+    """The stamps of files and manifests made at the time of every event."""
+    events = read_table(spark, folder, "events", "ts")
+    time = F.col("ts").cast("timestamp_ntz")
+    return events.select("event_id", file_stamp(time).alias("file_stamp"), iso_stamp(time).alias("created"))
+
+
 @_query("output_layout")
 def output_layout(spark, folder):
     """Audio of every page and one video for each document that has audio."""
-    base, stamp = F.concat(F.lit("c"), F.col(KEY)), F.lit(STAMP)
+    base, stamp = F.concat(F.lit("c"), F.col(KEY)), file_stamp(F.lit(CREATED).cast("timestamp_ntz"))
     audio = outcomes(spark, folder).withColumnRenamed("ok", "exists")
     videos = audio.groupBy(KEY).agg(F.max("exists").alias("exists")).withColumn(
         "path", F.concat(base, F.lit(".mp4"))
@@ -546,7 +564,7 @@ def unique_names(spark, folder):
     taken = rows.where("n_chars < 40").select(
         base, F.lit("mp3").alias("extension"), F.col("n_chars").alias("counter")
     )
-    return A.unique_names(requests, taken, F.lit(STAMP))
+    return A.unique_names(requests, taken, file_stamp(F.lit(CREATED).cast("timestamp_ntz")))
 
 
 @_query("concat_plan")

@@ -8,7 +8,9 @@ doubles agree to the last bit.
 from __future__ import annotations
 
 from cuesheet.operators.pages import NO_TEXT
-from cuesheet.plans.catalog import CREATED, SHORT_PAGE_WORDS, SLOW_PAGE_WORDS, STAMP
+from cuesheet.plans.catalog import CREATED, SHORT_PAGE_WORDS, SLOW_PAGE_WORDS
+
+STAMP = "20240101_000000"
 
 
 def clean(text: str) -> str:
@@ -506,6 +508,11 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN NOT lost THEN round_even(bytes / 1048576.0::DOUBLE, 2) END AS size_mb,
                 CASE WHEN NOT lost THEN '.html' END AS suffix,
                 CASE WHEN NOT lost THEN string_split(path, '/')[-1] END AS name, NOT lost AS exists FROM asked""",
+        "files_in_order": """WITH files AS (SELECT regexp_extract(url, '//([^?#]*)', 1) || '-' || page_id || '.html' AS path FROM pages)
+            SELECT path, row_number() OVER (ORDER BY path) AS position FROM files""",
+        "event_stamps": """SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS file_stamp,
+            strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN ''
+                ELSE strftime(ts, '.%f') END AS created FROM events""",
         "project_manifest": MANIFEST
         + f"""SELECT job_id, doc_id, '{{"created":"{CREATED}","project_name":"' || project_name ||
             '","source_pdf":"' || source_pdf || '","total_pages":' || total_pages || ',"total_audio_files":' ||
