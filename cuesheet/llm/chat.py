@@ -57,10 +57,27 @@ LAYOUTS = (
 )
 
 
+# The reader's own limit of a text is far below what a conversation may hold.
+_READING = {"maxStringLen": str((1 << 31) - 1)}
+
+
+def _skeleton(record: Column) -> Column:
+    """A JSON record with all its texts emptied: as long as its fields, however
+    long their texts are. Without escapes, quotes part a record into what is in
+    texts and what is not; a text before a colon is a name and stays."""
+    parts = F.split(F.regexp_replace(record, r"\\.", "_"), '"', -1)
+    after = F.concat(F.slice(parts, 2, 1 << 30), F.array(F.lit("")))
+    kept = F.transform(
+        F.arrays_zip(parts.alias("part"), after.alias("after")),
+        lambda p, i: F.when((i % 2 == 1) & ~p["after"].rlike(r"^\s*:"), "").otherwise(p["part"]),
+    )
+    return F.array_join(kept, '"')
+
+
 def field_paths(record: Column) -> Column:
     """The tree of a JSON record's field names, without types, sorted by name:
     `OBJECT<messages: ARRAY<OBJECT<content, role>>>`. Null for broken JSON."""
-    tree = F.schema_of_variant(F.try_parse_json(record))
+    tree = F.schema_of_variant(F.try_parse_json(_skeleton(record)))
     tree = F.regexp_replace(tree, r": (?:[A-Z_]+(?:\([0-9,]*\))?)(?=[,>])", "")
     return F.regexp_replace(tree, r"ARRAY<[A-Z_]+(?:\([0-9,]*\))?>", "ARRAY<>")
 
@@ -70,24 +87,27 @@ def fingerprint(record: Column) -> Column:
     return F.sha2(field_paths(record), 256)
 
 
+_CORRUPT = "_corrupt_record"
+
+
 def _turns(layout: Layout, record: Column) -> Column:
     def turn(role: Column, text: Column) -> Column:
         return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
     if not layout.messages:
+        names = [name.rstrip("?") for name, _ in layout.fields]
+        read = F.from_json(record, ", ".join(f"`{n}` string" for n in (*names, _CORRUPT)), _READING)
         fields = [
             F.when(
-                F.lit(not name.endswith("?"))
-                | F.array_contains(F.json_object_keys(record), name.rstrip("?")),
-                turn(F.lit(role), F.get_json_object(record, f"$.{name.rstrip('?')}")),
+                F.lit(not name.endswith("?")) | F.array_contains(F.json_object_keys(_skeleton(record)), name.rstrip("?")),
+                turn(F.lit(role), read[name.rstrip("?")]),
             )
             for name, role in layout.fields
         ]
-        return F.filter(F.array(*fields), lambda x: x.isNotNull())
-    items = F.from_json(
-        F.get_json_object(record, f"$.{layout.messages}"),
-        f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>",
-    )
+        return F.when(read[_CORRUPT].isNull(), F.filter(F.array(*fields), lambda x: x.isNotNull()))
+    item = f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
+    read = F.from_json(record, f"`{layout.messages}` {item}, `{_CORRUPT}` string", _READING)
+    items = F.when(read[_CORRUPT].isNull(), read[layout.messages])
 
     def named(role: Column) -> Column:
         known = layout.roles
@@ -188,14 +208,16 @@ def read_loss(formatted: Column, mask: Column) -> Column:
 
 
 def format_conversations(records: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
-    """One row per record that a layout fits: key, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars, formatted, mask, fingerprint.
+    """One row per record: key, n_turns, turns_sha256, loss_chars, loss_sha256,
+    formatted_chars, formatted, mask, fingerprint.
 
     The digests are read back from `formatted` and `mask`: turns_sha256 over
     role, line feed, text, line feed of every turn, loss_sha256 over the text
-    under the mask. Records without turns give 0 turns and digests of nothing.
+    under the mask. Records without turns give 0 turns and digests of nothing;
+    those that no layout fits, broken ones and nulls give nulls. Texts may be
+    as long as a row can be.
     """
-    canonical = canonical_turns(records, record).where(F.col("turns").isNotNull())
+    canonical = canonical_turns(records, record)
     done = with_format(canonical.select(key, "fingerprint", "turns"))
     read = done.withColumn("_read", read_turns(F.col("formatted"))).withColumn(
         "_loss", read_loss(F.col("formatted"), F.col("mask"))
@@ -205,7 +227,7 @@ def format_conversations(records: DataFrame, key: str = "conv_id", record: str =
     )
     return read.select(
         key,
-        F.size("_read").cast("long").alias("n_turns"),
+        F.array_size("_read").cast("long").alias("n_turns"),
         F.sha2(told, 256).alias("turns_sha256"),
         F.length("_loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("_loss"), 256).alias("loss_sha256"),

@@ -77,3 +77,26 @@ def test_fingerprints_follow_paths_only(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_conversations(chat.as_records(df)).count() == 0
+
+
+def test_no_record_is_lost(spark):
+    """Texts beyond the JSON reader's own limit, and records without a layout."""
+    size = 25_000_000
+    rows = [(1, 0, "user", "a" * size), (1, 1, "assistant", 'b"\\' + "b" * size), (2, 0, "user", "c" * size), (2, 1, "tool", "d")]
+    df = spark.createDataFrame([(c, t, r, x[:40]) for c, t, r, x in rows], "conv_id long, turn long, role string, text string")
+    long = F.when(F.length("text") == 40, F.concat("text", F.repeat(F.substring("text", -1, 1), size - 40 + 3 * F.col("turn").cast("int"))))
+    out = {r.conv_id: r for r in chat.format_conversations(chat.as_records(df.withColumn("text", F.coalesce(long, "text")))).drop("formatted").collect()}
+    for conv in (1, 2):
+        assert out[conv].turns_sha256 == digest([(r, t) for c, _, r, t in rows if c == conv])
+    assert out[1].loss_chars == size + 3
+    odd = spark.createDataFrame([(1, None), (2, "x"), (3, '{"a": 1}'), (4, '{"messages": []}'), (5, '{"prompt": "\\q", "response": ""}')], "conv_id long, record string")
+    got = {r.conv_id: r.n_turns for r in chat.format_conversations(odd).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: 0, 5: None}
+
+
+def test_texts_that_look_like_fields(spark):
+    hard = ['", "x": "', '":', ' : "', '\\', '\\":', '{"prompt": "', "[", "é\u2028"]
+    for text in hard:
+        raw = json.dumps({"prompt": text, "response": text + '"'})
+        df = spark.createDataFrame([(1, raw)], "conv_id long, record string")
+        assert [tuple(t) for t in chat.canonical_turns(df).first().turns] == [("user", text), ("assistant", text + '"')]
