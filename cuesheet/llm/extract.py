@@ -27,7 +27,6 @@ from cuesheet.llm import crf
 FIT_PAGES = 250
 ITERATIONS = 200
 _CHAIN = 24
-_ANCESTORS = 32
 _CACHE = 100_000
 
 _TOKEN = re.compile(
@@ -75,10 +74,16 @@ class Block:
 
 @dataclass
 class Paths:
-    """Ancestor chains, each stored as its last element and the chain above."""
+    """Ancestor chains, each stored as its last element and the chain above.
 
+    `above` has the tags and names of all elements of a chain, of any length;
+    chains that add none share their parent's set. With `known`, only those
+    words are remembered there, so that no set is larger than it."""
+
+    known: frozenset[str] | None = None
     ids: dict[tuple[int, str], int] = field(default_factory=dict)
     parts: list[tuple[int, tuple[str, ...]]] = field(default_factory=lambda: [(-1, ())])
+    above: list[frozenset[str]] = field(default_factory=lambda: [frozenset()])
 
     def child(self, parent: int, tag: str, attributes: str) -> int:
         names = ""
@@ -89,17 +94,25 @@ class Paths:
         at = self.ids.get(key)
         if at is None:
             at = self.ids[key] = len(self.parts)
-            self.parts.append((parent, (tag, *(f".{w}" for w in names.split()))))
+            own = (tag, *(f".{w}" for w in names.split()))
+            self.parts.append((parent, own))
+            told = frozenset(own) if self.known is None else self.known.intersection(own)
+            self.above.append(self.above[parent] if told <= self.above[parent] else self.above[parent] | told)
         return at
 
     def words(self, path: int) -> list[tuple[str, ...]]:
-        """Tag and names of the nearest ancestors, innermost first."""
+        """Tag and names of all ancestors, innermost first."""
         out = []
-        while path > 0 and len(out) < _ANCESTORS:
+        while path > 0:
             path, own = self.parts[path]
             out.append(own)
         return out
 
+    def features(self, path: int) -> list[str]:
+        """What `path_features` gives for the ancestors, of known words."""
+        parent, own = self.parts[path]
+        return _features(own, self.parts[parent][1] if parent > 0 else None, self.above[path])
+
 
 def blocks_of(page: str, paths: Paths) -> list[Block]:
     """The leaf blocks of a page, in order. Unclosed and stray tags, a page that
@@ -193,13 +206,20 @@ _KIND = {w: kind for kind, words in BOILERPLATE.items() for w in words}
 def path_features(elements: list[tuple[str, ...]]) -> list[str]:
     """Features of a block's ancestors, innermost first: their tags and names,
     and whether a lexicon knows one of these as part of boilerplate."""
-    own = [f"own:{w}" for w in elements[0]] if elements else ["own:"]
-    above = {f"in:{w}" for e in elements for w in e}
-    parent = [f"parent:{w}" for w in elements[1]] if len(elements) > 1 else ["parent:"]
-    known = {f"kind:{_KIND[w]}" for e in elements for w in e if w in _KIND}
+    parent = elements[1] if len(elements) > 1 else None
+    return _features(elements[0] if elements else (), parent, frozenset(w for e in elements for w in e))
+
+
+def _features(own: tuple[str, ...], parent: tuple[str, ...] | None, above: frozenset[str]) -> list[str]:
+    known = {f"kind:{_KIND[w]}" for w in above if w in _KIND}
     if known:
         known.add("kind:any")
-    return [*own, *parent, *sorted(above), *sorted(known)]
+    return [
+        *([f"own:{w}" for w in own] or ["own:"]),
+        *([f"parent:{w}" for w in parent] if parent else ["parent:"]),
+        *sorted(f"in:{w}" for w in above),
+        *sorted(known),
+    ]
 
 
 def text_features(block: Block) -> list[str]:
@@ -323,7 +343,8 @@ class Extractor:
 
     def __init__(self, model: Model):
         self.model = model
-        self.paths, self.path_scores = Paths(), {}
+        self.known = frozenset(_KIND).union(n[3:] for n in model.names if n.startswith("in:"))
+        self.paths, self.path_scores = Paths(self.known), {}
         self.text_scores: dict[tuple[str, ...], np.ndarray] = {}
 
     def _sum(self, features: list[str]) -> np.ndarray:
@@ -333,7 +354,7 @@ class Extractor:
     def _score(self, block: Block) -> np.ndarray:
         above = self.path_scores.get(block.path)
         if above is None:
-            above = self._sum(path_features(self.paths.words(block.path)))
+            above = self._sum(self.paths.features(block.path))
             self.path_scores[block.path] = above
         features = tuple(text_features(block))
         own = self.text_scores.get(features)
@@ -346,7 +367,7 @@ class Extractor:
         blocks, starts, owners, item = [], [], [], []
         for i, page in enumerate(pages):
             if len(self.paths.parts) > _CACHE:
-                self.paths, self.path_scores = Paths(), {}
+                self.paths, self.path_scores = Paths(self.known), {}
             found = blocks_of(page, self.paths) if page else []
             if found:
                 owners.append(i)
@@ -364,25 +385,28 @@ class Extractor:
 
 def fitted(pages: DataFrame, text: str = "html", most: int = FIT_PAGES) -> Model:
     """A model from at most `most` pages that have an `article` or `main`
-    element: those of the smallest digests.
+    element: those of the smallest digests, copies once.
 
     Only pages whose digest lies below a bound are ranked, about four times as
-    many as are wanted, so that what tasks send stays the same at every size.
+    many different ones as are wanted, so that what tasks send stays the same at
+    every size.
     """
     labelled = pages.where(F.col(text).rlike(r"(?i)<(?:article|main)\b")).select(
         F.col(text).alias("html"), F.shiftrightunsigned(F.xxhash64(text), 32).alias("digest")
     )
-    count = labelled.count()
+    count = labelled.agg(F.approx_count_distinct("digest")).first()[0]
     if count > 4 * most:
         labelled = labelled.where(F.col("digest") < (4 * most << 32) // count)
-    return fit([r["html"] for r in labelled.orderBy("digest", "html").limit(most).collect()])
+    sample = labelled.dropDuplicates(["html"]).orderBy("digest", "html").limit(most)
+    return fit([r["html"] for r in sample.collect()])
 
 
 def main_text(pages: DataFrame, model: Model, html_column: str = "html") -> DataFrame:
     """`pages` without the html, with `main_text`: its main blocks, character
     references decoded, white space in a block made one space, blocks joined by
     one line feed. Null or empty pages, and pages without main text, give an
-    empty string; repeated rows are read each."""
+    empty string; repeated rows are read each. Pages of any length and depth are
+    read whole."""
     at = pages.columns.index(html_column)
     kept = [f for i, f in enumerate(pages.schema.fields) if i != at]
     # The model has the features of a bounded sample, whatever the table.

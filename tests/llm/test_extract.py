@@ -94,3 +94,33 @@ def test_query_columns(spark, pages):
     empty = spark.createDataFrame([], SCHEMA)
     assert extract.extract_pages(empty).count() == 0
     assert [r.text for r in extract.extract_pages(spark.createDataFrame([(1, "u", "<p>x", "", 0)], SCHEMA)).collect()] in ([""], ["x"])
+
+
+def test_ancestors_count_at_any_depth(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    reader = extract.Extractor(extract.fit([p for p in pages if extract.is_labelled(p)][:150]))
+    prose = "The river rose in the night, and by morning the lower fields were under water. " * 3
+
+    def read(depth):
+        inner = "<div>" * depth + "<p>%s</p>" + "</div>" * depth
+        menu = inner % '<a href="/">All pages of this site</a>'
+        page = f"<html><body><nav>{menu}</nav><article>{inner % prose}<p>{prose}</p></article></body></html>"
+        return reader.texts([page])[0]
+
+    assert read(40) == read(400) == read(5) == "\n".join([" ".join(prose.split())] * 2)
+
+
+def test_features_of_a_path_are_those_of_its_words():
+    paths = extract.Paths()
+    at = 0
+    for tag, names in (("body", ""), ("nav", 'class="menu top"'), *[("div", f'id="x{i % 3}"') for i in range(50)], ("li", "")):
+        at = paths.child(at, tag, names)
+        assert paths.features(at) == extract.path_features(paths.words(at))
+
+
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(extract, "fit", lambda pages: taken.append(pages))
+    rows = [("<article>hot",)] * 3000 + [(f"<main>{i}",) for i in range(20)]
+    extract.fitted(spark.createDataFrame(rows, "html string").repartition(4), most=10)
+    assert len(taken[0]) == 10 == len(set(taken[0]))
