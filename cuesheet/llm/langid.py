@@ -254,16 +254,16 @@ class Labeller:
 
 def fitted(labelled: DataFrame, per_language: int = FIT_DOCUMENTS) -> Model:
     """A model from at most `per_language` documents of each language of
-    (lang, text), those of the smallest digests.
+    (lang, text), those of the smallest digests, copies once.
 
-    Of a language with many documents only those whose digest lies below a
-    bound are ranked, about four times as many as are wanted, so that no task
+    Of a language with many different texts only those whose digest lies below
+    a bound are ranked, about four times as many as are wanted, so that no task
     ranks more than that however common a language is.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", "text", F.shiftrightunsigned(F.xxhash64("text"), 32).alias("digest")
     )
-    counts = known.groupBy("lang").count().collect()
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("digest")).collect()
     bound = F.lit(1 << 32)
     for name, count in counts:
         if count > 4 * per_language:
@@ -272,6 +272,7 @@ def fitted(labelled: DataFrame, per_language: int = FIT_DOCUMENTS) -> Model:
     rank = Window.partitionBy("lang").orderBy("digest", "text")
     sample = (
         known.where(F.col("digest") < bound)
+        .dropDuplicates(["lang", "text"])
         .withColumn("rank", F.row_number().over(rank))
         .where(F.col("rank") <= per_language)
         .orderBy("lang", "rank")

@@ -87,3 +87,10 @@ def test_empty(spark):
     assert langid.with_language(docs).count() == 0
     unlabelled = spark.createDataFrame([(1, "abc", None, "", 0)], SCHEMA)
     assert langid.identify_documents(unlabelled).first().lang_pred == "und"
+
+
+def test_a_language_of_few_texts_is_learned(spark):
+    rows = [("xx", f"zig zag zog {i}") for i in range(3)] * 3000 + [("yy", f"bar ber bir {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}") for i in range(60)]
+    model = langid.fitted(spark.createDataFrame(rows, "lang string, text string").repartition(4), 10)
+    assert model.languages == ["xx", "yy"]
+    assert langid.Labeller(model).documents(["zig zog", "ber bir"])[0] == ["xx", "yy"]
