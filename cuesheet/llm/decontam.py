@@ -44,13 +44,22 @@ _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
 _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
 _LETTER = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
 _LOWER = np.where(_UPPER, _BYTES + 32, _BYTES).astype(np.uint8)
+_SMALL = (_BYTES >= 97) & (_BYTES <= 122)
 _JOINT = np.isin(_BYTES, list(b".,"))
 _STOP = np.isin(_BYTES, [10, 13, *b".!?:"])
 _BLANK = np.isin(_BYTES, [9, 11, 12, 32, *b"\"'()[]*_-"])
 _SCHEMA = pa.schema(
-    [("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("plain", pa.bool_()), ("window", pa.int64()), ("slots", pa.list_(pa.int64()))]
+    [
+        ("id", pa.int64()),
+        ("key", pa.int64()),
+        ("at", pa.int32()),
+        ("plain", pa.bool_()),
+        ("width", pa.int32()),
+        ("window", pa.int64()),
+        ("slots", pa.list_(pa.int64())),
+    ]
 )
-_DDL = "id long, key long, at int, plain boolean, window long, slots array<long>"
+_DDL = "id long, key long, at int, plain boolean, width int, window long, slots array<long>"
 
 
 def template(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +67,9 @@ def template(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     The token is the hash of the word in lower case, or a placeholder: NUMBER
     for digits with separators between them, UNIT for a word of `UNITS` right
-    after a number, NAME for a capital word not at the start of a sentence.
+    after a number, NAME for a capital word not at the start of a sentence, if
+    it or its neighbours have small letters: in a run of capitals none tells a
+    name. Characters of scripts without spaces are words of their own.
     The value of a placeholder is the hash of what stood there, else 0.
     """
     low = _LOWER[raw]
@@ -69,7 +80,8 @@ def template(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     digit = _DIGIT[raw]
     solid = _LETTER[raw] | digit
     solid[1:-1] |= _JOINT[raw[1:-1]] & digit[:-2] & digit[2:]
-    value, start, text = shingles.words(low, offsets, solid)
+    value, start, _ = shingles.words(low, _cuts(raw, offsets), solid)
+    text = np.searchsorted(offsets, start, side="right") - 1
     first = raw[start]
     number = _DIGIT[first]
     upper = _UPPER[first] | ((first == 0xC3) & (raw[np.minimum(start + 1, len(raw) - 1)] <= 0x9E))
@@ -82,12 +94,28 @@ def template(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     follows[1:] = number[:-1] & (text[1:] == text[:-1])
     unit = follows & ~number
     unit[unit] = np.isin(value[unit], _UNIT_HASHES)
-    name = upper & ~opens & ~unit
+    small = np.add.reduceat(_SMALL[raw], start) if len(start) else start
+    loud = (small == 0) & upper
+    beside = np.zeros(len(token) + 2, dtype=bool)
+    beside[1:-1] = loud
+    name = upper & ~opens & ~unit & ~(loud & (beside[:-2] | beside[2:]))
     for kind, held in ((_NUMBER, number), (_UNIT, unit), (_NAME, name)):
         token[held] = kind
     return token, np.where(number | unit | name, value, np.uint64(0)), text
 
 
+def _cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """`offsets` and both ends of every character of a script without spaces:
+    Thai to Khmer's neighbours, kana and Chinese characters, by their bytes."""
+    if not (raw >= 0xE0).any():
+        return offsets
+    second = np.append(raw[1:], 0)
+    three = ((raw >= 0xE3) & (raw <= 0xE9) & ~((raw == 0xE3) & (second == 0x80))) | ((raw == 0xE0) & (second >= 0xB8) & (second <= 0xBB))
+    four = (raw == 0xF0) & (second >= 0xA0) & (second <= 0xB2)
+    at, far = np.flatnonzero(three), np.flatnonzero(four)
+    return np.unique(np.concatenate([offsets, at, at + 3, far, far + 4]).clip(0, len(raw)))
+
+
 def _unit_hashes() -> np.ndarray:
     raw, offsets = shingles.column_bytes(pa.array(UNITS))
     return shingles.words(raw, offsets)[0]
@@ -97,28 +125,56 @@ _UNIT_HASHES = _unit_hashes()
 
 
 def windows(
-    texts: pa.Array, wanted: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, plain, hash, slots) of the template windows with enough plain
+    texts: pa.Array, wanted: np.ndarray | None = None, short: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, plain, width, hash, slots) of the template windows with enough plain
     words, and of the windows of words as they are (plain, no slots) that hold
-    more than numbers; or of those that the Bloom filter `wanted` may hold."""
+    more than numbers; or of those that the Bloom filter `wanted` may hold.
+
+    Besides, without a filter, a text that has no window gives those of all its
+    words as they are, or itself if it is shorter than a window; with a filter,
+    every text gives all windows of the lengths in `short`. These have their
+    length as `width`, the others 0."""
     raw, offsets = shingles.column_bytes(texts)
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros((0, WINDOW), np.int64))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WINDOW), np.int64))
     parts = [none]
     for low, high in shingles.slices(offsets):
         own = offsets[low : high + 1]
         token, value, text = template(raw[own[0] : own[-1]], own - own[0])
+        as_is = np.where(value == 0, token, value)
+        first = np.searchsorted(text, np.arange(high - low))
+        counts = np.diff(np.append(first, len(text)))
+        seen = np.zeros(high - low, dtype=bool)
+
+        def exact(width: int, of: np.ndarray) -> None:
+            """Windows of `width` words of the texts marked in `of`."""
+            at = np.flatnonzero(of[text[: len(text) - width + 1]] & (text[: len(text) - width + 1] == text[width - 1 :]))
+            whole = np.full(len(at), int(_PLAIN) + width, dtype=np.uint64)
+            for k in range(width):
+                whole += as_is[at + k] * np.uint64(pow(_SCALE, k + 1, 1 << 64))
+            window = shingles.mix(shingles.mix(whole)).view(np.int64)
+            if wanted is not None:
+                held = maybe_in(wanted, window)
+                at, window = at[held], window[held]
+            blank = np.zeros((len(at), WINDOW), np.int64)
+            parts.append((text[at] + low, at - first[text[at]], np.full(len(at), True), np.full(len(at), width), window, blank))
+
         n = len(token) - WINDOW + 1
+        for width in short:
+            if len(token) >= width:
+                exact(width, counts >= width)
         if n <= 0:
+            if wanted is None:
+                for width in range(1, WINDOW):
+                    if len(token) >= width:
+                        exact(width, counts == width)
             continue
         inside = text[:n] == text[WINDOW - 1 :]
-        first = np.searchsorted(text, np.arange(high - low))
         anchors = np.concatenate([[0], np.cumsum(value == 0)])
         numbers = np.concatenate([[0], np.cumsum(token == _NUMBER)])
         typed = inside & (anchors[WINDOW:] - anchors[:-WINDOW] >= ANCHORS)
         worded = inside & (numbers[WINDOW:] - numbers[:-WINDOW] < WINDOW)
-        written_as = np.where(value == 0, token, value)
-        for plain, words, take in ((False, token, typed), (True, written_as, worded)):
+        for plain, words, take in ((False, token, typed), (True, as_is, worded)):
             whole = np.full(n, _PLAIN if plain else 0, dtype=np.uint64)
             for k in range(WINDOW):
                 whole += words[k : n + k] * np.uint64(pow(_SCALE, k + 1, 1 << 64))
@@ -126,27 +182,31 @@ def windows(
             if wanted is not None:
                 take = take & maybe_in(wanted, window)
             at = np.flatnonzero(take)
+            seen[text[at]] = True
             slots = value[at[:, None] + np.arange(WINDOW)].view(np.int64)
             if plain:
                 slots = np.zeros_like(slots)
-            parts.append((text[at] + low, at - first[text[at]], np.full(len(at), plain), window[at], slots))
+            parts.append((text[at] + low, at - first[text[at]], np.full(len(at), plain), np.zeros(len(at), np.int64), window[at], slots))
+        if wanted is None:
+            for width in range(1, WINDOW + 1):
+                exact(width, ~seen & (counts == width if width < WINDOW else counts >= width))
     return tuple(np.concatenate(columns) for columns in zip(*parts))
 
 
-def _window_rows(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+def _window_rows(rows: DataFrame, wanted: np.ndarray | None, short: tuple[int, ...] = ()) -> DataFrame:
     """(id, key, at, plain, window, slots) of all windows of (id, key, text), or of those
-    that the Bloom filter `wanted` may hold."""
+    that the Bloom filter `wanted` may hold, as `windows` has them."""
     shared = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = None if shared is None else shared.value
-            text, place, plain, window, slots = windows(batch.column("text"), bits)
+            text, place, plain, width, window, slots = windows(batch.column("text"), bits, short)
             ids, keys = (batch.column(c).take(pa.array(text)) for c in ("id", "key"))
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(text) + 1, dtype=np.int32) * WINDOW), pa.array(slots.ravel())
             )
-            columns = [ids, keys, pa.array(place, pa.int32()), pa.array(plain), pa.array(window), lists]
+            columns = [ids, keys, pa.array(place, pa.int32()), pa.array(plain), pa.array(width, pa.int32()), pa.array(window), lists]
             yield pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
     return rows.mapInArrow(run, _DDL)
@@ -165,6 +225,7 @@ def contaminated(
     doc_id: str = "doc_id",
     item_id: str = "item_id",
     text: str = "text",
+    least_words: int = 1,
 ) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, key (of
     doc_id and text), item_id, windows, item_windows, share, reparameterised.
@@ -174,31 +235,34 @@ def contaminated(
     after the other as in the item. Template windows and
     windows of the words as they are count apart: the figures are of those with
     the larger share. `reparameterised`: some slot holds another value than in
-    the item. Null and empty texts, and items of fewer words than a window or of
-    numbers only, hold nothing and are held by nothing; repeated rows give one row.
+    the item. Items of fewer words than a window, but of `least_words`, and of
+    numbers only are held where all their words stand as in the item. Null and
+    empty texts hold nothing and are held by nothing; repeated rows give one row.
     """
     items = _window_rows(_keyed(benchmark, F.col(item_id), text).distinct(), None)
     rank = F.row_number().over(Window.partitionBy("key", "plain").orderBy("at"))
     items = written(
-        items.select(
+        items.where((F.col("width") == 0) | (F.col("width") >= least_words)).select(
             rank.alias("rank"),
             F.col("id").alias("item_id"),
             F.col("key").alias("item_key"),
             F.col("at").alias("item_at"),
             "plain",
+            "width",
             "window",
             F.col("slots").alias("item_slots"),
         ),
         "item-windows",
     )
     wanted = bloom_filter(items, "window")
-    found = _window_rows(_keyed(docs, F.col(doc_id), text), wanted).drop("plain")
+    short = tuple(sorted(r["width"] for r in items.where("width > 0").select("width").distinct().collect()))
+    found = _window_rows(_keyed(docs, F.col(doc_id), text), wanted, short).drop("plain", "width")
     pairs = F.filter(
         F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0
     )
     runs = (
         found.join(items, "window")
-        .groupBy("id", "key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("lag"))
+        .groupBy("id", "key", "item_id", "item_key", "plain", (F.col("at") - F.col("item_at")).alias("lag"))
         .agg(
             F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
             F.collect_set(F.struct("plain", "item_at", "rank")).alias("places"),
@@ -240,12 +304,14 @@ def contaminated(
         .groupBy("id", "key", "item_id", "item_key", "plain")
         .agg(F.count("*").alias("windows"), F.max("other").alias("reparameterised"), F.max("long").alias("long"))
     )
-    sizes = items.groupBy("item_key", "plain").agg(F.count_distinct("item_at").alias("item_windows"))
+    sizes = items.groupBy("item_key", "plain").agg(
+        F.count_distinct("item_at").alias("item_windows"), (F.max("width") > 0).alias("exact")
+    )
     share = F.col("windows") / F.col("item_windows")
     best = F.max(F.struct(share.alias("share"), "windows", "item_windows")).alias("best")
     return (
         held.join(sizes, ["item_key", "plain"])
-        .where((share >= CONTAINED) | F.col("long"))
+        .where(F.when(F.col("exact"), share == 1).otherwise((share >= CONTAINED) | F.col("long")))
         .groupBy(F.col("id").alias("doc_id"), "key", "item_id")
         .agg(best, F.min("reparameterised").alias("reparameterised"))
         .select("doc_id", "key", "item_id", "best.windows", "best.item_windows", "best.share", "reparameterised")
@@ -253,9 +319,10 @@ def contaminated(
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without those that hold a benchmark item; columns as they are."""
+    """`docs` without those that hold a benchmark item; columns as they are. Items
+    of fewer words than a window are passed over: they stand in clean texts too."""
     key, bad = unique_name(docs, "key"), unique_name(docs, "bad")
-    held = contaminated(docs, benchmark, doc_id, text=text).select(F.col("key").alias(bad)).distinct()
+    held = contaminated(docs, benchmark, doc_id, text=text, least_words=WINDOW).select(F.col("key").alias(bad)).distinct()
     marked = docs.withColumn(key, F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
     kept = marked.join(held, F.col(key) == F.col(bad), "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

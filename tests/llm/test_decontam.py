@@ -34,7 +34,7 @@ def test_passages(spark, benchmark):
     texts = [
         filler + " " + ITEM + " " + filler,
         ITEM.replace("120", "90").replace("Anna", "Boris").replace("km", "miles"),  # same question, other values
-        ITEM.replace("120", "90", 1),  # 120 and 90 for the same slot
+        ITEM.replace("120", "90", 1),  # all else word for word
         ITEM.upper().replace("A TRAIN", "a train"),
         "The QUICK, brown fox -- jumps over the lazy dog\nnear the river bank today!",
         "the quick brown fox jumps over nothing that anybody near a river saw",
@@ -48,12 +48,13 @@ def test_passages(spark, benchmark):
     ]
     hits, docs = found(spark, benchmark, texts)
     assert {k for k in hits if k[1] == 2} == {(4, 2), (11, 2)}
-    assert {d for d, i in hits if i == 1} >= {0, 1, 12} and 2 not in {d for d, _ in hits}
+    assert {d for d, i in hits if i == 1} >= {0, 1, 2, 3, 12} and not hits[2, 1].reparameterised
+    assert {k for k in hits if k[1] in (3, 6)} == {(9, 3), (10, 6)}
     assert not hits[0, 1].reparameterised and hits[1, 1].reparameterised
-    assert hits[0, 1].share > 0.9 and hits[12, 1].share == 1.0 and {i for _, i in hits} == {1, 2}
+    assert hits[0, 1].share > 0.9 and hits[12, 1].share == 1.0 and {i for _, i in hits} == {1, 2, 3, 6}
     kept = decontam.without_contaminated(docs, benchmark)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in hits}
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, i in hits if i != 3}
 
 
 def test_against_brute_force(spark):
@@ -73,6 +74,7 @@ def test_against_brute_force(spark):
         for d, t in enumerate(docs)
         for i, item in enumerate(items)
         if runs(item) and sum(r in set(runs(t)) for r in runs(item)) >= 0.5 * len(runs(item))
+        or not runs(item) and f" {item} " in f" {t} "
     }
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     hits, _ = found(spark, bench, docs)
@@ -122,3 +124,32 @@ def test_excerpts(spark):
     hits, _ = found(spark, bench, [" ".join(["before", *c, "after"]) for c in cuts])
     assert set(hits) == {(0, 1), (1, 1)}
     assert hits[0, 1].windows == 23 and hits[0, 1].share < 0.5
+
+
+def test_short_and_numeric_items_against_brute_force(spark):
+    rng = random.Random(6)
+    units = [*"0123456789", "12", "a", "b", "本", "語", "の", "ไ"]
+    spaced = lambda parts: " ".join(parts).replace("本 ", "本").replace("語 ", "語")
+    items = [[rng.choice(units[: rng.choice([4, 11])] if rng.random() < 0.5 else units) for _ in range(rng.randint(1, 20))] for _ in range(40)]
+    items = [i for i in items if len(i) < 5 or all(w.isdigit() for w in i)] + [["本", "語", "の"], list("31415926")]
+    docs = [[rng.choice(units) for _ in range(rng.randint(0, 25))] for _ in range(150)]
+    docs += [d + rng.choice(items) + d[:2] for d in docs[:60]]
+    holds = lambda d, i: any(d[k : k + len(i)] == i for k in range(len(d) - len(i) + 1))
+    expected = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if holds(doc, item)}
+    bench = spark.createDataFrame([(i, spaced(x)) for i, x in enumerate(items)], "item_id long, text string")
+    hits, _ = found(spark, bench, [spaced(d) for d in docs])
+    assert set(hits) == expected and len(expected) > 60
+
+
+def test_unspaced_scripts(spark):
+    item = "電車は二時間で百二十キロを走りその後に駅で止まる"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    hits, _ = found(spark, bench, ["これは" + item + "という問題です。", "電車は駅で止まる", item.replace("百二十", "九十")])
+    assert set(hits) == {(0, 1), (2, 1)}
+
+
+def test_other_values_in_capitals(spark):
+    item = "the old farmer sells 3 apples and then 5 pears to the people who pass by his small stand"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    hits, _ = found(spark, bench, [item.replace("3", "41").replace("5", "7").upper()])
+    assert set(hits) == {(0, 1)} and hits[0, 1].reparameterised
