@@ -18,10 +18,12 @@ from cuesheet.llm.common import BLOCK_ROWS, blocks_for, unique_name, with_runnin
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_REPEATS = 2
-# Words of a block. The schedule holds up to 2^30 slots: larger corpora take larger blocks.
+# Words of a block. The schedule holds up to 2^36 slots: larger corpora take larger blocks.
 BLOCK_WORDS = 1024
-# 2^32 divided by the golden ratio: multiples of it, modulo 2^32, are the points.
-_GOLDEN = 2654435769
+# Slots that one task makes at a time.
+SPAN = 1 << 17
+# 2^48 divided by the golden ratio: multiples of it, modulo 2^48, are the points.
+_GOLDEN, _ONE = 173961102589771, 1 << 48
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,6 +79,19 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
+def point_unit(at: Column, slots: int) -> Column:
+    """The unit, of `slots` that share a whole, onto which point number `at`
+    falls: the whole part of `slots` times the fraction of `at` golden ratios.
+
+    In parts that stay below 2^63 for up to 2^36 slots and three times as many points."""
+    limbs = [
+        F.shiftright(at, 13 * k).bitwiseAND(F.lit((1 << 13) - 1)) * F.lit((_GOLDEN << 13 * k) % _ONE) for k in range(3)
+    ]
+    point = F.pmod(limbs[0] + limbs[1] + limbs[2], F.lit(_ONE))
+    high, low = F.shiftright(point, 24), point.bitwiseAND(F.lit((1 << 24) - 1))
+    return F.shiftright(high * slots + F.shiftright(low * slots, 24), 24)
+
+
 def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(slot, number, block, limit): which block of which source comes at
     which point, and how many words of it are taken."""
@@ -94,15 +109,14 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     slots = plan.agg(F.sum("slots")).first()[0] or 0
     # With three points to a unit, no gap between neighbouring points spans a whole unit.
     points = plan.sparkSession.range(3 * slots).select(
-        F.shiftright(F.pmod(F.col("id") * _GOLDEN, F.lit(1 << 32)) * slots, 32).alias("unit"),
-        F.col("id").alias("slot"),
+        point_unit(F.col("id"), slots).alias("unit"), F.col("id").alias("slot")
     )
-    units = plan.select(
-        "number",
-        "blocks",
-        "epochs",
-        "rest",
-        F.explode(F.sequence(F.col("until") - F.col("slots"), F.col("until") - 1)).alias("unit"),
+    # The units of a source in spans, which are dealt out before they are unrolled.
+    begin, end = F.col("until") - F.col("slots"), F.col("until") - 1
+    kept = ["number", "blocks", "epochs", "rest", "until"]
+    spans = plan.select(*kept, F.explode(F.sequence(begin, end, F.lit(SPAN))).alias("begin"))
+    units = spans.repartition("number", "begin").select(
+        *kept[:-1], F.explode(F.sequence("begin", F.least(F.col("begin") + SPAN - 1, end))).alias("unit")
     )
     first = points.groupBy("unit").agg(F.min("slot").alias("slot"))
     ranked = with_running_total(

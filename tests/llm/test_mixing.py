@@ -92,3 +92,23 @@ def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mixing.mix_documents(docs).count() == 0
     assert mixing.mixed_corpus(docs).count() == 0
+
+
+def test_points_of_large_schedules(spark):
+    golden = math.isqrt(5 << 200)  # the square root of 5, times 2^100
+    inverse = (golden - (1 << 100)) << 47 >> 100  # 2^48 divided by the golden ratio
+    assert mixing._GOLDEN in (inverse, inverse + 1)
+    rng = random.Random(9)
+    for slots in (1, 7, 4_000_000_000 // 3, (1 << 36) - 1):
+        ids = [0, 1, 3 * slots - 1] + [rng.randrange(3 * slots) for _ in range(200)]
+        df = spark.createDataFrame([(i,) for i in ids], "id long")
+        got = df.select("id", mixing.point_unit(F.col("id"), slots).alias("unit")).collect()
+        assert all(r.unit == (r.id * mixing._GOLDEN % (1 << 48)) * slots >> 48 for r in got)
+
+
+def test_long_sources_are_made_in_spans(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPAN", 7)
+    sources = mixing.source_targets(spark.createDataFrame([("a", 50_000), ("b", 9_999)], "source string, source_size long"))
+    short = mixing.schedule(sources, 100).orderBy("slot").collect()
+    monkeypatch.undo()
+    assert short == mixing.schedule(sources, 100).orderBy("slot").collect()
