@@ -142,6 +142,31 @@ def concat_plan(artifacts: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _described(jobs: DataFrame, pages: DataFrame, videos: DataFrame, key: str) -> DataFrame:
+    """Jobs with `pages`, how many pages their document has, and its `video`."""
+    page_counts = pages.groupBy(key).agg(F.count("*").alias("pages"))
+    video = videos.groupBy(key).agg(F.max("path").alias("video"))
+    return jobs.join(page_counts, key, "left").join(video, key, "left")
+
+
+def _head(created: Column) -> list[Column]:
+    """The fields of a manifest before its lists."""
+    return [
+        created.alias("created"),
+        F.coalesce("project_name", F.lit("Unnamed Project")).alias("project_name"),
+        F.coalesce("source_pdf", F.lit("")).alias("source_pdf"),
+        F.coalesce("pages", F.lit(0)).alias("total_pages"),
+        F.coalesce("files", F.lit(0)).alias("total_audio_files"),
+        F.col("video").isNotNull().alias("has_video"),
+        voice_config().alias("voice_config"),
+        output_config().alias("output_config"),
+    ]
+
+
+def _json(value: Column) -> Column:
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
 def manifests(
     jobs: DataFrame, pages: DataFrame, audio: DataFrame, videos: DataFrame, key: str, created: str
 ) -> DataFrame:
@@ -150,31 +175,42 @@ def manifests(
     `jobs` holds the settings and project_name and source_pdf; absent values
     get their defaults. A manifest is one document with all its file names.
     """
-    page_counts = pages.groupBy(key).agg(F.count("*").alias("pages"))
-    video = videos.groupBy(key).agg(F.max("path").alias("video"))
     listed = audio.groupBy(key).agg(
         F.count("*").alias("files"),
         F.transform(
             F.array_sort(F.collect_list(F.struct("page_number", "path"))), lambda f: f["path"]
         ).alias("audio_files"),
     )
-    joined = jobs.join(page_counts, key, "left").join(video, key, "left").join(listed, key, "left")
-    manifest = F.struct(
-        F.lit(created).alias("created"),
-        F.coalesce("project_name", F.lit("Unnamed Project")).alias("project_name"),
-        F.coalesce("source_pdf", F.lit("")).alias("source_pdf"),
-        F.coalesce("pages", F.lit(0)).alias("total_pages"),
-        F.coalesce("files", F.lit(0)).alias("total_audio_files"),
-        F.col("video").isNotNull().alias("has_video"),
-        voice_config().alias("voice_config"),
-        output_config().alias("output_config"),
-        F.struct(
-            F.coalesce("audio_files", F.array().cast("array<string>")).alias("audio_files"),
-            F.col("video").alias("video_file"),
-        ).alias("file_list"),
+    joined = _described(jobs, pages, videos, key).join(listed, key, "left")
+    lists = F.struct(
+        F.coalesce("audio_files", F.array().cast("array<string>")).alias("audio_files"),
+        F.col("video").alias("video_file"),
     )
-    return joined.select(
-        "job_id",
-        key,
-        F.to_json(manifest, {"ignoreNullFields": "false"}).alias("manifest"),
+    return joined.select("job_id", key, _json(F.struct(*_head(F.lit(created)), lists.alias("file_list"))).alias("manifest"))
+
+
+def manifest_blocks(
+    jobs: DataFrame, pages: DataFrame, audio: DataFrame, videos: DataFrame, key: str, created: str
+) -> DataFrame:
+    """The same manifests as rows (job_id, index, block), in order of `index`: a
+    head, a line per file, an end. Their blocks one after the other are a JSON
+    document, which is never one value: so it may list any number of files."""
+    counts = audio.groupBy(key).agg(F.count("*").alias("files"))
+    told = _described(jobs, pages, videos, key).join(counts, key, "left")
+    head = _json(F.struct(*_head(F.lit(created))))
+    opening = F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"file_list":{"audio_files":[\n'))
+    video = F.coalesce(_json(F.struct(F.col("video").alias("v"))), F.lit('{"v":null}'))
+    ending = F.concat(F.lit('],"video_file":'), video.substr(F.lit(6), F.length(video) - 6), F.lit("}}\n"))
+    frame = F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("index"), opening.alias("block")),
+        F.struct(F.lit(1 << 62).alias("index"), ending.alias("block")),
+    )
+    frames = explode_rows(told.select("job_id", frame.alias("__frame")), F.col("__frame"), "__part")
+    listed = document_facts(audio.select(key, "page_number", "path"), key, "page_number", {"file": _one()})
+    files = spread_join(listed, jobs.select("job_id", key), key, "page_number")
+    path = _json(F.struct(F.col("path").alias("p")))
+    comma = F.when(F.col("file_before") + 1 == F.col("file_total"), "\n").otherwise(",\n")
+    line = F.concat(path.substr(F.lit(6), F.length(path) - 6), comma)
+    return frames.select("job_id", "__part.index", "__part.block").unionByName(
+        files.select("job_id", F.col("page_number").cast("bigint").alias("index"), line.alias("block"))
     )

@@ -27,7 +27,7 @@ from cuesheet.operators.order import in_order
 from cuesheet.plans import scripts as S
 from cuesheet.session import shared_folder
 from cuesheet.sources.files import file_info, lookup_files
-from cuesheet.sources.manifests import read_manifests, write_manifests
+from cuesheet.sources.manifests import read_manifest_files, read_manifests, write_manifest_files, write_manifests
 from cuesheet.sources.tables import html_paragraphs, html_title, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -572,8 +572,8 @@ def concat_plan(spark, folder):
     return A.concat_plan(outcomes(spark, folder).where("ok"), KEY)
 
 
-@_query("project_manifest")
-def project_manifest(spark, folder):
+def _projects(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Jobs, pages, audio and videos of the projects that have manifests."""
     audio = outcomes(spark, folder).where("ok").select(KEY, "page_number", "path")
     videos = audio.groupBy(KEY).agg(F.concat(F.lit("c"), F.col(KEY), F.lit(".mp4")).alias("path"))
     videos = videos.join(jobs(spark, folder).where("output_type = 'both'").select(KEY), KEY, "left_semi")
@@ -584,7 +584,21 @@ def project_manifest(spark, folder):
         }
     )
     wanted = named.join(paged_documents(spark, folder), KEY, "left_semi")
-    return A.manifests(wanted, paged(spark, folder), audio, videos, KEY, CREATED)
+    return wanted, paged(spark, folder), audio, videos
+
+
+@_query("project_manifest")
+def project_manifest(spark, folder):
+    return A.manifests(*_projects(spark, folder), KEY, CREATED)
+
+
+@_query("manifest_files")
+def manifest_files(spark, folder):
+    """Manifests written as JSON documents, and the files they list read again."""
+    target = f"{shared_folder(spark).rstrip('/')}/manifest-files-{uuid.uuid4().hex}"
+    write_manifest_files(A.manifest_blocks(*_projects(spark, folder), KEY, CREATED), target, "job_id")
+    found = read_manifest_files(spark, target, "job_id")
+    return found.select(F.col("job_id").cast("bigint").alias("job_id"), "path")
 
 
 @_query("manifest_roundtrip")

@@ -519,6 +519,8 @@ def oracle_sql() -> dict[str, str]:
             total_audio_files || ',"has_video":' || (video IS NOT NULL) || ',"voice_config":' || {VOICE_JSON} ||
             ',"output_config":' || {OUTPUT_JSON} || ',"file_list":{{"audio_files":[' || quoted ||
             '],"video_file":' || {text_value('video')} || '}}}}' AS manifest FROM facts""",
+        "manifest_files": MANIFEST
+        + """SELECT f.job_id, o.path FROM facts f JOIN outcomes o USING (doc_id) WHERE o.ok""",
         "manifest_roundtrip": MANIFEST
         + """SELECT job_id, project_name, source_pdf, total_pages, total_audio_files, video IS NOT NULL AS has_video, engine,
             audio_format, plain AS audio_files, video AS video_file, true AS is_valid FROM facts""",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuesheet.sources.subtitles import write_subtitles
+
 SCHEMA = """
     key string, created string, project_name string, source_pdf string, total_pages bigint,
     total_audio_files bigint, has_video boolean,
@@ -32,3 +34,19 @@ def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
         .option("columnNameOfCorruptRecord", "corrupt")
         .json(folder)
     )
+
+
+def write_manifest_files(blocks: DataFrame, folder: str, key: str) -> None:
+    """One JSON document per manifest, from (key, index, block) rows, in a folder
+    of its own: sorted on disk and written block by block."""
+    write_subtitles(blocks, folder, key)
+
+
+def read_manifest_files(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """(key, path) of the audio files that the manifests written so list, one
+    row each. A file is a line: a long manifest is read by many tasks."""
+    lines = spark.read.text(folder)
+    name = F.regexp_extract("value", r"^(\".*\"),?$", 1)
+    return lines.where(F.col("value").startswith('"')).select(
+        key, F.from_json(F.concat(F.lit('{"p":'), name, F.lit("}")), "p string")["p"].alias("path")
+    )

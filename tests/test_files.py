@@ -1,7 +1,11 @@
 import json
 
 from cuesheet.sources.files import file_info, find_files, lookup_files
-from cuesheet.sources.manifests import read_manifests, write_manifests
+from pyspark.sql import functions as F
+
+from cuesheet.operators import artifacts as A
+from cuesheet.operators import jobs as J
+from cuesheet.sources.manifests import read_manifest_files, read_manifests, write_manifest_files, write_manifests
 from cuesheet.sources.subtitles import file_blocks, write_subtitle_table, write_subtitles
 
 
@@ -69,3 +73,27 @@ def test_subtitle_files_in_a_table(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).select("doc_id", "srt").collect())) == sorted(map(tuple, files.collect()))
     write_subtitles(file_blocks(files, "doc_id", "srt"), str(tmp_path / "f"), "doc_id")
     assert len(list((tmp_path / "f").glob("doc_id=*/*.txt"))) == 50
+
+
+def test_manifest_documents_of_any_size(spark, tmp_path):
+    """Documents written line by line equal the manifests that are one value each."""
+    key, many = "doc_id", 300_000
+    audio = spark.range(many).select(F.lit(1).cast("bigint").alias(key), (F.col("id") * 2 + 1).cast("int").alias("page_number"), F.concat(F.lit('a "b"\\é'), F.col("id")).alias("path"))
+    audio = audio.unionByName(spark.createDataFrame([(2, 1, "x.mp3"), (9, 1, "none")], audio.schema))
+    pages = audio.where("doc_id < 3").select(key, "page_number")
+    videos = spark.createDataFrame([(1, 'v".mp4')], "doc_id bigint, path string")
+    wanted = J.with_defaults(spark.createDataFrame([(10, 1), (11, 1), (20, 2), (30, 3)], "job_id bigint, doc_id bigint"), ["job_id", key]).withColumns(
+        {"project_name": F.lit(None).cast("string"), "source_pdf": F.lit("s.pdf")}
+    )
+    args = (wanted, pages, audio, videos, key, "2024-01-01T00:00:00")
+    folder = tmp_path / "m"
+    write_manifest_files(A.manifest_blocks(*args), str(folder), "job_id")
+    want = {r.job_id: json.loads(r.manifest) for r in A.manifests(*args).collect()}
+    for job, manifest in want.items():
+        (file,) = (folder / f"job_id={job}").glob("*.txt")
+        assert json.loads(file.read_text(encoding="utf-8")) == manifest
+    assert want[10]["total_audio_files"] == many == len(want[10]["file_list"]["audio_files"])
+    got = read_manifest_files(spark, str(folder), "job_id").groupBy("job_id").agg(F.count("*").alias("n"), F.max("path").alias("p")).collect()
+    assert sorted((r.job_id, r.n, r.p) for r in got) == [
+        (job, len(m["file_list"]["audio_files"]), max(m["file_list"]["audio_files"])) for job, m in sorted(want.items()) if m["file_list"]["audio_files"]
+    ]
