@@ -30,6 +30,8 @@ PROBED_RECALL = 0.975
 _MEASURED = 300
 # A list meets its queries in pieces of this many vectors and queries.
 _VECTORS_AT_ONCE, _QUERIES_AT_ONCE = 4096, 1024
+# Queries compared with the whole sample at a time.
+_ASKED_AT_ONCE = 256
 _COLUMNS, _ROWS = 16, 512
 # Width of the hypothesis test: at 2.1 it wrongly leaves a candidate very rarely.
 EPSILON = 2.1
@@ -263,12 +265,14 @@ def nearest_neighbours(
                 continue
             ids = batch.column("vec_id").to_numpy()
             lists = probed(own, q)
-            product = q @ own.sample.T
-            product[~lists[:, own.lists] | (ids[:, None] == own.order_ids[None, :])] = -np.inf
             bound = np.full(len(q), np.inf)
-            if product.shape[1] >= NEAREST:
+            for start in range(0, len(q) if len(own.sample) >= NEAREST else 0, _ASKED_AT_ONCE):
+                part = slice(start, start + _ASKED_AT_ONCE)
+                product = q[part] @ own.sample.T
+                product[~lists[part][:, own.lists] | (ids[part, None] == own.order_ids[None, :])] = -np.inf
                 low = np.partition(product, -NEAREST, axis=1)[:, -NEAREST]
-                bound = np.where(np.isfinite(low), (q * q).sum(axis=1) + own.norm**2 - 2 * low, np.inf)
+                reach = (q[part] * q[part]).sum(axis=1) + own.norm**2 - 2 * low
+                bound[part] = np.where(np.isfinite(low), reach, np.inf)
             flat = pa.array(np.nonzero(lists)[1], pa.int32())
             offsets = pa.array(np.append(0, np.cumsum(lists.sum(axis=1))), pa.int32())
             yield pa.RecordBatch.from_arrays(
