@@ -387,6 +387,7 @@ def oracle_sql() -> dict[str, str]:
             FROM flat JOIN pages_of USING (doc_id, page_number)""",
         "srt_timestamp": f"SELECT doc_id, {timestamp('(n_chars / 7.0::DOUBLE)', ',')} AS timestamp FROM documents",
         "vtt_timestamp": f"SELECT doc_id, {timestamp('(n_chars / 7.0::DOUBLE)', '.')} AS timestamp FROM documents",
+        "srt_files": CUES + f"SELECT doc_id, {SRT_FILE} AS srt FROM cues GROUP BY doc_id",
         "srt_documents": CUES + f"SELECT doc_id, {SRT_FILE} AS srt FROM cues GROUP BY doc_id",
         "vtt_documents": CUES + f"SELECT doc_id, {VTT_FILE} AS vtt FROM cues GROUP BY doc_id",
         "page_srt": with_(

@@ -40,8 +40,8 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once per application, so
-    that functions which run there need no installed copy."""
+    """Send this package to the executors, once per application, so that
+    functions which run there need no installed copy."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
