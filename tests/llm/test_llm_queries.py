@@ -51,7 +51,7 @@ NATIVE = ("op2_format_conversations", "op4_mix_documents")
 @pytest.mark.parametrize("name", NATIVE)
 def test_native_queries_stay_in_the_jvm(spark, name):
     plan = queries.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    for operator in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"):
+    for operator in ("BatchEval", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert operator not in plan
 
 
@@ -92,5 +92,5 @@ def test_the_rest_works_without_these_folders(tmp_path):
     (tmp_path / "__spark_entry__.py").unlink()
     (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
     code = "import __spark_entry__ as e; print(any(q.startswith('op') for q in e.queries()), len(e.oracle_sql()))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""})
+    out = subprocess.run([sys.executable, "-E", "-c", "import sys; sys.path.insert(0, '');" + code], cwd=tmp_path, capture_output=True, text=True)
     assert out.stdout.split()[0] == "False" and int(out.stdout.split()[1]) >= 50, out.stderr
