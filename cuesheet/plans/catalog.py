@@ -28,7 +28,7 @@ from cuesheet.plans import scripts as S
 from cuesheet.session import shared_folder
 from cuesheet.sources.files import file_info, lookup_files
 from cuesheet.sources.manifests import read_manifest_files, read_manifests, write_manifest_files, write_manifests
-from cuesheet.sources.sink import write_documents
+from cuesheet.sources.sink import read_documents, write_documents
 from cuesheet.sources.subtitles import file_blocks
 from cuesheet.sources.tables import html_paragraphs, html_title, read_table
 
@@ -408,9 +408,8 @@ def srt_files(spark, folder):
     target = f"{shared_folder(spark).rstrip('/')}/srt-files-{uuid.uuid4().hex}"
     made = S.subtitle_files(scripts(spark, folder), [KEY])
     write_documents(file_blocks(made, KEY, "srt"), target, KEY, ".srt")
-    files = spark.read.option("recursiveFileLookup", True).text(target, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.srt$", 1)
-    return files.select(name.cast("bigint").alias(KEY), F.col("value").alias("srt"))
+    files = read_documents(spark, target, ".srt")
+    return files.select(F.col("key").cast("bigint").alias(KEY), F.col("value").alias("srt"))
 
 
 @_query("page_srt")

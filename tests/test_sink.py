@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cuesheet.sources.sink import write_documents
+from cuesheet.sources import sink
+from cuesheet.sources.sink import read_documents, write_documents
 
 
 def files(folder):
@@ -30,3 +31,30 @@ def test_a_failed_task_leaves_no_file(spark, tmp_path):
     assert files(tmp_path) == {"a%2Fb.txt": "old"} and len(list(tmp_path.iterdir())) == 1
     write_documents(broken.limit(0), str(tmp_path), "k", ".txt")
     assert files(tmp_path) == {}
+
+
+def test_documents_are_read_without_a_file_list_on_the_driver(spark, tmp_path):
+    """Tasks by the bytes there are, not by the number of files; empty files and odd names too."""
+    n = 3_000
+    blocks = spark.range(n, numPartitions=3).select(
+        F.concat(F.lit("a/b é_"), "id").alias("k"), F.lit(0).alias("index"), F.when(F.col("id") % 100 > 0, F.concat(F.lit("﻿é\r\n"), "id")).otherwise("").alias("block")
+    )
+    write_documents(blocks, str(tmp_path), "k", ".srt")
+    read = read_documents(spark, f"file://{tmp_path}", ".srt")
+    assert {r.key: r.value for r in read.collect()} == {f"a/b é_{i}": f"﻿é\r\n{i}" if i % 100 else "" for i in range(n)}
+    assert read.rdd.getNumPartitions() == len(list(tmp_path.iterdir())) <= 4
+    write_documents(blocks.limit(0), str(tmp_path), "k", ".srt")
+    assert read_documents(spark, str(tmp_path), ".srt").collect() == []
+
+
+@pytest.mark.parametrize("shares", [1, 3])
+def test_lines_of_a_long_file_are_read_once_by_many_tasks(tmp_path, monkeypatch, shares):
+    for name, n in {"1.json": 5_000, "2.json": 1, "3.json": 0}.items():
+        (tmp_path / name).write_bytes("".join(f"{i} é{'x' * (i % 50)}\n" for i in range(n)).encode())
+    monkeypatch.setattr(sink, "RANGE_BYTES", 997)
+    monkeypatch.setattr(sink, "BATCH_CHARS", 5_000)
+    reader = sink._Reader(str(tmp_path.parent), ".json", True)
+    told = [[r for b in reader.read(sink._Share(str(tmp_path), i, shares)) for r in zip(*b.to_pydict().values())] for i in range(shares)]
+    want = [("1", f"{i} é{'x' * (i % 50)}") for i in range(5_000)] + [("2", "0 é")]
+    assert sorted(sum(told, [])) == sorted(want)
+    assert min(map(len, told)) > 5_000 // shares // 2
