@@ -27,7 +27,7 @@ from cuesheet.operators.order import in_order
 from cuesheet.plans import scripts as S
 from cuesheet.session import shared_folder
 from cuesheet.sources.files import file_info, lookup_files
-from cuesheet.sources.manifests import read_manifest_files, read_manifests, write_manifest_files, write_manifests
+from cuesheet.sources.manifests import read_manifest_documents, read_manifests, write_manifest_documents, write_manifests
 from cuesheet.sources.sink import read_documents, write_documents
 from cuesheet.sources.subtitles import file_blocks
 from cuesheet.sources.tables import html_paragraphs, html_title, read_table
@@ -608,8 +608,8 @@ def project_manifest(spark, folder):
 def manifest_files(spark, folder):
     """Manifests written as JSON documents, and the files they list read again."""
     target = f"{shared_folder(spark).rstrip('/')}/manifest-files-{uuid.uuid4().hex}"
-    write_manifest_files(A.manifest_blocks(*_projects(spark, folder), KEY, CREATED), target, "job_id")
-    found = read_manifest_files(spark, target, "job_id")
+    write_manifest_documents(A.manifest_blocks(*_projects(spark, folder), KEY, CREATED), target, "job_id")
+    found = read_manifest_documents(spark, target, "job_id")
     return found.select(F.col("job_id").cast("bigint").alias("job_id"), "path")
 
 

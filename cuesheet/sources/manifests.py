@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuesheet.sources.sink import read_documents, write_documents
 from cuesheet.sources.subtitles import write_subtitles
 
 SCHEMA = """
@@ -38,14 +39,29 @@ def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_manifest_files(blocks: DataFrame, folder: str, key: str) -> None:
     """One JSON document per manifest, from (key, index, block) rows, in a folder
-    of its own: sorted on disk and written block by block."""
+    of its own: sorted on disk and written block by block. A store takes long
+    to make folders: many manifests go through `write_manifest_documents`."""
     write_subtitles(blocks, folder, key)
 
 
 def read_manifest_files(spark: SparkSession, folder: str, key: str) -> DataFrame:
     """(key, path) of the audio files that the manifests written so list, one
     row each. A file is a line: a long manifest is read by many tasks."""
-    lines = spark.read.text(folder)
+    return _listed(spark.read.text(folder), key)
+
+
+def write_manifest_documents(blocks: DataFrame, folder: str, key: str) -> None:
+    """The same documents in a mounted folder, `<key>.json`, those of a task in
+    one folder."""
+    write_documents(blocks, folder, key, ".json")
+
+
+def read_manifest_documents(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """As `read_manifest_files`, the key as text."""
+    return _listed(read_documents(spark, folder, ".json", lines=True).withColumnRenamed("key", key), key)
+
+
+def _listed(lines: DataFrame, key: str) -> DataFrame:
     name = F.regexp_extract("value", r"^(\".*\"),?$", 1)
     return lines.where(F.col("value").startswith('"')).select(
         key, F.from_json(F.concat(F.lit('{"p":'), name, F.lit("}")), "p string")["p"].alias("path")

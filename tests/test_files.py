@@ -5,7 +5,14 @@ from pyspark.sql import functions as F
 
 from cuesheet.operators import artifacts as A
 from cuesheet.operators import jobs as J
-from cuesheet.sources.manifests import read_manifest_files, read_manifests, write_manifest_files, write_manifests
+from cuesheet.sources.manifests import (
+    read_manifest_documents,
+    read_manifest_files,
+    read_manifests,
+    write_manifest_documents,
+    write_manifest_files,
+    write_manifests,
+)
 from cuesheet.sources.subtitles import file_blocks, write_subtitle_table, write_subtitles
 
 
@@ -97,3 +104,22 @@ def test_manifest_documents_of_any_size(spark, tmp_path):
     assert sorted((r.job_id, r.n, r.p) for r in got) == [
         (job, len(m["file_list"]["audio_files"]), max(m["file_list"]["audio_files"])) for job, m in sorted(want.items()) if m["file_list"]["audio_files"]
     ]
+
+
+def test_many_manifests_make_a_folder_per_task(spark, tmp_path):
+    """Documents in the folders of few tasks, equal to the manifests that are one value each."""
+    key, many = "doc_id", 2_000
+    audio = spark.range(2 * many).select(F.shiftright("id", 1).alias(key), (F.col("id") % 2 + 1).cast("int").alias("page_number"), F.concat(F.lit('a "b"\\é'), "id").alias("path"))
+    audio = audio.where("doc_id % 10 > 0")
+    wanted = J.with_defaults(spark.range(many).select((F.col("id") + 7).alias("job_id"), F.col("id").alias(key)), ["job_id", key]).withColumns(
+        {"project_name": F.lit(None).cast("string"), "source_pdf": F.lit("s.pdf")}
+    )
+    videos = spark.createDataFrame([(1, 'v".mp4')], "doc_id bigint, path string")
+    args = (wanted, audio.select(key, "page_number"), audio, videos, key, "2024-01-01T00:00:00")
+    write_manifest_documents(A.manifest_blocks(*args), str(tmp_path), "job_id")
+    want = {r.job_id: json.loads(r.manifest) for r in A.manifests(*args).collect()}
+    assert {int(p.stem): json.loads(p.read_text(encoding="utf-8")) for p in tmp_path.glob("part-*/*.json")} == want
+    assert len(want) == many and len(list(tmp_path.iterdir())) <= 4
+    read = read_manifest_documents(spark, str(tmp_path), "job_id")
+    assert read.rdd.getNumPartitions() <= 4
+    assert sorted((int(r.job_id), r.path) for r in read.collect()) == sorted((job, path) for job, m in want.items() for path in m["file_list"]["audio_files"])
