@@ -60,12 +60,17 @@ def wrap_lines(text: Column, width: int, max_lines: int, *, repeat_dots: bool) -
         rules.append((rf"^{lines(max_lines)}(?<!\.\.\.) .*\z", broken(max_lines) + "..."))
         rules.append((rf"^{lines(max_lines)} .*\z", broken(max_lines)))
     rules += [(rf"^{lines(n)}\z", broken(n)) for n in range(max_lines, 1, -1)]
-    wrapped = collapse_space(text)
-    # A text that one rule has broken holds a line feed, which no later rule
-    # can cross.
-    for pattern, replacement in rules:
-        wrapped = F.regexp_replace(wrapped, pattern, replacement)
-    return wrapped
+
+    def broken_up(collapsed: Column) -> Column:
+        wrapped = collapsed
+        # A text that one rule has broken holds a line feed, which no later rule
+        # can cross.
+        for pattern, replacement in rules:
+            wrapped = F.regexp_replace(wrapped, pattern, replacement)
+        # Most sentences fit in the first line, where no rule finds anything.
+        return F.when(F.length(collapsed) < width, collapsed).otherwise(wrapped)
+
+    return let(collapse_space(text), broken_up)
 
 
 def wrap_cue(text: Column) -> Column:

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cuesheet.functions.arrays import let
+
 # The 29 code points that count as white space.
 WHITESPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -50,17 +52,27 @@ def clean_text(text: Column) -> Column:
     Removed dashes may leave two spaces in a row; these stay.
     """
     cleaned = collapse_space(F.coalesce(text, F.lit("")))
-    for pattern, replacement in (
-        (r"^.{0,2}\z", ""),
-        (rf"^[{DIGITS}]+\z", ""),
-        (r"\.{2,}", "."),
-        (r" *- *", " - "),
-        (r"([.!?])(?:  +)?(?=[A-Z])", "$1 "),
+    for needed, pattern, replacement in (
+        (None, r"^.{0,2}\z", ""),
+        (None, rf"^[{DIGITS}]+\z", ""),
+        ("..", r"\.{2,}", "."),
+        ("-", r" *- *", " - "),
+        (None, r"([.!?])(?:  +)?(?=[A-Z])", "$1 "),
     ):
-        cleaned = F.regexp_replace(cleaned, pattern, replacement)
+        cleaned = _replaced(cleaned, needed, pattern, replacement)
     return F.trim(cleaned)
 
 
+def _replaced(text: Column, needed: str | None, pattern: str, replacement: str) -> Column:
+    """`regexp_replace`, past texts without what every match needs, if anything:
+    bytes are looked through much faster than a pattern is tried everywhere."""
+    if needed is None:
+        return F.regexp_replace(text, pattern, replacement)
+    return let(
+        text, lambda t: F.when(F.contains(t, F.lit(needed)), F.regexp_replace(t, pattern, replacement)).otherwise(t)
+    )
+
+
 def survives_cleaning(text: Column) -> Column:
     """Whether `clean_text` leaves anything, decided near the start of a text.
 
