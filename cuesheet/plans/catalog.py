@@ -407,7 +407,7 @@ def srt_files(spark, folder):
     """The subtitle files of `srt_documents`, written one by one and read again."""
     target = f"{shared_folder(spark).rstrip('/')}/srt-files-{uuid.uuid4().hex}"
     made = S.subtitle_files(scripts(spark, folder), [KEY])
-    write_documents(file_blocks(made, KEY, "srt"), target, KEY, ".srt")
+    write_documents(file_blocks(made, KEY, "srt"), target, KEY, ".srt", whole=True)
     files = read_documents(spark, target, ".srt")
     return files.select(F.col("key").cast("bigint").alias(KEY), F.col("value").alias("srt"))
 

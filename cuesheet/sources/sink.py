@@ -170,18 +170,21 @@ class DocumentFiles(DataSource):
         return _Writer(self._path(), self.options.get("suffix", ""), overwrite)
 
 
-def write_documents(blocks: DataFrame, folder: str, key: str, suffix: str) -> None:
+def write_documents(blocks: DataFrame, folder: str, key: str, suffix: str, whole: bool = False) -> None:
     """One file per key with its blocks in order of `index`, in a folder per
     task, in the place of those that were written there before.
 
     `blocks` holds (key, index, block). They are sorted on disk and written as
     they come; a document is never one value. A task that fails, or is run
     twice, leaves no file: folders are put in place once all tasks are done.
+    With `whole`, rows that are a document each are written by the tasks that
+    make them, without a shuffle of all texts.
     """
     spark = blocks.sparkSession
     ship_package(spark)
     spark.dataSource.register(DocumentFiles)
-    ordered = blocks.repartition(key).sortWithinPartitions(key, "index").select(key, "block")
+    together = blocks if whole else blocks.repartition(key)
+    ordered = together.sortWithinPartitions(key, "index").select(key, "block")
     ordered.write.format("document_files").mode("overwrite").option("path", folder).option("suffix", suffix).save()
 
 

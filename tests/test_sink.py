@@ -58,3 +58,11 @@ def test_lines_of_a_long_file_are_read_once_by_many_tasks(tmp_path, monkeypatch,
     want = [("1", f"{i} é{'x' * (i % 50)}") for i in range(5_000)] + [("2", "0 é")]
     assert sorted(sum(told, [])) == sorted(want)
     assert min(map(len, told)) > 5_000 // shares // 2
+
+
+def test_whole_documents_are_written_where_they_are_made(spark, tmp_path):
+    rows = spark.range(600, numPartitions=3).select(F.col("id").alias("k"), F.lit(0).alias("index"), F.concat(F.lit("t"), "id").alias("block"))
+    write_documents(rows, str(tmp_path), "k", ".txt", whole=True)
+    assert files(tmp_path) == {f"{i}.txt": f"t{i}" for i in range(600)}
+    assert sorted(len(list(p.iterdir())) for p in tmp_path.iterdir()) == [200, 200, 200]
+    assert {int(r.key): r.value for r in read_documents(spark, str(tmp_path), ".txt").collect()} == {i: f"t{i}" for i in range(600)}
